@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from entloom.llm import slot_sharding, source_mix, subword_quality
+from entloom.llm.arc_warc import archive_digest
 from entloom.llm.bpe_tree import bpe_encode
 from entloom.llm.common import table
 
@@ -16,8 +19,32 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_plan(table(spark, sf_dir, "documents"), weights=(1, 2, 3))
+
+
+def op7_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    placed = slot_sharding.assign_shards(docs, [f"shard-{i:04d}" for i in range(256)])
+    return placed.select("doc_id", F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+
+
+def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = subword_quality.train(docs, table(spark, sf_dir, "labels"))
+    return subword_quality.score(docs, model)
+
+
+def op10_arc_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digest(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mix": op2_source_mix,
     "op6_bpe_tree": op6_bpe_tree,
+    "op7_slot_sharding": op7_slot_sharding,
+    "op8_subword_quality": op8_subword_quality,
+    "op10_arc_warc": op10_arc_warc,
 }
 
 #: DuckDB SQL for the queries that SQL can express over whole tables.
