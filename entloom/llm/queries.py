@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entloom.llm import slot_sharding, source_mix, subword_quality
+from entloom.llm import quality_mcd, slot_sharding, source_mix, subword_quality
 from entloom.llm.arc_warc import archive_digest
 from entloom.llm.bpe_tree import bpe_encode
 from entloom.llm.common import table
@@ -23,6 +23,11 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_plan(table(spark, sf_dir, "documents"), weights=(1, 2, 3))
 
 
+def op5_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return quality_mcd.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+
+
 def op7_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     placed = slot_sharding.assign_shards(docs, [f"shard-{i:04d}" for i in range(256)])
@@ -41,6 +46,7 @@ def op10_arc_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
+    "op5_quality_mcd": op5_quality_mcd,
     "op6_bpe_tree": op6_bpe_tree,
     "op7_slot_sharding": op7_slot_sharding,
     "op8_subword_quality": op8_subword_quality,
