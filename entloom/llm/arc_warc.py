@@ -209,7 +209,10 @@ def write_pages(pages: DataFrame, path: str, *, min_payload: int = 0, version: i
     src = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     src = src.withColumn("__sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).withColumn("__len", F.coalesce(F.octet_length("html"), F.lit(0)))
     first = src.groupBy("__sha", "__len").agg(F.min("page_id").alias("__first")).where(F.col("__len") >= min_payload)
-    joined = src.join(first, ["__sha", "__len"], "left").select("page_id", "url", "html", "__first")
+    # Archives of some thousand pages, also where the shuffle has many small partitions.
+    spark = pages.sparkSession
+    files = max(2 * spark.sparkContext.defaultParallelism, pages.count() // (2 * records_per_file))
+    joined = src.join(first, ["__sha", "__len"], "left").select("page_id", "url", "html", "__first").coalesce(files)
 
     def run(batches):
         for batch in batches:
