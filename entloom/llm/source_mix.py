@@ -152,14 +152,13 @@ def shard_draws(counts: np.ndarray, shard: int, slots_per_shard: int, seed: int)
     return counts, first
 
 
-def _positions(docs: DataFrame, order: list[str], rows_per_bucket: int) -> DataFrame:
+def _positions(docs: DataFrame, order: list[str]) -> DataFrame:
     """`docs` (with __source, __size) with __from: the words of its source before it.
 
     Two levels, so that a hot source is not one task: rows go to (source, bucket) by the hash of their order's
     columns, are summed within it, and the buckets' sums are added up by source.
     """
-    rows = docs.count()
-    n = max(1, -(-rows // rows_per_bucket))
+    n = max(1, math.isqrt(docs.count()) // 3)  # both levels grow with the root of the rows
     dealt = docs.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(n)))
     w = Window.partitionBy("__source", "__bucket").orderBy(*order, "__size")
     inner = dealt.withColumn("__in", F.sum("__size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
@@ -169,7 +168,7 @@ def _positions(docs: DataFrame, order: list[str], rows_per_bucket: int) -> DataF
     return inner.join(offset, ["__source", "__bucket"]).withColumn("__from", F.col("__before") + F.col("__in")).drop("__bucket", "__in", "__before")
 
 
-def mix_slots(docs: DataFrame, weights: tuple[float, ...], *, text: str = "text", source: str = "source", id_col: str = "doc_id", block: int = 1024, slots_per_shard: int = 256, max_repeat: int = 3, total_share: float = 1.0, seed: int = 17, rows_per_bucket: int = 20_000):
+def mix_slots(docs: DataFrame, weights: tuple[float, ...], *, text: str = "text", source: str = "source", id_col: str = "doc_id", block: int = 1024, slots_per_shard: int = 256, max_repeat: int = 3, total_share: float = 1.0, seed: int = 17):
     """(documents with their place in their source's stream, slots with the block they read).
 
     Documents: every column of `docs` but the text, with __source (number), __size, __from, __source_size and
@@ -208,7 +207,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), **how) ->
     rows, slots = mix_slots(docs.select("doc_id", "text", "source"), weights, **how)
     # Small from here on: ids and numbers, kept for the three uses below.
     rows = stored(rows.withColumn("__hash", F.xxhash64("text")).drop("text", "source"), "mix")
-    placed = _positions(rows, ["doc_id", "__hash"], how.get("rows_per_bucket", 20_000))
+    placed = _positions(rows, ["doc_id", "__hash"])
     hits = _pieces(placed, slots, block)
     words = F.greatest(F.lit(0), F.least(F.col("__hi"), F.col("__words")) - F.col("__lo"))
     taken = hits.groupBy("__source", "__from").agg(F.sum(words).alias("__taken"))
@@ -226,7 +225,8 @@ def _pieces(placed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     last = (F.col("__from") + F.col("__size") - 1) / block
     cut = placed.where("__size > 0").withColumn("__block", F.explode(F.sequence(F.floor(F.col("__from") / block), F.floor(last))))
     cut = cut.withColumn("__lo", F.greatest(F.lit(0), F.col("__from") - F.col("__block") * block)).withColumn("__hi", F.least(F.lit(block), F.col("__from") + F.col("__size") - F.col("__block") * block))
-    return cut.join(slots, ["__source", "__block"])
+    # The slots grow with the corpus, which the planner can't see behind the Python step: no broadcast.
+    return cut.join(slots.hint("merge"), ["__source", "__block"])
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), **how) -> DataFrame:
@@ -239,7 +239,7 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), **how
     keep = docs.columns
     rows, slots = mix_slots(docs, weights, **how)
     rows = stored(rows.withColumn("__hash", F.xxhash64("text")), "mix")
-    placed = _positions(rows.select("doc_id", "__hash", "__source", "__size"), ["doc_id", "__hash"], how.get("rows_per_bucket", 20_000))
+    placed = _positions(rows.select("doc_id", "__hash", "__source", "__size"), ["doc_id", "__hash"])
     hits = _pieces(placed, slots, block).withColumn("__to", F.least("__hi", "__words")).where("__to > __lo")
     start = F.col("__lo") + F.col("__block") * block - F.col("__from")
     runs = hits.groupBy("doc_id", "__hash", "__size", "__from", "__pass").agg(F.array_sort(F.collect_list(F.struct(start.alias("a"), (start + F.col("__to") - F.col("__lo")).alias("b")))).alias("__runs"))
