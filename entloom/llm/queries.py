@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entloom.llm import quality_mcd, slot_sharding, source_mix, subword_quality
+from entloom.llm import quality_mcd, slot_sharding, source_mix, subword_quality, weighted_fingerprints
 from entloom.llm.arc_warc import archive_digest
 from entloom.llm.bpe_tree import bpe_encode
 from entloom.llm.common import table
@@ -40,6 +40,10 @@ def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_quality.score(docs, model)
 
 
+def op9_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_arc_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digest(table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_tree": op6_bpe_tree,
     "op7_slot_sharding": op7_slot_sharding,
     "op8_subword_quality": op8_subword_quality,
+    "op9_weighted_fingerprints": op9_weighted_fingerprints,
     "op10_arc_warc": op10_arc_warc,
 }
 
