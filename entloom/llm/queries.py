@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entloom.llm import quality_mcd, slot_sharding, source_mix, subword_quality, weighted_fingerprints
+from entloom.llm import context_mixing, quality_mcd, slot_sharding, source_mix, subword_quality, weighted_fingerprints
 from entloom.llm.arc_warc import archive_digest
 from entloom.llm.bpe_tree import bpe_encode
 from entloom.llm.common import table
@@ -19,6 +19,10 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_plan(table(spark, sf_dir, "documents"), weights=(1, 2, 3))
 
@@ -49,6 +53,7 @@ def op10_arc_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_context_mixing": op1_context_mixing,
     "op2_source_mix": op2_source_mix,
     "op5_quality_mcd": op5_quality_mcd,
     "op6_bpe_tree": op6_bpe_tree,
