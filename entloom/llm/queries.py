@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entloom.llm import context_mixing, quality_mcd, slot_sharding, source_mix, subword_quality, trie_join, weighted_fingerprints
+from entloom.llm import compact_windows, context_mixing, quality_mcd, slot_sharding, source_mix, subword_quality, trie_join, weighted_fingerprints
 from entloom.llm.arc_warc import archive_digest
 from entloom.llm.bpe_tree import bpe_encode
 from entloom.llm.common import table
@@ -31,6 +31,10 @@ def op3_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.find_passages(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op5_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return quality_mcd.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_mixing": op1_context_mixing,
     "op2_source_mix": op2_source_mix,
     "op3_trie_join": op3_trie_join,
+    "op4_compact_windows": op4_compact_windows,
     "op5_quality_mcd": op5_quality_mcd,
     "op6_bpe_tree": op6_bpe_tree,
     "op7_slot_sharding": op7_slot_sharding,
