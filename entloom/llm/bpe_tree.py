@@ -199,17 +199,17 @@ def codec_of(data: bytes, pattern: str) -> TreeCodec:
     return _codecs[key]
 
 
-def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id_col: str = "doc_id", keep_ids: bool = True) -> DataFrame:
+def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id_col: str = "doc_id", keep_ids: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Encode and decode every text.
 
-    Returns the id column, n_tokens, ids_sha256 (of the decimal ids joined by commas),
+    Returns the id column, the columns of `carry`, n_tokens, ids_sha256 (of the decimal ids joined by commas),
     decoded_sha256 (of the decoded bytes) and, with `keep_ids`, ids and the decoded bytes.
     No shuffle; the rank file (under 1 MB, read by the driver) goes along as a broadcast value.
     """
     spark = docs.sparkSession
     with open(rank_file, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    fields = [*(T.StructField(c, docs.schema[c].dataType) for c in (id_col, *carry)), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if keep_ids:
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
 
@@ -220,7 +220,7 @@ def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text"
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 n, sums, back, kept, raw = [], [], [], [], []
-                for doc in part.column(1):
+                for doc in part.column(part.num_columns - 1):
                     ids = codec.encode(doc.as_py())
                     data = codec.decode(ids)
                     n.append(len(ids))
@@ -229,9 +229,9 @@ def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text"
                     if keep_ids:
                         kept.append(ids)
                         raw.append(data)
-                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())]
+                cols = [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())]
                 if keep_ids:
                     cols += [pa.array(kept, pa.list_(pa.int32())), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return docs.select(F.col(id_col), F.col(text).cast("string")).mapInArrow(run, T.StructType(fields))
+    return docs.select(id_col, *carry, F.col(text).cast("string").alias("__text")).mapInArrow(run, T.StructType(fields))

@@ -191,3 +191,10 @@ def judge(docs: DataFrame, *, lang: str = "lang", source: str = "source", text:
     seen = _distance(rows.join(best, "g0", "left"))
     verdict = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= cutoff))
     return seen.select("__row.*", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", F.when(~F.col("base_failed"), F.col("d2")).alias("distance2"), verdict.alias("kept"), *(f"x{i}" for i in range(DIM)))
+
+
+def keep_clean(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs` that `judge` keeps."""
+    named = docs.withColumn("__name", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("__hash", F.xxhash64("text"))
+    out = judge(named.select("__name", "__hash", "doc_id", "lang", "source", "text"), **how).where("not kept").select("__name", "__hash").distinct()
+    return named.join(out.hint("merge"), ["__name", "__hash"], "left_anti").select(*docs.columns)

@@ -211,8 +211,8 @@ class TrieJoin:
 # -- tables --------------------------------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, chunk: int = 256, bin_sets: int = 512, longest: int = 1 << 32) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; linked: similarity of at least num/den."""
+def _linked(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, chunk: int = 256, bin_sets: int = 512, longest: int = 1 << 32) -> DataFrame:
+    """doc_id, n_shingles, a hash of the text and the component's root (null without a set) of every row, stored."""
     t = Threshold(num, den)
     classes = t.classes(longest)
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -230,11 +230,12 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, num: int = 9, den: int =
                     ids.append(set_id(s) if len(s) else None)
                     sigs.append(signatures(s, t, classes) if len(s) else np.zeros(0, np.int64))
                 flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sigs)]), pa.int32()), pa.array(np.concatenate(sigs)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), flat], names=["doc_id", "n_shingles", "cls", "sigs"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), flat], names=["doc_id", "hash", "n_shingles", "cls", "sigs"])
 
-    scanned = src.mapInArrow(scan, f"doc_id {id_type}, n_shingles long, cls long, sigs array<long>")
+    with_hash = src.withColumn("hash", F.xxhash64("text"))
+    scanned = with_hash.mapInArrow(scan, f"doc_id {id_type}, hash long, n_shingles long, cls long, sigs array<long>")
     # Facts and signatures are used apart; the texts are read for each, which is less than to keep the signatures.
-    facts = stored(scanned.select("doc_id", "n_shingles", "cls"), "facts")
+    facts = stored(scanned.select("doc_id", "hash", "n_shingles", "cls"), "facts")
     rows = scanned.where("cls is not null").select("cls", F.explode("sigs").alias("sig"))
     alike = Window.partitionBy("sig")
     edges = rows.select("cls", F.min("cls").over(alike).alias("hub"), F.max("cls").over(alike).alias("top")).where("hub != top and cls != hub").select("cls", "hub").distinct()
@@ -276,7 +277,30 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, num: int = 9, den: int =
 
     links = placed.select(place.alias("place"), "cls", "grams").groupBy("place").applyInArrow(join, "a long, b long")
     joined = components(links)
-    rooted = facts.join(joined, facts["cls"] == joined["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "cls").alias("root"))
-    rooted = stored(rooted, "rooted")
+    rooted = facts.join(joined, facts["cls"] == joined["node"], "left")
+    return stored(rooted.select("doc_id", "hash", "n_shingles", F.coalesce("root", "cls").alias("root")), "rooted")
+
+
+def jaccard_components(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; linked: similarity of at least num/den."""
+    rooted = _linked(docs, **how)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs` without those that are linked to one of a smaller id (null last; then of a smaller hash of the text).
+
+    Of rows of equal id and text one stays; rows without a set all stay.
+    """
+    rooted = _linked(docs, **how)
+    first = rooted.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "hash")).alias("f"))
+    stay = first.select(F.coalesce(F.col("f.doc_id").cast("string"), F.lit("null")).alias("__name"), F.col("f.hash").alias("__hash"), F.lit(True).alias("__one"))
+    empty = rooted.where("root is null").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__name"), F.col("hash").alias("__hash"), F.lit(False).alias("__one")).distinct()
+    named = docs.withColumn("__name", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("__hash", F.xxhash64(F.col("text").cast("string").cast("binary")))
+    kept = named.join(stay.unionByName(empty).hint("merge"), ["__name", "__hash"])
+    again = rooted.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if again:
+        nth = F.row_number().over(Window.partitionBy("__name", "__hash").orderBy("__hash"))
+        kept = kept.withColumn("__nth", nth).where("__nth = 1 or not __one")
+    return kept.select(*docs.columns)
