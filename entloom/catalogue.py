@@ -1,10 +1,395 @@
-"""Registered queries over the driver's tables, each with its DuckDB equivalent."""
+"""Registered queries over the driver's tables, each with its DuckDB equivalent.
+
+Every query goes through the library's operators and runs over whole tables.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from entloom.entity import Entity, Rule, entity
+from entloom.functions import transforms as tr
+from entloom.functions.keys import content_id, input_hash
+from entloom.operators.loading import keep_last, spread, unseen, update, upsert, validate
+from entloom.operators.relational import join_reference, ordered_list, project, row_count
+from entloom.plans.model import Dependency, Load, Out, Pipeline, Query, Step, sort_steps
+from entloom.plans.runlog import VIEWS
+from entloom.plans.runner import Runner
+from entloom.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a query, by its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="entloom-")
+    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+def md5_id(*cols: str) -> str:
+    """The SQL of `content_id`."""
+    parts = ", ".join(f"CASE WHEN {c} IS NULL THEN 'N' ELSE concat('V', length(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR)) END" for c in cols)
+    return f"regexp_replace(md5(concat_ws('|', {parts})), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
+
+
+# -- projection and filters ------------------------------------------------------------
+
+
+@query("SELECT n_nationkey AS id, n_name AS label, n_regionkey AS region FROM nation")
+def project_label(spark, sf_dir):
+    return project(table(spark, sf_dir, "nation"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"), F.col("n_regionkey").alias("region"))
+
+
+@query("SELECT t.* FROM region AS t")
+def whole_entity_alias(spark, sf_dir):
+    return table(spark, sf_dir, "region").alias("t").select("t.*")
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND (o_totalprice > 1000 OR o_custkey IS NULL) AND o_custkey <> 7")
+def filter_eq_in(spark, sf_dir):
+    c = F.col
+    rows = table(spark, sf_dir, "orders").where((c("o_orderstatus") == "F") & c("o_orderpriority").isin("1-URGENT", "2-HIGH") & ((c("o_totalprice") > 1000) | c("o_custkey").isNull()) & (c("o_custkey") != 7))
+    return project(rows, "o_orderkey", "o_orderpriority", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) - INTERVAL 30 DAY FROM orders)")
+def scalar_subquery_max(spark, sf_dir):
+    return spark.sql(
+        "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_orderdate > (SELECT max(o_orderdate) - make_dt_interval(:days) FROM {orders})",
+        args={"days": 30},
+        orders=table(spark, sf_dir, "orders"),
+    )
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def order_limit(spark, sf_dir):
+    return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+# -- joins -------------------------------------------------------------------------------
+
+
+@query("SELECT c.c_custkey, o.o_orderkey, l.l_linenumber, l.l_partkey FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE c.c_mktsegment = 'BUILDING'")
+def fk_join_chain(spark, sf_dir):
+    c, o, x = (table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem"))
+    rows = c.where("c_mktsegment = 'BUILDING'").join(o, o.o_custkey == c.c_custkey).join(x, x.l_orderkey == o.o_orderkey)
+    return project(rows, "c_custkey", "o_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT c.c_custkey, coalesce(CAST(o.o_orderkey AS VARCHAR), 'never run') AS last_order FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P'")
+def left_join_coalesce(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    rows = c.join(o, (o.o_custkey == c.c_custkey) & (o.o_orderstatus == "P"), "left")
+    return project(rows, "c_custkey", F.coalesce(F.col("o_orderkey").cast("string"), F.lit("never run")).alias("last_order"))
+
+
+@query("SELECT a.r_name AS left_name, b.r_name AS right_name FROM region a CROSS JOIN region b")
+def cross_join(spark, sf_dir):
+    r = table(spark, sf_dir, "region")
+    return r.select(F.col("r_name").alias("left_name")).crossJoin(r.select(F.col("r_name").alias("right_name")))
+
+
+@query("SELECT c.c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def anti_join(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+
+
+# -- aggregates and windows ---------------------------------------------------------------
+
+
+@query("SELECT o_custkey, count(o_orderkey) AS n_orders, max(o_orderdate) AS last_date FROM orders GROUP BY o_custkey HAVING count(o_orderkey) > 1 ORDER BY n_orders DESC, o_custkey")
+def group_having_order(spark, sf_dir):
+    groups = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("o_orderkey").alias("n_orders"), F.max("o_orderdate").alias("last_date"))
+    return groups.where("n_orders > 1").orderBy(F.desc("n_orders"), "o_custkey")
+
+
+@query("SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) AS order_list FROM orders GROUP BY o_custkey")
+def ordered_array_agg(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey").cast("string"))
+    return rows.groupBy("o_custkey").agg(F.array_join(ordered_list("k", F.col("o_orderdate"), F.col("o_orderkey")), ",").alias("order_list"))
+
+
+@query("SELECT DISTINCT event_type, max(ts) AS last_ts FROM events GROUP BY event_type")
+def distinct_max(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").alias("last_ts")).distinct()
+
+
+@query("SELECT o_orderstatus, count(*) AS n, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS state FROM orders GROUP BY o_orderstatus")
+def status_counts(spark, sf_dir):
+    groups = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return groups.withColumn("state", F.when(F.col("o_orderstatus") == "F", "done").otherwise("open"))
+
+
+@query("SELECT event_type, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY event_type")
+def runtime_share(spark, sf_dir):
+    groups = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return groups.select("event_type", "n", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))), 6).cast("double").alias("share"))
+
+
+@query("SELECT count(1) AS n FROM (SELECT * FROM lineitem WHERE l_quantity > 10) x")
+def query_count(spark, sf_dir):
+    return row_count(table(spark, sf_dir, "lineitem").where("l_quantity > 10"))
+
+
+@query("SELECT c_name AS name, 'customer' AS kind FROM customer UNION ALL SELECT s_name AS name, 'supplier' AS kind FROM supplier")
+def union_all(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.lit("customer").alias("kind"))
+    return a.unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.lit("supplier").alias("kind")))
+
+
+@query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
+def set_operations(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"))
+    both = a.intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
+    return both.subtract(table(spark, sf_dir, "nation").where("n_regionkey = 0").select("n_nationkey"))
+
+
+# -- keys and loads --------------------------------------------------------------------------
+
+
+@query(f"SELECT c_custkey, {md5_id('c_custkey', 'c_mktsegment')} AS id FROM customer")
+def content_hash_id(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", content_id(F.col("c_custkey"), F.col("c_mktsegment")).alias("id"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def upsert_last_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return keep_last(rows, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM lineitem) WHERE rn = 1"
+)
+def key_collapse(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey")
+    return keep_last(rows, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey"]).drop("l_shipdate")
+
+
+_LAST = "SELECT user_id, event_id, event_type, value, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id % 2 = {}) WHERE rn = 1"
+
+
+@query(
+    f"SELECT coalesce(o.user_id, n.user_id) AS id, CASE WHEN n.user_id IS NOT NULL THEN n.event_type ELSE o.event_type END AS event_type, o.value AS value, "
+    f"CASE WHEN n.user_id IS NOT NULL THEN n.event_id ELSE o.event_id END AS event_id FROM ({_LAST.format(0)}) o FULL JOIN ({_LAST.format(1)}) n ON o.user_id = n.user_id"
+)
+def upsert_merge(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumnRenamed("user_id", "id").select("id", "event_type", "value", "event_id")
+    old, new = (keep_last(events.where(F.col("event_id") % 2 == k), ["id"], ["event_id"]) for k in (0, 1))
+    return upsert(old.select("id", "event_type", "value", "event_id"), new, ["event_type", "event_id"])
+
+
+@query("SELECT c.c_custkey AS id, CASE WHEN o.n IS NOT NULL THEN 'ordered' ELSE c.c_mktsegment END AS segment FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) o ON o.o_custkey = c.c_custkey")
+def update_existing_only(spark, sf_dir):
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    seen = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")).distinct()
+    stranger = spark.createDataFrame([(-1,)], "id long")
+    return update(old, seen.unionByName(stranger).withColumn("segment", F.lit("ordered")), ["segment"])
+
+
+@query(f"SELECT o.o_orderkey, {md5_id('o.o_custkey')} AS customer_id FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey")
+def lookup_fk_hash(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", content_id(F.col("o_custkey")).alias("customer_id"))
+
+
+@query("SELECT doc_id, lang, unnest(string_split(substr(text, 1, 200), ' ')) AS word FROM documents")
+def broadcast_explode(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.array("lang").alias("lang"), F.split(F.substring("text", 1, 200), " ", -1).alias("word"))
+    return spread(rows, ["lang", "word"], ["doc_id"])
+
+
+@query("SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{4,}')) AS number FROM documents")
+def empty_list_drops_row(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("([0-9]{4,})")).alias("number"))
+    return spread(rows, ["number"], ["doc_id"])
+
+
+# -- transforms -----------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, array_to_string(list_transform(list(l_linenumber * 10 + 1 ORDER BY l_linenumber, l_partkey, l_suppkey), lambda x: CAST(x AS VARCHAR)), ',') AS codes FROM lineitem GROUP BY l_orderkey")
+def map_transform(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(ordered_list("l_linenumber", F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).alias("lines"))
+    rows = rows.withColumn("ten", F.array(F.lit(10)))
+    made = tr.map_lists("codes", lambda n, ten: (n * ten + 1).cast("string"), "lines", "ten").apply(rows, {})
+    return made.select("l_orderkey", F.array_join("codes", ",").alias("codes"))
+
+
+def _parts(priority: str) -> tuple:
+    rank, _, name = priority.partition("-")
+    return int(rank), name.strip().lower()
+
+
+@query("SELECT o_orderkey, CAST(string_split(o_orderpriority, '-')[1] AS INTEGER) AS rank, lower(trim(substr(o_orderpriority, 3))) AS label FROM orders")
+def row_udf_multi_output(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return tr.python(_parts, ["o_orderpriority"], "rank int, label string").apply(rows, {}).select("o_orderkey", "rank", "label")
+
+
+def _not_error(kind: str, value: float, settings: dict) -> str:
+    if kind == settings["skip"]:
+        raise tr.SkipRow(kind)
+    return kind.upper()
+
+
+@query("SELECT event_id, upper(event_type) AS kind FROM events WHERE event_type <> (SELECT min(event_type) FROM events)")
+def skip_rows(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    least = events.agg(F.min("event_type")).first()[0]
+    return tr.python(_not_error, ["event_type", "value"], "kind string").apply(events, {"skip": least}).select("event_id", "kind")
+
+
+@query("SELECT DISTINCT event_type, user_id FROM events WHERE (event_type, user_id) NOT IN (SELECT event_type, user_id FROM events WHERE event_id < 500)")
+def repeat_antijoin(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    hashed = events.withColumn("input_hash", input_hash("v1", {c: F.col(c) for c in ("event_type", "user_id")}))
+    return unseen(hashed, hashed.where("event_id < 500")).select("event_type", "user_id")
+
+
+# -- validation -------------------------------------------------------------------------------------
+
+
+
+@query("SELECT event_id, CASE WHEN value_ok THEN 'ok' ELSE 'bad' END AS verdict, number FROM (SELECT event_id, TRY_CAST(event_type AS INTEGER) IS NOT NULL AS value_ok, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS number FROM events)")
+def coerce_validation(spark, sf_dir):
+    from entloom.functions.typenames import spark_type
+
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("k"), F.get_json_object("props", "$.k").alias("number"))
+    spec = Entity("coerced", {"k": spark_type("int4"), "number": spark_type("int4")}, ("k",))
+    checked = validate(rows, spec, "coerce")
+    return checked.select("event_id", F.when(F.array_contains("__errors", "k"), "bad").otherwise("ok").alias("verdict"), "number")
+
+
+@query("SELECT p_partkey AS k, p_size AS size, p_size BETWEEN 1 AND 25 AND p_name IS NOT NULL AND p_brand LIKE 'Brand#%' AS fits FROM part")
+def strict_validation(spark, sf_dir):
+    from entloom.functions.typenames import spark_type
+
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    spec = Entity("strict", {"k": spark_type("int8"), "size": spark_type("int4"), "name": spark_type("text"), "brand": spark_type("text")}, ("k",), rules={"size": Rule(ge=1, le=25), "name": Rule(required=True), "brand": Rule(pattern="^Brand#")})
+    return validate(rows, spec, "strict").select("k", "size", (F.size("__errors") == 0).alias("fits"))
+
+
+# -- functions -----------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, event_type || '-child' AS label FROM events")
+def json_field(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.concat("event_type", F.lit("-child")).alias("label"))
+
+
+@query("SELECT doc_id FROM documents WHERE list_has_any([lang, source], ['de', 'src3'])")
+def array_overlap_tags(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(F.arrays_overlap(F.array("lang", "source"), F.array(F.lit("de"), F.lit("src3")))).select("doc_id")
+
+
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '[0-4]/?$')")
+def regex_source_filter(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where(F.col("url").rlike("[0-4]/?$")).select("page_id", "url")
+
+
+# -- run log ---------------------------------------------------------------------------------------------
+
+_RUNS = "(1), (2)"
+_STEP_RUNS = "(1, 'a', 'completed'), (1, 'b', 'failed'), (1, 'd', 'completed'), (2, 'a', 'failed'), (2, 'b', 'completed'), (2, 'c', 'upstream_failed'), (2, 'e', 'excluded')"
+_LOG = f"WITH run AS (SELECT * FROM (VALUES {_RUNS}) t(run_id)), step_run AS (SELECT * FROM (VALUES {_STEP_RUNS}) t(run_id, step, status)), current_run AS ({VIEWS['current_run']})"
+
+
+def _log_view(spark: SparkSession, name: str) -> DataFrame:
+    """A view of the run log over a small log."""
+    steps = spark.sql(f"SELECT * FROM VALUES {_STEP_RUNS} AS t(run_id, step, status)")
+    runs = spark.sql(f"SELECT * FROM VALUES {_RUNS} AS t(run_id)")
+    ctes = "WITH run AS (SELECT * FROM {runs}), step_run AS (SELECT * FROM {steps}), current_run AS (" + VIEWS["current_run"] + ") "
+    return spark.sql(ctes + f"SELECT * FROM ({VIEWS[name]})", runs=runs, steps=steps)
+
+
+@query(f"{_LOG} SELECT * FROM current_run")
+def run_log_current(spark, sf_dir):
+    return _log_view(spark, "current_run")
+
+
+@query(f"{_LOG} {VIEWS['failed_run']}")
+def run_log_failed(spark, sf_dir):
+    return _log_view(spark, "failed_run")
+
+
+@query(f"{_LOG} {VIEWS['steps_to_run']}")
+def steps_to_run(spark, sf_dir):
+    return _log_view(spark, "steps_to_run")
+
+
+# -- pipelines ---------------------------------------------------------------------------------------------
+
+
+def shop_pipeline(sf_dir: str) -> tuple[Pipeline, Entity, Entity]:
+    """Customers and their orders: the order's reference is the customer's hash, computed without a join."""
+    registry: dict = {}
+    customer = entity("customer", {"custkey": "int8", "segment": "text", "orders": "int8"}, ["custkey"], registry=registry)
+    order = entity("order", {"orderkey": "int8", "status": "text", "urgent": "bool"}, ["orderkey"], {"customer_id": customer}, registry=registry)
+
+    def customers(spark):
+        return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+
+    def orders(spark):
+        return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+    def per_customer(read):
+        both = join_reference(read(order).withColumnRenamed("id", "order_id"), order, read(customer).select("id"), customer)
+        return both.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+    pipeline = Pipeline("shop")
+    pipeline.add(Step("3 counts", Query(per_customer, {customer: [], order: ["customer_id"]}), loads=[Load(customer, {"orders": Out("n")}, id=Out("id"))]))
+    urgent = tr.native(urgent=F.col("o_orderpriority").startswith("1"))
+    found = Load(customer, {"custkey": Out("o_custkey")})
+    pipeline.add(Step("2 orders", orders, [urgent], [Load(order, {"orderkey": Out("o_orderkey"), "status": Out("o_orderstatus"), "urgent": Out("urgent"), "customer_id": found}, insert=True)]))
+    pipeline.add(Step("1 customers", customers, loads=[Load(customer, {"custkey": Out("c_custkey"), "segment": Out("c_mktsegment")}, insert=True)]))
+    return pipeline, customer, order
+
+
+@query(
+    f"SELECT {md5_id('c.c_custkey')} AS id, c.c_custkey AS custkey, c.c_mktsegment AS segment, max(n) AS orders, count(*) FILTER (WHERE o.o_orderpriority LIKE '1%') AS urgent FROM customer c "
+    "LEFT JOIN orders o ON o.o_custkey = c.c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) k ON k.o_custkey = c.c_custkey GROUP BY ALL"
+)
+def pipeline_two_steps(spark, sf_dir):
+    """The flagship: three steps in an order that follows from what they read and load; then a query over the entities."""
+    pipeline, customer, order = shop_pipeline(sf_dir)
+    runner = Runner(spark, Store(spark, work_folder(spark)))
+    results = runner.run(pipeline)
+    if bad := {n: r.error for n, r in results.items() if r.status != "completed"}:
+        raise RuntimeError(f"steps failed: {bad}")
+    urgent = runner.table(order).where("urgent").groupBy(F.col("customer_id").alias("id")).agg(F.count(F.lit(1)).alias("urgent"))
+    rows = runner.table(customer).join(urgent, "id", "left")
+    return rows.select("id", "custkey", "segment", "orders", F.coalesce("urgent", F.lit(0)).alias("urgent"))
+
+
+@query("SELECT * FROM (VALUES (0, 'd'), (1, 'c'), (2, 'b'), (3, 'a')) t(place, step)")
+def dependency_order(spark, sf_dir):
+    """A chain of steps sorted by what they need, against the order of their names."""
+
+    def source(s):
+        return s.range(1)
+
+    chain = [Step(n, source, also=Dependency(tables_needed=frozenset(need), tables_yielded=frozenset({n}))) for n, need in (("a", "b"), ("b", "c"), ("c", "d"), ("d", ""))]
+    return spark.createDataFrame([(i, s.name) for i, s in enumerate(sort_steps(chain))], "place int, step string")
