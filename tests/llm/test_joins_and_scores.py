@@ -193,7 +193,7 @@ def test_next_bytes_sum_to_one():
         else:
             spelled = [b"ab" + bytes([b])]
         ev = cm.Events(spelled, code)
-        x, gate = cm.Mixer.inputs(tables, ev)
+        x, gate = cm.Lookup(tables).inputs(ev)
         bits = cm.Mixer().log2(x, gate, ev.bit)
         lo = code.length[ord("a")] + code.length[ord("b")]
         length = code.length[b] if len(spelled[0]) == 3 else code.length[0x20]
