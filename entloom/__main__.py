@@ -6,6 +6,7 @@ import argparse
 import importlib
 import sys
 
+from entloom.config import Config
 from entloom.plans.model import Pipeline, Selection
 
 
@@ -24,7 +25,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="entloom")
     parser.add_argument("command", choices=["list", "describe", "validate", "run", "status"])
     parser.add_argument("pipeline")
-    parser.add_argument("--store", default="entloom-store")
+    parser.add_argument("--store", default=Config.from_env().store)
     parser.add_argument("--include", nargs="*", default=[])
     parser.add_argument("--exclude", nargs="*", default=[])
     parser.add_argument("--start")
@@ -32,6 +33,9 @@ def main(argv: list[str] | None = None) -> int:
     for flag in ("retry", "fail-downstream", "fast-fail", "rerun-failed", "build"):
         parser.add_argument(f"--{flag}", action="store_true")
     a = parser.parse_args(argv)
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.builder.appName(f"entloom {a.pipeline}").getOrCreate()  # declarations may hold column expressions
     pipeline = load_pipeline(a.pipeline)
     selection = Selection(frozenset(a.include), frozenset(a.exclude), a.start, a.until)
     steps = pipeline.sorted()
@@ -46,12 +50,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "validate":
         print(f"{len(steps)} steps, {len(pipeline.entities)} entities")
         return 0
-    from pyspark.sql import SparkSession
-
     from entloom.plans.runner import Options, Runner
     from entloom.sources.store import Store
 
-    spark = SparkSession.builder.appName(f"entloom {pipeline.name}").getOrCreate()
     runner = Runner(spark, Store(spark, a.store))
     if a.command == "status":
         runner.log.views()

@@ -103,7 +103,7 @@ def test_invalid_rows_fail_the_step(runner):
     assert r.status == "failed" and "no valid n" in r.error and runner.table(e).count() == 0
 
 
-def test_order_selection_and_tags():
+def test_order_selection_and_tags(spark):
     def source(s):
         return s.range(1)
 
@@ -129,7 +129,7 @@ def test_order_selection_and_tags():
         p.add(p.steps[0])
 
 
-def test_declaration_errors():
+def test_declaration_errors(spark):
     _, parent, child = family()
     with pytest.raises(ValueError, match="no columns"):
         Load(parent, {"nope": 1})
@@ -139,7 +139,7 @@ def test_declaration_errors():
         Load(parent, {"label": "x"}, insert=True, id=Out("pid"))
 
 
-def test_version_follows_the_code():
+def test_version_follows_the_code(spark):
     p, *_ = family()
     q, *_ = family()
     assert p.version == q.version
@@ -173,7 +173,7 @@ def demo():
     return family()[0]
 
 
-def test_command_line(capsys):
+def test_command_line(spark, capsys):
     assert main(["list", "tests.test_pipelines:demo"]) == 0
     assert capsys.readouterr().out.split()[:2] == ["b", "parents"]
     assert main(["validate", "tests.test_pipelines:demo"]) == 0
