@@ -5,6 +5,8 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -51,9 +53,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Scratch paths of this process. Lazy results may read them until it ends.
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # the session may have ended
+            remove(spark, path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; it is deleted when this process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
