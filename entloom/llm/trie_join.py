@@ -241,13 +241,25 @@ def _linked(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, chunk:
     edges = rows.select("cls", F.min("cls").over(alike).alias("hub"), F.max("cls").over(alike).alias("top")).where("hub != top and cls != hub").select("cls", "hub").distinct()
     clusters = components(edges, "cls", "hub")
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct()
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     bins = F.greatest(F.lit(1), F.ceil(F.lit(clusters.count()) / bin_sets))
-    home = clusters.join(sizes, "root").select(F.col("node").alias("cls"), "root", F.ceil(F.col("members") / chunk).alias("chunks"))
     # One document of each class brings the set.
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    bearer = facts.where("cls is not null").groupBy("cls").agg(F.min(name).alias("name"))
-    need = stored(home.join(bearer, "cls"), "need")
+    bearer = facts.where("cls is not null").groupBy("cls").agg(F.min(name).alias("name"), F.min("n_shingles").alias("size"))
+    level = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in classes)), lambda c: c <= F.col("size")))
+    home = clusters.select(F.col("node").alias("cls"), "root").join(bearer, "cls").withColumn("k", level)
+    # A large cluster is dealt into chunks by size class and hash; a chunk meets those of its class and the two beside it, as no others can link.
+    shape = home.groupBy("root", "k").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"), F.count(F.lit(1)).alias("n"))
+    shape = shape.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("k", "chunks"))).alias("chunks"), F.sum("n").alias("members"))
+    whole = F.array(F.concat(F.lit("b"), F.pmod(F.xxhash64("root"), bins).cast("string")))
+    mine = F.concat_ws(":", "k", F.pmod(F.xxhash64("cls"), F.element_at("chunks", F.col("k"))))
+
+    def meets(k):
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(F.try_element_at("chunks", k), F.lit(0).cast("long"))), lambda h: F.when(h < F.coalesce(F.try_element_at("chunks", k), F.lit(0)), F.concat_ws(":", k, h)))
+
+    others = F.array_compact(F.concat(*(meets(F.col("k") + d) for d in (-1, 0, 1))))
+    pairs = F.transform(others, lambda o: F.concat_ws("/", F.col("root"), F.least(F.col("mine"), o), F.greatest(F.col("mine"), o)))
+    need = home.join(shape, "root").withColumn("mine", mine)
+    need = stored(need.select("name", "cls", F.when(F.col("members") <= chunk, whole).otherwise(pairs).alias("places")), "need")
 
     def sets(batches: Iterator[pa.RecordBatch]):
         known = Words()
@@ -256,15 +268,11 @@ def _linked(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, chunk:
                 part = batch.slice(lo, 256)
                 found = [gram_set(x.as_py(), n, known) for x in part.column(0)]
                 keep = [i for i, (s, c) in enumerate(zip(found, part.column(1).to_pylist(), strict=True)) if len(s) and set_id(s) == c]
-                out = part.select(["cls", "root", "chunks"]).take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([found[i].tobytes() for i in keep], pa.binary())], names=["cls", "root", "chunks", "grams"])
+                out = part.select(["cls", "places"]).take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([found[i].tobytes() for i in keep], pa.binary())], names=["cls", "places", "grams"])
 
-    texts = src.select("text", name.alias("name")).hint("merge").join(need.hint("merge"), "name").select("text", "cls", "root", "chunks")
-    borne = texts.mapInArrow(sets, "cls long, root long, chunks long, grams binary")
-    mine = F.pmod(F.xxhash64("cls"), F.col("chunks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    placed = borne.withColumn("mine", mine).withColumn("other", other)
-    place = F.when(F.col("chunks") == 1, F.concat(F.lit("b"), F.pmod(F.xxhash64("root"), bins))).otherwise(F.concat_ws("/", "root", F.least("mine", "other"), F.greatest("mine", "other")))
+    texts = src.select("text", name.alias("name")).hint("merge").join(need.hint("merge"), "name").select("text", "cls", "places")
+    borne = texts.mapInArrow(sets, "cls long, places array<string>, grams binary")
 
     def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -275,7 +283,7 @@ def _linked(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, chunk:
         links = TrieJoin([held[c] for c in names], t).links
         yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in links], pa.int64()), pa.array([names[j] for _, j in links], pa.int64())], names=["a", "b"])
 
-    links = placed.select(place.alias("place"), "cls", "grams").groupBy("place").applyInArrow(join, "a long, b long")
+    links = borne.select(F.explode("places").alias("place"), "cls", "grams").groupBy("place").applyInArrow(join, "a long, b long")
     joined = components(links)
     rooted = facts.join(joined, facts["cls"] == joined["node"], "left")
     return stored(rooted.select("doc_id", "hash", "n_shingles", F.coalesce("root", "cls").alias("root")), "rooted")
