@@ -130,6 +130,56 @@ def test_dense_runs():
     assert sorted(cw.dense_runs(hit, 0.9, 8)) == [(5, 26), (46, 55)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.booleans(), max_size=70), st.lists(st.integers(0, 69), max_size=4), st.integers(1, 30), st.sampled_from([0.5, 0.8, 8 / 9]))
+def test_dense_runs_find_the_longest(hit, more, width, share):
+    for m in more:  # long stretches of hits
+        hit[m:m] = [True] * 12
+    hit = np.array(hit, bool)
+    runs = [(a, b) for a in range(len(hit)) for b in range(a + width, len(hit) + 1) if hit[a:b].sum() >= share * (b - a) - 1e-9]
+    got = cw.dense_runs(hit, share, width)
+    assert bool(got) == bool(runs) and set(got) <= set(runs)
+    assert all(b <= c for (_, b), (c, _) in zip(sorted(got), sorted(got)[1:]))
+    if runs:  # but for misses at its ends
+        longest = max(b - a for a, b in runs)
+        assert any(b - a == longest and x >= a and y <= b and not hit[a:x].any() and not hit[y:b].any() for a, b in runs for x, y in got)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_edited_passages_verify(seed):
+    """Passages of 50 to 100 words with one or two words changed, put in or left out, against all pairs of runs."""
+    rng = random.Random(seed)
+    shingle = lambda w: np.array([zlib.crc32(" ".join(w[i : i + 5]).encode()) for i in range(len(w) - 4)], np.uint32)
+    word = lambda: f"r{rng.randrange(10**9)}"
+    passage = [word() for _ in range(rng.randint(50, 100))]
+    other = list(passage)
+    for _ in range(rng.randint(1, 2)):
+        at = rng.randrange(len(other))
+        other[at : at + rng.randint(0, 1)] = [word()] * rng.randint(0, 1)
+    a, b = (shingle([word() for _ in range(20)] + w + [word() for _ in range(20)]) for w in (passage, other))
+    place = {s: j for j, s in enumerate(b.tolist())}
+    at = [place.get(s) for s in a.tolist()]
+    hit = np.array([j is not None for j in at])
+    best = 0.0
+    for x in np.flatnonzero(hit).tolist():  # all runs of a between two hits, and b's run between their places
+        for y in np.flatnonzero(hit).tolist():
+            if y - x >= 45 and at[y] - at[x] >= 45:
+                both = len(np.intersect1d(a[x : y + 1], b[at[x] : at[y] + 1]))
+                n, m = y - x + 1, at[y] - at[x] + 1
+                if both >= 8 / 9 * n and both >= 8 / 9 * m:
+                    best = max(best, both / (n + m - both))
+    got = cw.verify(a, b, 0.8, 46)
+    assert all(like >= 0.8 and y - x >= 46 and v - u >= 46 for x, y, u, v, like in got)
+    assert got or best < 0.8
+
+
+def test_a_change_in_the_middle_of_a_short_passage():
+    a = np.arange(100, 166, dtype=np.uint32)  # 70 words
+    b = a.copy()
+    b[30:35] = np.arange(5)
+    assert cw.verify(a, b, 0.8, 46) == [(0, 66, 0, 66, 61 / 71)]
+
+
 def test_passages(make_docs):
     passage, other = prose(60), prose(50)
     rows = [(i, " ".join(prose(RNG.randint(60, 200)))) for i in range(30)]
