@@ -206,6 +206,30 @@ def test_passages(make_docs):
     assert cw.cut_passages(docs).columns == docs.columns
 
 
+def test_all_of_a_group_are_tried(make_docs):
+    """Variants that are near the original but not near each other, the original neither hub nor predecessor; and passages around a frequent line."""
+    rng = random.Random(3)
+    word = lambda: f"g{rng.randrange(10**9)}"
+    base, line = [word() for _ in range(120)], [word() for _ in range(12)]
+    rows = [(50, " ".join(base))]
+    for v, i in enumerate((10, *range(100, 120))):  # each has one word changed in a place of its own: near the original
+        mine = list(base)
+        for at in (8 + 5 * v, (8 + 5 * v + 55) % 116):
+            mine[at] = word()
+        rows.append((i, " ".join(mine)))
+    for i in range(200, 260):  # the line stands in unrelated texts
+        rows.append((i, " ".join([word() for _ in range(30)] + line + [word() for _ in range(30)])))
+    around = [word() for _ in range(22)] + line + [word() for _ in range(22)]
+    rows += [(i, " ".join([word() for _ in range(20)] + around + [word() for _ in range(20)])) for i in (215000, 235000)]
+    rows += [(i, " ".join([word() for _ in range(30)] + line + [word() for _ in range(30)])) for i in range(220000, 220020)]
+    gram = lambda t: np.array([zlib.crc32(" ".join(t.split()[k : k + 5]).encode()) for k in range(len(t.split()) - 4)], np.uint32)
+    grams = {i: gram(t) for i, t in rows}
+    want = {i for i in grams for j in grams if j < i and cw.verify(grams[i], grams[j], 0.8, 46)}
+    for chunk in (2048, 8):
+        got = cw.find_passages(make_docs(rows), chunk=chunk).collect()
+        assert {r["doc_id"] for r in got} == want and {235000, *range(100, 120)} <= want
+
+
 def test_repeated_ids_are_documents_of_their_own(make_docs):
     a, b = " ".join(prose(80)), " ".join(prose(80))
     docs = make_docs([(1, a), (2, b), (2, a), (2, b), (None, a)])
