@@ -221,6 +221,13 @@ def broadcast_explode(spark, sf_dir):
     return spread(rows, ["lang", "word"], ["doc_id"])
 
 
+@query("SELECT doc_id, lang, unnest(string_split(text, ' ')) AS word FROM documents")
+def broadcast_explode_whole(spark, sf_dir):
+    """As broadcast_explode, over whole texts."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.array("lang").alias("lang"), F.split("text", " ", -1).alias("word"))
+    return spread(rows, ["lang", "word"], ["doc_id"])
+
+
 @query("SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{4,}')) AS number FROM documents")
 def empty_list_drops_row(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("([0-9]{4,})")).alias("number"))

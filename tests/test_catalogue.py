@@ -37,3 +37,9 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     assert sorted(names) == cols
     theirs = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=str)
     assert ours == theirs
+
+
+def test_whole_texts_are_spread(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["count"] for r in catalogue.QUERIES["broadcast_explode_whole"](spark, sf_dir).groupBy("doc_id").count().collect()}
+    assert got == {r["doc_id"]: len(r["text"].split(" ")) for r in docs if r["text"] is not None} and any(len(r["text"] or "") > 200 for r in docs)
