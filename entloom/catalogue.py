@@ -276,6 +276,16 @@ def repeat_antijoin(spark, sf_dir):
     return unseen(hashed, hashed.where("event_id < 500")).select("event_type", "user_id")
 
 
+@query("SELECT DISTINCT event_type, user_id FROM events WHERE (event_type, user_id) NOT IN (SELECT event_type, user_id FROM events WHERE event_id * 10 < (SELECT max(event_id) FROM events))")
+def repeat_antijoin_share(spark, sf_dir):
+    """As repeat_antijoin; the seen inputs are the first tenth of the ids, so they grow with the table."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    hashed = events.withColumn("input_hash", input_hash("v1", {c: F.col(c) for c in ("event_type", "user_id")}))
+    last = hashed.agg(F.max("event_id").alias("last"))
+    seen = hashed.crossJoin(F.broadcast(last)).where("event_id * 10 < last").drop("last")
+    return unseen(hashed, seen).select("event_type", "user_id")
+
+
 # -- validation -------------------------------------------------------------------------------------
 
 
