@@ -230,6 +230,17 @@ def test_all_of_a_group_are_tried(make_docs):
         assert {r["doc_id"] for r in got} == want and {235000, *range(100, 120)} <= want
 
 
+def test_a_passage_of_two_frequent_lines(make_docs):
+    """Texts with one of the lines are hub and predecessor of nearly every signature; two texts have both lines."""
+    rng = random.Random(5)
+    words = lambda n: [f"h{rng.randrange(10**9)}" for _ in range(n)]
+    lines = [words(30), words(30)]
+    rows = [(i, " ".join(words(12) + lines[i % 2] + words(12))) for i in (*range(80), *range(200, 280))]
+    rows += [(i, " ".join(words(20) + lines[0] + lines[1] + words(20))) for i in (100, 300)]
+    got = cw.find_passages(make_docs(rows)).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in got} == {(300, 100)}
+
+
 def test_repeated_ids_are_documents_of_their_own(make_docs):
     a, b = " ".join(prose(80)), " ".join(prose(80))
     docs = make_docs([(1, a), (2, b), (2, a), (2, b), (None, a)])
