@@ -91,40 +91,60 @@ class Model:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    def fit(self, feats: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.5, batch: int = 16) -> None:
-        """SGD with a linearly falling rate. A document's step is spread over its features in proportion to their weights, so that its own vector moves by `rate` times the gradient however many it has."""
+    def forward(self, idx: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of documents of `n` features each, and their class probabilities."""
+        x = np.zeros((len(n), self.emb.shape[1]), np.float32)
+        if len(idx):
+            full = n > 0
+            x[full] = np.add.reduceat(self.emb[idx] * w[:, None], (np.cumsum(n) - n)[full])
+        return x, self.softmax(x @ self.out + self.bias)
+
+    def gradients(self, idx: np.ndarray, w: np.ndarray, n: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the mean log loss: by output weights, by bias and by each document's vector (its features' share is their weight)."""
+        x, p = self.forward(idx, w, n)
+        p[np.arange(len(n)), labels] -= 1
+        p /= len(n)
+        return x.T @ p, p.sum(0), p @ self.out.T
+
+    def fit(self, feats: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, epochs: int = 4, rate: float = 4.0, batch: int = 16, decay: float = 1e-3, clip: float = 1.0) -> None:
+        """SGD with a linearly falling rate, decay of the output weights and of the embeddings touched, and steps whose norm is held to `clip`.
+
+        A document's step is spread over its features in proportion to their weights and scaled by the sum of their squares, so that
+        its own vector moves alike however many it has. The rate is that of a minibatch's mean gradient: documents that share features don't add up beyond it.
+        """
         if not len(labels):
             return
         steps, done = epochs * len(labels), 0
-        norm = [float((w * w).sum()) or 1.0 for w in weights]
+        norm = np.array([float((w * w).sum()) or 1.0 for w in weights], np.float32)
+
+        def held(g: np.ndarray) -> np.ndarray:
+            return g * min(1.0, clip / max(float(np.sqrt((g * g).sum())), 1e-12))
+
         for _ in range(epochs):
             order = self.rng.permutation(len(labels))
             for lo in range(0, len(order), batch):
                 part = order[lo : lo + batch]
-                lr = rate * (1 - done / steps)
+                lr = np.float32(rate * (1 - done / steps))
                 done += len(part)
                 n = np.array([len(feats[i]) for i in part])
                 seg = np.repeat(np.arange(len(part)), n)
                 idx, w = np.concatenate([feats[i] for i in part]), np.concatenate([weights[i] for i in part])
-                x = np.zeros((len(part), self.emb.shape[1]), np.float32)
-                if len(idx):
-                    full = n > 0
-                    x[full] = np.add.reduceat(self.emb[idx] * w[:, None], (np.cumsum(n) - n)[full])
-                grad = self.softmax(x @ self.out + self.bias)
-                grad[np.arange(len(part)), labels[part]] -= 1
-                back = grad @ self.out.T
-                self.out -= lr * (x.T @ grad)
-                self.bias -= lr * 0.1 * grad.sum(0)
+                out, bias, back = self.gradients(idx, w, n, labels[part])
+                self.out -= lr * (held(out) + np.float32(decay) * self.out)
+                self.bias -= lr * 0.1 * held(bias)
                 if len(idx):
-                    scaled = w / np.array([norm[i] for i in part], np.float32)[seg]
-                    np.subtract.at(self.emb, idx, np.float32(lr) * scaled[:, None] * back[seg])
+                    back = held(back)
+                    self.emb[idx] *= 1 - lr * np.float32(decay)
+                    np.subtract.at(self.emb, idx, lr * (w / norm[part][seg])[:, None] * back[seg])
+        if not (np.isfinite(self.out).all() and np.isfinite(self.bias).all() and np.isfinite(self.emb).all()):
+            raise FloatingPointError("training diverged: weights are not finite")
 
     def logits(self) -> tuple[np.ndarray, float]:
         """For two classes: each bucket's share in the log odds of class 1, and the bias."""
         return (self.emb @ (self.out[:, 1] - self.out[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", *, folds: int = 5, held: int = 0, max_train: int = 4000, buckets: int = 1 << 18, dim: int = 8, epochs: int = 12) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", *, folds: int = 5, held: int = 0, max_train: int = 4000, buckets: int = 1 << 18, dim: int = 8, epochs: int = 4) -> Model:
     """Fit on at most `max_train` labelled rows whose crc32(doc_id as text) mod `folds` is not `held`."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("__label"))
     # Which rows train is settled on ids alone; only their texts are read.
