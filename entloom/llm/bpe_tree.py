@@ -12,7 +12,7 @@ halved anywhere, its halves encoded on their own, and the results joined:
   first one that may change, a growing window is matched again until one of its
   sure boundaries is also a boundary of the right half. From there on both agree,
   because the pattern has no look-behind.
-* `merge`: the ranks' merges within one match. A sequence of tokens is the encoding
+* `merge`: the ranks' merges within one match; one that is a token as a whole is that token. A sequence of tokens is the encoding
   of its bytes exactly if every two neighbours are the encoding of theirs. So the
   window of tokens around a seam is encoded again and grows until the two pairs at
   its own edges hold that; tokens outside can then no longer change.
@@ -28,12 +28,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,13 +71,11 @@ class _Known(dict):
 class TreeCodec:
     """Encoder and decoder for one rank file."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = 8192, leaf_bytes: int = 256, cache: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = 2048, leaf_bytes: int = 16, cache: int = 400_000):
         self.ranks, self.leaf_chars, self.leaf_bytes = ranks, leaf_chars, leaf_bytes
         self.tokens = {r: t for t, r in ranks.items()}
         self.digits = {r: str(r) for r in ranks.values()}
         self._find = regex.compile(pattern).findall
-        #: For short segments.
-        self._leaf = tiktoken.Encoding("entloom", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known = _Known(self._encode_segment, cache)
         self._pairs: dict[tuple[int, int], bool] = {}
 
@@ -131,15 +129,51 @@ class TreeCodec:
 
     def _merge_leaf(self, data: bytes) -> list[int]:
         """Merge the neighbours whose union has the lowest rank, leftmost first, until none has one."""
+        if len(data) > 256:
+            return self._merge_heap(data)
+        get, none = self.ranks.get, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min((r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1], 1 << 60)) is not None)
-            if best[0] == 1 << 60:
+        pairs = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == none:
                 break
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [ranks[p] for p in parts]
+            i = pairs.index(best)
+            parts[i] += parts[i + 1]
+            del parts[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+        return [self.ranks[p] for p in parts]
+
+    def _merge_heap(self, data: bytes) -> list[int]:
+        """The same for long windows: a heap of (rank, place) over a linked list of parts."""
+        get, n = self.ranks.get, len(data)
+        stop, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+
+        def offer(i: int) -> None:
+            if (j := stop[i]) < n and (r := get(data[i : stop[j]])) is not None:
+                heapq.heappush(heap, (r, i, stop[j]))
+
+        while heap:
+            _, i, end = heapq.heappop(heap)
+            j = stop[i]
+            if j == 0 or j >= n or stop[j] != end:  # one of the two is merged away or has grown
+                continue
+            stop[i], stop[j] = end, 0
+            if end < n:
+                before[end] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[data[i : stop[i]]])
+            i = stop[i]
+        return out
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one match's bytes, by halves."""
@@ -171,9 +205,14 @@ class TreeCodec:
             a, b = (a if low else 2 * a), (b if high else 2 * b)
 
     def _encode_segment(self, segment: str) -> list[int]:
-        if len(segment) <= self.leaf_bytes // 4:
-            return self._leaf(segment)
-        return list(chain.from_iterable(self.merge(piece.encode("utf-8")) for piece in self.split(segment)))
+        out = []
+        for piece in self.split(segment):
+            data = piece.encode("utf-8")
+            if (whole := self.ranks.get(data)) is not None:
+                out.append(whole)
+            else:
+                out += self.merge(data)
+        return out
 
     # -- texts --------------------------------------------------------------------
 

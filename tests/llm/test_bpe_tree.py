@@ -34,6 +34,23 @@ def test_long_matches():
         assert TINY.merge(text.encode()) == LIB.encode_ordinary(text)
 
 
+def test_a_match_of_a_million_characters():
+    rng = random.Random(5)
+    text = "".join(rng.choice("etaoinshr") for _ in range(1_000_000))
+    codec = TreeCodec(RANKS, P.PATTERN)
+    ids = codec.encode(text)
+    assert ids == LIB.encode_ordinary(text) and codec.decode(ids) == text.encode()
+
+
+@given(st.text(alphabet="abé1", min_size=257, max_size=600))
+@settings(max_examples=30, deadline=None)
+def test_both_mergers_agree(text):
+    data = text.encode()
+    ids = SMALL._merge_heap(data)
+    assert ids == LIB.encode_ordinary(text) or len(SMALL.split(text)) > 1
+    assert SMALL.decode(ids) == data
+
+
 def test_matches_join_at_any_cut():
     text = "don't  stop\n\n  now   12ab's  'll   "
     for cut in range(len(text) + 1):
