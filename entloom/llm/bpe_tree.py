@@ -27,6 +27,7 @@ encoded whole.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
@@ -53,14 +54,14 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class _Known(dict):
-    """Ids of segments seen before, and the same as text. Emptied when full, so memory stays bounded."""
+    """Ids of segments seen before, each with the space that it follows. Emptied when full, so memory stays bounded."""
 
     def __init__(self, encode, most: int):
         super().__init__()
         self._encode, self._most = encode, most
 
     def __missing__(self, segment: str) -> tuple[int, ...]:
-        ids = tuple(self._encode(segment))
+        ids = tuple(self._encode(" " + segment))
         if len(segment) <= 64:
             if len(self) >= self._most:
                 self.clear()
@@ -71,13 +72,15 @@ class _Known(dict):
 class TreeCodec:
     """Encoder and decoder for one rank file."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = 2048, leaf_bytes: int = 16, cache: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = 2048, leaf_bytes: int = 2, cache: int = 1_000_000):
         self.ranks, self.leaf_chars, self.leaf_bytes = ranks, leaf_chars, leaf_bytes
         self.tokens = {r: t for t, r in ranks.items()}
         self.digits = {r: str(r) for r in ranks.values()}
         self._find = regex.compile(pattern).findall
         self._known = _Known(self._encode_segment, cache)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[tuple[int, int], list[int]] = {}
+        self._leaves: dict[bytes, list[int]] = {}
+        self._parts: dict[bytes, list[int]] = {}
 
     # -- segments -----------------------------------------------------------------
 
@@ -176,33 +179,59 @@ class TreeCodec:
         return out
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one match's bytes, by halves."""
+        """Ids of one match's bytes, by halves. Short parts recur in many words and are kept."""
         if len(data) <= self.leaf_bytes:
-            return self._merge_leaf(data)
+            return self._leaf(data)
+        if (found := self._parts.get(data)) is not None:
+            return found
         mid = len(data) // 2
-        return self.join_tokens(self.merge(data[:mid]), self.merge(data[mid:]))
+        found = self.join_tokens(self.merge(data[:mid]), self.merge(data[mid:]))
+        if len(data) <= 4 * self.leaf_bytes:
+            self._keep(self._parts, data, found)
+        return found
 
-    def _holds(self, a: int, b: int) -> bool:
+    def _leaf(self, data: bytes) -> list[int]:
+        if len(data) > 16:
+            return self._merge_leaf(data)
+        if (found := self._leaves.get(data)) is None:
+            found = self._keep(self._leaves, data, self._merge_leaf(data))
+        return found
+
+    @staticmethod
+    def _keep(held: dict, key, value):
+        """Bounded memory: a full table is emptied."""
+        if len(held) >= 200_000:
+            held.clear()
+        held[key] = value
+        return value
+
+    def _pair(self, a: int, b: int) -> list[int]:
+        """Ids of two tokens' bytes."""
         if (found := self._pairs.get((a, b))) is None:
-            if len(self._pairs) > 200_000:
-                self._pairs.clear()
-            found = self._pairs[a, b] = self._merge_leaf(self.tokens[a] + self.tokens[b]) == [a, b]
+            found = self._keep(self._pairs, (a, b), self._merge_leaf(self.tokens[a] + self.tokens[b]))
         return found
 
+    def _holds(self, a: int, b: int) -> bool:
+        found = self._pair(a, b)
+        return len(found) == 2 and found[0] == a
+
     def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
         """Ids of the concatenation of what two id lists of one match stand for."""
         if not left or not right:
             return left or right
-        a = b = 0 if self._holds(left[-1], right[0]) else 1
-        while True:
-            a, b = min(a, len(left)), min(b, len(right))
-            window = self._merge_leaf(self.decode(left[len(left) - a :] + right[:b])) if a + b else []
-            seq = left[max(0, len(left) - a - 1) : len(left) - a] + window + right[b : b + 1]
-            low = not window or a == len(left) or self._holds(seq[0], seq[1])
-            high = not window or b == len(right) or self._holds(seq[-2], seq[-1])
-            if low and high:
-                return left[: len(left) - a] + window + right[b:]
-            a, b = (a if low else 2 * a), (b if high else 2 * b)
+        # The smallest window: the two tokens at the seam.
+        window = self._pair(left[-1], right[0])
+        if len(window) == 2 and window[0] == left[-1]:
+            return left + right
+        low = len(left) == 1 or self._holds(left[-2], window[0])
+        high = len(right) == 1 or self._holds(window[-1], right[1])
+        a = b = 1
+        while not (low and high):
+            a, b = min(len(left), a if low else 2 * a), min(len(right), b if high else 2 * b)
+            window = self._leaf(self.decode(left[len(left) - a :] + right[:b]))
+            low = a == len(left) or self._holds(left[-a - 1], window[0])
+            high = b == len(right) or self._holds(window[-1], right[b])
+        return left[: len(left) - a] + window + right[b:]
 
     def _encode_segment(self, segment: str) -> list[int]:
         out = []
@@ -219,8 +248,10 @@ class TreeCodec:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        first, *rest = self.segments(text)
-        return [*self._known[first], *chain.from_iterable(map(self._known.__getitem__, [" " + x for x in rest]))]
+        cut = self.segments(text)
+        out = self._encode_segment(cut[0])
+        out.extend(chain.from_iterable(map(self._known.__getitem__, cut[1:])))
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -254,6 +285,7 @@ def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text"
 
     def run(batches):
         codec = codec_of(shared.value, pattern)
+        gc.disable()  # nothing here makes cycles, and the codec's tables are long to walk
         digits = codec.digits
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
