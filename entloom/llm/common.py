@@ -41,6 +41,11 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def id_name(doc_id: Column) -> Column:
+    """An id as text, for joins; a null id has a name that no text has."""
+    return F.coalesce(F.concat(F.lit("i"), doc_id.cast("string")), F.lit("n"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -75,7 +80,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and outlives executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Shuffle files of finished steps go once the JVM drops what refers to them.
+    df.sparkSession.sparkContext._jvm.System.gc()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._entloom_path = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete `stored` tables that nothing will read again."""
+    for t in tables:
+        path = t._entloom_path
+        remove(t.sparkSession, path)
+        _made[:] = [x for x in _made if x[1] != path]
 
 
 def remove(spark: SparkSession, path: str) -> None:

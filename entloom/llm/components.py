@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entloom.llm.common import stored
+from entloom.llm.common import released, stored
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -26,6 +26,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = stored(links, "links")
     before = None
     while True:
+        old_links = links
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: neighbours above u go to the least of u and its neighbours.
         large = _star(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
@@ -33,6 +34,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = _star(large)
         links = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         links = stored(links, "links")
+        released(old_links)
         now = links.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if now == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,23 +1,28 @@
-"""N-gram Jaccard join: sets of word n-grams joined in a prefix tree.
-
-The join proper is `TrieJoin`: sets in one global order of their n-grams (frequent ones first, so
-that near copies share long paths) are kept in a path-compressed tree. A set is looked up by
-walking the tree: paths share their overlap so far, and a subtree is left when the overlap so far
-plus what can still come (the shorter of what remains of the set and of the subtree's longest set) can't reach the threshold for any
-length in the subtree. A subtree that is already connected with the set is left too.
-
-Which sets meet in one tree is settled by exact signatures. Two linked sets of sizes a and b
-differ in at most (a + b) / 19 n-grams at a similarity of 0.9 (in general (1 - t) / (1 + t) of a + b). If n-grams are dealt by hash
-to more parts than that, one part at least is the same in both. So each set emits a hash
-of each part, for its own class of sizes and the next; sets that share a signature are candidates, and connected
-candidates form a cluster. A passage or an n-gram that many texts share makes no candidates, as whole parts must
-agree. With `z` spare parts, empty parts emit nothing unless a set has more than `z`.
-
-Clusters are joined in bins; one above `chunk` sets is dealt into chunks whose pairs are joined each on their
-own, so no cluster is one task. Equal sets are one class throughout; copies are never paired. Links leave the
-trees as spanning forests, and components are found in the table of links.
-
-Words are lower-cased (A-Z) and n-grams known by 64-bit hashes. A text with fewer words than an n-gram is one n-gram; null
+"""N-gram Jaccard join: sets of word n-grams joined in prefix trees.
+
+The join proper is `TrieJoin`: sets in one global order of their n-grams (by 64-bit hash) are kept in a
+path-compressed tree. A set is looked up by walking the tree: paths share their overlap so far, and a subtree is left
+when the overlap so far plus what can still come (the shorter of what remains of the set and of the subtree's longest
+set) can't reach the threshold for any length in the subtree. A subtree that is already connected with the set is left too.
+
+Which sets meet in one tree is settled by exact filters, so no link is lost:
+
+* Signatures. Two linked sets of sizes a and b differ in at most (1 - t) / (1 + t) of a + b n-grams. If n-grams are dealt
+  by hash to more parts than that, one part at least is the same in both. So each set emits a hash of each
+  part, for its own class of sizes and the next; sets that share a signature are candidates. With `z` spare
+  parts, empty parts emit nothing unless a set has more than `z`.
+* Sketches. The parity of the n-grams in each of about |set| cells: two sets' sketches differ in no more cells than the sets in n-grams.
+
+Candidates meet in two rounds. First each set meets the least set of its signatures that its sketch doesn't rule out
+(a star: the hub and up to `chunk` others in one tree; larger stars are dealt into several). What these trees link is
+one component. Then, of signatures that sets of several components still share, all pairs across components whose sketches
+allow it meet, again in stars. A group of near copies is thus linked in a number of tree insertions that grows with its
+members; pairs are compared (by sketches, in blocks of `group` sets) only where components are still apart.
+
+Equal sets are one class throughout; copies are never paired. Links leave the trees as spanning forests, and
+components are found in the table of links.
+
+Words are lower-cased (A-Z) and n-grams known by 64-bit hashes; texts are read whole, however long. A text with fewer words than an n-gram is one n-gram; null
 and empty texts have no set, link with nothing and are components of their own. Null ids are documents like any
 other; a component's id is its smallest id that isn't null. Repeated rows each give a row. Other columns are
 ignored. An empty table gives an empty table.
@@ -26,16 +31,15 @@ ignored. An empty table gives an empty table.
 from __future__ import annotations
 
 import bisect
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entloom.llm.common import lower_words_of, stored
+from entloom.llm.common import id_name, lower_words_of, released, stored
 from entloom.llm.components import components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -102,7 +106,7 @@ class Threshold:
 
 
 def signatures(s: np.ndarray, t: Threshold, classes: list[int], spare: int = 3) -> np.ndarray:
-    """A set's signatures, for its size class and the next."""
+    """A set's signatures, for its size class and the next; the lowest bit is that of the class's number."""
     k = bisect.bisect_right(classes, len(s)) - 1
     out = []
     with np.errstate(over="ignore"):
@@ -119,10 +123,23 @@ def signatures(s: np.ndarray, t: Threshold, classes: list[int], spare: int = 3)
             if len(which) < p:  # more than z parts are empty: they count too
                 empty = np.setdiff1d(np.arange(p + z), which)
                 total, which = np.concatenate((total, np.zeros(len(empty), np.uint64))), np.concatenate((which, empty))
-            out.append(mix64(total * _A + which.astype(np.uint64) + np.uint64(tag) * _B))
+            out.append(mix64(total * _A + which.astype(np.uint64) + np.uint64(tag) * _B) & ~np.uint64(1) | np.uint64(tag & 1))
     return np.concatenate(out).view(np.int64)
 
 
+def sketches(s: np.ndarray, classes: list[int]) -> list[np.ndarray]:
+    """For the set's size class and the next: the parity of its n-grams in each of about as many cells as the class's sizes."""
+    k = bisect.bisect_right(classes, len(s)) - 1
+    with np.errstate(over="ignore"):
+        deal = mix64(s * _C + _A)
+    out = []
+    for tag in (k, k + 1):
+        cells = -(-classes[tag] // 64) * 64
+        odd = np.bincount((deal % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    return out
+
+
 # -- the join ------------------------------------------------------------------------------
 
 
@@ -138,15 +155,12 @@ class TrieJoin:
     """Components of sets under the threshold. `links` is a spanning forest of the links."""
 
     def __init__(self, sets: list[np.ndarray], t: Threshold):
-        df = Counter()
-        for s in sets:
-            df.update(s.tolist())
-        rank = {g: i for i, (g, _) in enumerate(sorted(df.items(), key=lambda x: (-x[1], x[0])))}
+        """sets: sorted, each n-gram once."""
         self.t, self.links = t, []
         self.parent = list(range(len(sets)))
         self.root = _Node([])
         for i in sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)):
-            path = sorted(rank[g] for g in sets[i].tolist())
+            path = sets[i].tolist()
             self._probe(i, path)
             self._insert(i, path)
 
@@ -211,82 +225,177 @@ class TrieJoin:
 # -- tables --------------------------------------------------------------------------------
 
 
-def _linked(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, chunk: int = 256, bin_sets: int = 512, longest: int = 1 << 32) -> DataFrame:
-    """doc_id, n_shingles, a hash of the text and the component's root (null without a set) of every row, stored."""
-    t = Threshold(num, den)
-    classes = t.classes(longest)
+def _scan(docs: DataFrame, n: int, t: Threshold, classes: list[int]) -> DataFrame:
+    """doc_id, name, hash (of the text), n_shingles, cls (the set's id, null without one), k (its size class), its two sketches and signatures."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    src = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
 
-    def scan(batches: Iterator[pa.RecordBatch]):
+    def run(batches: Iterator[pa.RecordBatch]):
         known = Words()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                size, ids, sigs = [], [], []
-                for text in part.column(1):
+                size, ids, ks, near, far, sigs = [], [], [], [], [], []
+                for text in part.column(3):
                     s = gram_set(text.as_py(), n, known)
                     size.append(len(s))
                     ids.append(set_id(s) if len(s) else None)
+                    ks.append(bisect.bisect_right(classes, len(s)) - 1 if len(s) else None)
+                    one, two = sketches(s, classes) if len(s) else (np.zeros(0, np.int64),) * 2
+                    near.append(one)
+                    far.append(two)
                     sigs.append(signatures(s, t, classes) if len(s) else np.zeros(0, np.int64))
-                flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sigs)]), pa.int32()), pa.array(np.concatenate(sigs)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), flat], names=["doc_id", "hash", "n_shingles", "cls", "sigs"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (near, far, sigs)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.array(ks, pa.int32()), *lists], names=["doc_id", "name", "hash", "n_shingles", "cls", "k", "near", "far", "sigs"])
+
+    text = F.col("text").cast("string").cast("binary")
+    src = docs.select("doc_id", id_name(F.col("doc_id")).alias("name"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    return src.mapInArrow(run, f"doc_id {id_type}, name string, hash long, n_shingles long, cls long, k int, near array<long>, far array<long>, sigs array<long>")
+
 
-    with_hash = src.withColumn("hash", F.xxhash64("text"))
-    scanned = with_hash.mapInArrow(scan, f"doc_id {id_type}, hash long, n_shingles long, cls long, sigs array<long>")
-    # Facts and signatures are used apart; the texts are read for each, which is less than to keep the signatures.
-    facts = stored(scanned.select("doc_id", "hash", "n_shingles", "cls"), "facts")
+#: Bits of the filter that keeps signatures of a single set from being shuffled a second time (16 MB).
+FILTER_BITS = 27
+
+
+def _shared(scanned: DataFrame) -> DataFrame:
+    """sig, cls, hub of every signature that several sets have; hub is the least of them."""
     rows = scanned.where("cls is not null").select("cls", F.explode("sigs").alias("sig"))
-    alike = Window.partitionBy("sig")
-    edges = rows.select("cls", F.min("cls").over(alike).alias("hub"), F.max("cls").over(alike).alias("top")).where("hub != top and cls != hub").select("cls", "hub").distinct()
-    clusters = components(edges, "cls", "hub")
-    clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct()
-    bins = F.greatest(F.lit(1), F.ceil(F.lit(clusters.count()) / bin_sets))
-    # One document of each class brings the set.
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    bearer = facts.where("cls is not null").groupBy("cls").agg(F.min(name).alias("name"), F.min("n_shingles").alias("size"))
-    level = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in classes)), lambda c: c <= F.col("size")))
-    home = clusters.select(F.col("node").alias("cls"), "root").join(bearer, "cls").withColumn("k", level)
-    # A large cluster is dealt into chunks by size class and hash; a chunk meets those of its class and the two beside it, as no others can link.
-    shape = home.groupBy("root", "k").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"), F.count(F.lit(1)).alias("n"))
-    shape = shape.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("k", "chunks"))).alias("chunks"), F.sum("n").alias("members"))
-    whole = F.array(F.concat(F.lit("b"), F.pmod(F.xxhash64("root"), bins).cast("string")))
-    mine = F.concat_ws(":", "k", F.pmod(F.xxhash64("cls"), F.element_at("chunks", F.col("k"))))
-
-    def meets(k):
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(F.try_element_at("chunks", k), F.lit(0).cast("long"))), lambda h: F.when(h < F.coalesce(F.try_element_at("chunks", k), F.lit(0)), F.concat_ws(":", k, h)))
-
-    others = F.array_compact(F.concat(*(meets(F.col("k") + d) for d in (-1, 0, 1))))
-    pairs = F.transform(others, lambda o: F.concat_ws("/", F.col("root"), F.least(F.col("mine"), o), F.greatest(F.col("mine"), o)))
-    need = home.join(shape, "root").withColumn("mine", mine)
-    need = stored(need.select("name", "cls", F.when(F.col("members") <= chunk, whole).otherwise(pairs).alias("places")), "need")
+    hubs = stored(rows.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub != top").select("sig", "hub"), "hubs")
+    cell = F.pmod(F.shiftrightunsigned("sig", 1), F.lit(1 << FILTER_BITS))
+    words = hubs.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = scanned.sparkSession.sparkContext.broadcast(bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            sigs = batch.column(1)
+            sig = sigs.flatten().to_numpy()
+            at = (sig.view(np.uint64) >> np.uint64(1)) & np.uint64((1 << FILTER_BITS) - 1)
+            hit = np.flatnonzero(shared.value.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(sigs.offsets.to_numpy()))[hit]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(sig[hit])], names=["cls", "sig"])
+
+    rows = scanned.where("cls is not null").select("cls", "sigs").mapInArrow(keep, "cls long, sig long").distinct()
+    return stored(rows.hint("merge").join(hubs.hint("merge"), "sig").select("sig", "cls", "hub"), "shared")
+
+
+def _sketch_of(sig: Column, k: Column, near: Column, far: Column) -> Column:
+    return F.when(F.pmod(sig, F.lit(2)) == F.pmod(k, F.lit(2)), near).otherwise(far)
+
+
+def _cross_pairs(rows: DataFrame, t: Threshold, group: int) -> DataFrame:
+    """a < b: pairs of different roots within a signature that their sketches allow. rows: sig, cls, root, size, sketch."""
+    count = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    bins = F.lit(1) + F.floor(F.lit(rows.count()) / (4 * group))
+    dealt = rows.join(count, "sig").withColumn("parts", F.ceil(F.col("n") / group).cast("int")).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumn("i", F.least("mine", "theirs")).withColumn("j", F.greatest("mine", "theirs"))
+    place = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("sig"), bins)).otherwise(F.xxhash64("sig", "i", "j"))
+
+    def allowed(size: np.ndarray, other: np.ndarray) -> np.ndarray:
+        both = size[:, None] + other[None, :]
+        return both - 2 * -(-t.num * both // (t.num + t.den))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        at = {c: table.column(c).to_numpy() for c in ("sig", "cls", "root", "size", "mine", "i", "j")}
+        order = np.lexsort((at["j"], at["i"], at["sig"]))
+        at = {c: v[order] for c, v in at.items()}
+        sketch = table.column("sketch").take(pa.array(order)).to_pylist()
+        edge = np.flatnonzero(np.concatenate(([True], (at["sig"][1:] != at["sig"][:-1]) | (at["i"][1:] != at["i"][:-1]) | (at["j"][1:] != at["j"][:-1]), [True])))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            own = {c: v[lo:hi] for c, v in at.items()}
+            bits = np.array(sketch[lo:hi], np.int64).view(np.uint64)
+            apart = own["i"][0] != own["j"][0]
+            step = max(1, 4_000_000 // (len(bits) * bits.shape[1]))
+            for x in range(0, len(bits), step):
+                far = np.bitwise_count(bits[x : x + step, None, :] ^ bits[None, :, :]).sum(2, dtype=np.int32)
+                ok = (far <= allowed(own["size"][x : x + step], own["size"])) & (own["root"][x : x + step, None] != own["root"][None, :]) & (own["cls"][x : x + step, None] < own["cls"][None, :])
+                if apart:  # pairs within a chunk meet where both are the same
+                    ok &= own["mine"][x : x + step, None] != own["mine"][None, :]
+                one, two = np.nonzero(ok)
+                if len(one):
+                    yield pa.RecordBatch.from_arrays([pa.array(own["cls"][one + x]), pa.array(own["cls"][two])], names=["a", "b"])
+
+    met = dealt.select(place.alias("place"), "sig", "cls", "root", "size", "sketch", "mine", "i", "j").groupBy("place").applyInArrow(run, "a long, b long")
+    return met.distinct()
+
+
+def _star_links(src: DataFrame, bearer: DataFrame, pairs: DataFrame, n: int, t: Threshold, chunk: int, bin_sets: int) -> DataFrame:
+    """a, b: links that prefix trees find, each over a hub and up to about `chunk` of the sets that are to meet it. pairs: hub, cls."""
+    stars = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
+    placed = pairs.join(stars, "hub").select("hub", "cls", F.xxhash64("hub", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("place"))
+    asked = placed.select("cls", "place").unionByName(placed.select(F.col("hub").alias("cls"), "place").distinct())
+    need = stored(asked.join(bearer.select("cls", "name", "hash"), "cls"), "need")
+    bins = 1 + need.count() // bin_sets
 
     def sets(batches: Iterator[pa.RecordBatch]):
-        known = Words()
+        known, last, held = Words(), None, b""
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                found = [gram_set(x.as_py(), n, known) for x in part.column(0)]
-                keep = [i for i, (s, c) in enumerate(zip(found, part.column(1).to_pylist(), strict=True)) if len(s) and set_id(s) == c]
-                out = part.select(["cls", "places"]).take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([found[i].tobytes() for i in keep], pa.binary())], names=["cls", "places", "grams"])
-
-    texts = src.select("text", name.alias("name")).hint("merge").join(need.hint("merge"), "name").select("text", "cls", "places")
-    borne = texts.mapInArrow(sets, "cls long, places array<string>, grams binary")
+                out = []
+                for cls, text in zip(part.column(1).to_pylist(), part.column(0), strict=True):
+                    if cls != last:  # rows of a set come together
+                        s = gram_set(text.as_py(), n, known)
+                        last, held = cls, s.tobytes()
+                    out.append(held)
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(out, pa.binary())], names=["cls", "place", "grams"])
 
     def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        places: dict[int, dict[int, np.ndarray]] = {}
         for batch in batches:
-            for c, g in zip(batch.column("cls").to_pylist(), batch.column("grams").to_pylist(), strict=True):
-                held[c] = np.frombuffer(g, np.uint64)
-        names = sorted(held)
-        links = TrieJoin([held[c] for c in names], t).links
-        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in links], pa.int64()), pa.array([names[j] for _, j in links], pa.int64())], names=["a", "b"])
+            for p, c, g in zip(batch.column("place").to_pylist(), batch.column("cls").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+                places.setdefault(p, {})[c] = np.frombuffer(g, np.uint64)
+        for held in places.values():
+            names = sorted(held)
+            links = TrieJoin([held[c] for c in names], t).links
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in links], pa.int64()), pa.array([names[j] for _, j in links], pa.int64())], names=["a", "b"])
+
+    texts = src.hint("merge").join(need.hint("merge"), ["name", "hash"]).select("text", "cls", "place")
+    dealt = texts.mapInArrow(sets, "cls long, place long, grams binary").withColumn("bin", F.pmod("place", F.lit(bins)))
+    return stored(dealt.groupBy("bin").applyInArrow(join, "a long, b long"), "links")
 
-    links = borne.select(F.explode("places").alias("place"), "cls", "grams").groupBy("place").applyInArrow(join, "a long, b long")
-    joined = components(links)
-    rooted = facts.join(joined, facts["cls"] == joined["node"], "left")
-    return stored(rooted.select("doc_id", "hash", "n_shingles", F.coalesce("root", "cls").alias("root")), "rooted")
+
+def _linked(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, chunk: int = 256, bin_sets: int = 512, group: int = 2048, longest: int = 1 << 32) -> DataFrame:
+    """doc_id, name, hash (of the text), n_shingles and the component's root (null without a set) of every row, stored."""
+    t = Threshold(num, den)
+    classes = t.classes(longest)
+    text = F.col("text").cast("string").cast("binary")
+    src = docs.select(id_name(F.col("doc_id")).alias("name"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    scanned = stored(_scan(docs, n, t, classes), "scan")
+    facts = stored(scanned.select("doc_id", "name", "hash", "n_shingles", "cls"), "facts")
+    shared = _shared(scanned)
+    # One document of each set that shares a signature brings its words.
+    candidates = shared.select("cls").distinct()
+    borne = scanned.join(candidates, "cls").groupBy("cls").agg(F.min(F.struct("name", "hash", "n_shingles", "k", "near", "far")).alias("f"))
+    bearer = stored(borne.select("cls", "f.name", "f.hash", F.col("f.n_shingles").alias("size"), "f.k", "f.near", "f.far"), "bearer")
+    released(scanned)
+
+    # First round: each set and the least of the sets that it may be linked to by sketch.
+    odd = F.pmod("sig", F.lit(2)).alias("sig")
+    pairs = shared.where("cls != hub").select("cls", "hub", odd).distinct()
+    side = bearer.select("cls", "size", "k", "near", "far")
+    met = pairs.join(side, "cls").join(side.select(F.col("cls").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in ("size", "k", "near", "far"))), "hub")
+    differ = F.aggregate(F.zip_with(_sketch_of(F.col("sig"), F.col("k"), F.col("near"), F.col("far")), _sketch_of(F.col("sig"), F.col("hub_k"), F.col("hub_near"), F.col("hub_far")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, x: total + x)
+    both = F.col("size") + F.col("hub_size")
+    first = met.where(differ <= both - 2 * F.ceil(both * num / (num + den))).groupBy("cls").agg(F.min("hub").alias("hub"))
+    links = _star_links(src, bearer, first, n, t, chunk, bin_sets)
+
+    # Second round: pairs across what the first has left apart.
+    roots = components(links)
+    rooted = stored(shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root")), "rooted")
+    open_ = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
+    rows = rooted.join(open_, "sig").join(side, "cls")
+    rows = stored(rows.select("sig", "cls", "root", "size", _sketch_of(F.col("sig"), F.col("k"), F.col("near"), F.col("far")).alias("sketch")), "open")
+    apart = _cross_pairs(rows, t, group).select(F.col("a").alias("hub"), F.col("b").alias("cls"))
+    more = _star_links(src, bearer, stored(apart, "pairs"), n, t, chunk, bin_sets)
+
+    joined = components(links.unionByName(more))
+    found = facts.join(joined, facts["cls"] == joined["node"], "left")
+    out = stored(found.select("doc_id", "name", "hash", "n_shingles", F.coalesce("root", "cls").alias("root")), "rooted")
+    released(facts, shared, bearer, links, rooted, rows, more)
+    return out
 
 
 def jaccard_components(docs: DataFrame, **how) -> DataFrame:
@@ -302,13 +411,11 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     Of rows of equal id and text one stays; rows without a set all stay.
     """
     rooted = _linked(docs, **how)
-    first = rooted.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "hash")).alias("f"))
-    stay = first.select(F.coalesce(F.col("f.doc_id").cast("string"), F.lit("null")).alias("__name"), F.col("f.hash").alias("__hash"), F.lit(True).alias("__one"))
-    empty = rooted.where("root is null").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__name"), F.col("hash").alias("__hash"), F.lit(False).alias("__one")).distinct()
-    named = docs.withColumn("__name", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("__hash", F.xxhash64(F.col("text").cast("string").cast("binary")))
-    kept = named.join(stay.unionByName(empty).hint("merge"), ["__name", "__hash"])
-    again = rooted.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    if again:
-        nth = F.row_number().over(Window.partitionBy("__name", "__hash").orderBy("__hash"))
-        kept = kept.withColumn("__nth", nth).where("__nth = 1 or not __one")
-    return kept.select(*docs.columns)
+    stay = rooted.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "name", "hash")).alias("f")).select(F.col("f.name").alias("__name"), F.col("f.hash").alias("__hash"))
+    text = F.col("text").cast("string")
+    wordless = docs.where(F.coalesce(~text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(True)))
+    named = docs.withColumn("__name", id_name(F.col("doc_id"))).withColumn("__hash", F.xxhash64(text.cast("binary")))
+    kept = named.join(stay.hint("merge"), ["__name", "__hash"])
+    if rooted.where("root is not null").groupBy("name", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__name", "__hash"])
+    return kept.select(*docs.columns).unionByName(wordless)

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import bisect
 import random
 import zlib
 
@@ -76,17 +77,24 @@ def test_linked_sets_share_a_signature(n, more, less, seed, ratio):
     a, b = np.unique(a), np.unique(b)
     if ratio[1] * len(np.intersect1d(a, b)) >= ratio[0] * len(np.union1d(a, b)):
         assert np.intersect1d(tj.signatures(a, t, classes), tj.signatures(b, t, classes)).size
+    # The sketches of a class in which both meet never differ in more cells than the sets in n-grams.
+    differ = len(np.setxor1d(a, b))
+    ka, kb = (bisect.bisect_right(classes, len(x)) - 1 for x in (a, b))
+    for i, x in enumerate(tj.sketches(a, classes)):
+        for j, y in enumerate(tj.sketches(b, classes)):
+            if ka + i == kb + j:
+                assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= differ
 
 
-@pytest.mark.parametrize("chunk, n, num, den", [(256, 3, 9, 10), (4, 3, 9, 10), (5, 5, 4, 5)])
-def test_components_of_documents(make_docs, chunk, n, num, den):
+@pytest.mark.parametrize("chunk, group, n, num, den", [(256, 2048, 3, 9, 10), (4, 3, 3, 9, 10), (5, 4, 5, 4, 5), (256, 2048, 5, 4, 5)])
+def test_components_of_documents(make_docs, chunk, group, n, num, den):
     rows = []
     for g in range(12):
         base = prose(RNG.randint(20, 200))
         rows += [(100 * g + k, " ".join(edited(base, RNG.randint(0, 6))).upper()) for k in range(RNG.randint(1, 14))]
     rows += ODD
     docs = make_docs(rows)
-    got = tj.jaccard_components(docs, chunk=chunk, bin_sets=16, n=n, num=num, den=den).collect()
+    got = tj.jaccard_components(docs, chunk=chunk, group=group, bin_sets=16, n=n, num=num, den=den).collect()
     sets = [shingles(t, n) for _, t in rows]
     roots = linked_roots(sets, num, den)
     least = {}
@@ -95,7 +103,7 @@ def test_components_of_documents(make_docs, chunk, n, num, den):
             least[r] = min(least.get(r, i), i)
     want = [(i, len(s), i if not s else least.get(r)) for (i, _), s, r in zip(rows, sets, roots, strict=True)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    stay = tj.one_of_each(docs, chunk=chunk, n=n, num=num, den=den).collect()
+    stay = tj.one_of_each(docs, chunk=chunk, group=group, n=n, num=num, den=den).collect()
     empties = sum(not s for s in sets)
     assert len(stay) == len({r for r, s in zip(roots, sets, strict=True) if s}) + empties
 
