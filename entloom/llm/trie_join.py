@@ -256,22 +256,31 @@ def _scan(docs: DataFrame, n: int, t: Threshold, classes: list[int]) -> DataFram
 FILTER_BITS = 27
 
 
+def live_filter(sigs: DataFrame):
+    """A broadcast bitmap of a table's `sig`; it is of fixed size, and lets more through the more there are."""
+    cell = F.pmod(F.shiftrightunsigned("sig", 1), F.lit(1 << FILTER_BITS))
+    words = sigs.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return sigs.sparkSession.sparkContext.broadcast(bits)
+
+
+def is_live(bits: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    at = (sig.view(np.uint64) >> np.uint64(1)) & np.uint64((1 << FILTER_BITS) - 1)
+    return bits.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+
+
 def _shared(scanned: DataFrame) -> DataFrame:
     """sig, cls, hub of every signature that several sets have; hub is the least of them."""
     rows = scanned.where("cls is not null").select("cls", F.explode("sigs").alias("sig"))
     hubs = stored(rows.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub != top").select("sig", "hub"), "hubs")
-    cell = F.pmod(F.shiftrightunsigned("sig", 1), F.lit(1 << FILTER_BITS))
-    words = hubs.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 as int)))").alias("bits")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    shared = scanned.sparkSession.sparkContext.broadcast(bits)
+    shared = live_filter(hubs)
 
     def keep(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             sigs = batch.column(1)
             sig = sigs.flatten().to_numpy()
-            at = (sig.view(np.uint64) >> np.uint64(1)) & np.uint64((1 << FILTER_BITS) - 1)
-            hit = np.flatnonzero(shared.value.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+            hit = np.flatnonzero(is_live(shared.value, sig))
             owner = np.repeat(np.arange(batch.num_rows), np.diff(sigs.offsets.to_numpy()))[hit]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(sig[hit])], names=["cls", "sig"])
 
