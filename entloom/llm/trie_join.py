@@ -11,12 +11,12 @@ Which sets meet in one tree is settled by exact filters, so no link is lost:
   by hash to more parts than that, one part at least is the same in both. So each set emits a hash of each
   part, for its own class of sizes and the next; sets that share a signature are candidates. With `z` spare
   parts, empty parts emit nothing unless a set has more than `z`.
-* Sketches. The parity of the n-grams in each of about |set| cells: two sets' sketches differ in no more cells than the sets in n-grams.
+* Sketches. The parity of the n-grams in each of about 4 |set| cells: two sets' sketches differ in no more cells than the sets in n-grams.
 
-Candidates meet in two rounds. First each set meets the least set of its signatures that its sketch doesn't rule out
+Candidates meet in three rounds. First each set meets the least set of its signatures that its sketch doesn't rule out
 (a star: the hub and up to `chunk` others in one tree; larger stars are dealt into several). What these trees link is
-one component. Then, of signatures that sets of several components still share, all pairs across components whose sketches
-allow it meet, again in stars. A group of near copies is thus linked in a number of tree insertions that grows with its
+one component. Then, of signatures that sets of several components still share, each set meets the least set of another component that its sketch
+allows; and at last all pairs across components that sketches allow meet, again in stars. A group of near copies is thus linked in a number of tree insertions that grows with its
 members; pairs are compared (by sketches, in blocks of `group` sets) only where components are still apart.
 
 Equal sets are one class throughout; copies are never paired. Links leave the trees as spanning forests, and
@@ -31,6 +31,7 @@ ignored. An empty table gives an empty table.
 from __future__ import annotations
 
 import bisect
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,13 +129,13 @@ def signatures(s: np.ndarray, t: Threshold, classes: list[int], spare: int = 3)
 
 
 def sketches(s: np.ndarray, classes: list[int]) -> list[np.ndarray]:
-    """For the set's size class and the next: the parity of its n-grams in each of about as many cells as the class's sizes."""
+    """For the set's size class and the next: the parity of its n-grams in each of about four times as many cells as the class's sizes."""
     k = bisect.bisect_right(classes, len(s)) - 1
     with np.errstate(over="ignore"):
         deal = mix64(s * _C + _A)
     out = []
     for tag in (k, k + 1):
-        cells = -(-classes[tag] // 64) * 64
+        cells = -(-classes[tag] // 16) * 64
         odd = np.bincount((deal % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
         out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
     return out
@@ -288,12 +289,15 @@ def _shared(scanned: DataFrame) -> DataFrame:
     return stored(rows.hint("merge").join(hubs.hint("merge"), "sig").select("sig", "cls", "hub"), "shared")
 
 
+_NONE = np.iinfo(np.int64).max
+
+
 def _sketch_of(sig: Column, k: Column, near: Column, far: Column) -> Column:
     return F.when(F.pmod(sig, F.lit(2)) == F.pmod(k, F.lit(2)), near).otherwise(far)
 
 
-def _cross_pairs(rows: DataFrame, t: Threshold, group: int) -> DataFrame:
-    """a < b: pairs of different roots within a signature that their sketches allow. rows: sig, cls, root, size, sketch."""
+def _cross_pairs(rows: DataFrame, t: Threshold, group: int, least: bool) -> DataFrame:
+    """a < b: pairs of different roots within a signature that their sketches allow; `least`: of each b only that with the least a. rows: sig, cls, root, size, sketch."""
     count = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     bins = F.lit(1) + F.floor(F.lit(rows.count()) / (4 * group))
     dealt = rows.join(count, "sig").withColumn("parts", F.ceil(F.col("n") / group).cast("int")).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
@@ -322,8 +326,12 @@ def _cross_pairs(rows: DataFrame, t: Threshold, group: int) -> DataFrame:
                 ok = (far <= allowed(own["size"][x : x + step], own["size"])) & (own["root"][x : x + step, None] != own["root"][None, :]) & (own["cls"][x : x + step, None] < own["cls"][None, :])
                 if apart:  # pairs within a chunk meet where both are the same
                     ok &= own["mine"][x : x + step, None] != own["mine"][None, :]
-                one, two = np.nonzero(ok)
-                if len(one):
+                if least:
+                    to = np.where(ok, own["cls"][x : x + step, None], _NONE).min(0)
+                    two = np.flatnonzero(to != _NONE)
+                    yield pa.RecordBatch.from_arrays([pa.array(to[two]), pa.array(own["cls"][two])], names=["a", "b"])
+                else:
+                    one, two = np.nonzero(ok)
                     yield pa.RecordBatch.from_arrays([pa.array(own["cls"][one + x]), pa.array(own["cls"][two])], names=["a", "b"])
 
     met = dealt.select(place.alias("place"), "sig", "cls", "root", "size", "sketch", "mine", "i", "j").groupBy("place").applyInArrow(run, "a long, b long")
@@ -376,9 +384,9 @@ def _linked(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, chunk:
     facts = stored(scanned.select("doc_id", "name", "hash", "n_shingles", "cls"), "facts")
     shared = _shared(scanned)
     # One document of each set that shares a signature brings its words.
-    candidates = shared.select("cls").distinct()
-    borne = scanned.join(candidates, "cls").groupBy("cls").agg(F.min(F.struct("name", "hash", "n_shingles", "k", "near", "far")).alias("f"))
-    bearer = stored(borne.select("cls", "f.name", "f.hash", F.col("f.n_shingles").alias("size"), "f.k", "f.near", "f.far"), "bearer")
+    bearing = scanned.where("cls is not null").groupBy("cls").agg(F.min(F.struct("name", "hash")).alias("f")).join(shared.select("cls").distinct(), "cls").select("cls", "f.name", "f.hash")
+    borne = scanned.hint("merge").join(bearing.hint("merge"), ["cls", "name", "hash"]).dropDuplicates(["cls"])
+    bearer = stored(borne.select("cls", "name", "hash", F.col("n_shingles").alias("size"), "k", "near", "far"), "bearer")
     released(scanned)
 
     # First round: each set and the least of the sets that it may be linked to by sketch.
@@ -391,19 +399,23 @@ def _linked(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, chunk:
     first = met.where(differ <= both - 2 * F.ceil(both * num / (num + den))).groupBy("cls").agg(F.min("hub").alias("hub"))
     links = _star_links(src, bearer, first, n, t, chunk, bin_sets)
 
-    # Second round: pairs across what the first has left apart.
-    roots = components(links)
-    rooted = stored(shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root")), "rooted")
-    open_ = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
-    rows = rooted.join(open_, "sig").join(side, "cls")
-    rows = stored(rows.select("sig", "cls", "root", "size", _sketch_of(F.col("sig"), F.col("k"), F.col("near"), F.col("far")).alias("sketch")), "open")
-    apart = _cross_pairs(rows, t, group).select(F.col("a").alias("hub"), F.col("b").alias("cls"))
-    more = _star_links(src, bearer, stored(apart, "pairs"), n, t, chunk, bin_sets)
-
-    joined = components(links.unionByName(more))
-    found = facts.join(joined, facts["cls"] == joined["node"], "left")
-    out = stored(found.select("doc_id", "name", "hash", "n_shingles", F.coalesce("root", "cls").alias("root")), "rooted")
-    released(facts, shared, bearer, links, rooted, rows, more)
+    # Further rounds: across what is still apart, first the least of each set's candidates in a signature, then all.
+    found = [links]
+    for least in (True, False):
+        linked = functools.reduce(DataFrame.unionByName, found)
+        roots = components(linked)
+        rooted = stored(shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root")), "rooted")
+        open_ = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
+        rows = rooted.join(open_, "sig").join(side, "cls")
+        rows = stored(rows.select("sig", "cls", "root", "size", _sketch_of(F.col("sig"), F.col("k"), F.col("near"), F.col("far")).alias("sketch")), "open")
+        apart = stored(_cross_pairs(rows, t, group, least).select(F.col("a").alias("hub"), F.col("b").alias("cls")), "pairs")
+        found.append(_star_links(src, bearer, apart, n, t, chunk, bin_sets))
+        released(rooted, rows, apart)
+
+    joined = components(functools.reduce(DataFrame.unionByName, found))
+    rooted = facts.join(joined, facts["cls"] == joined["node"], "left")
+    out = stored(rooted.select("doc_id", "name", "hash", "n_shingles", F.coalesce("root", "cls").alias("root")), "rooted")
+    released(facts, shared, bearer, *found)
     return out
 
 
