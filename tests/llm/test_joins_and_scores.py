@@ -7,7 +7,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -275,7 +277,7 @@ def test_next_bytes_sum_to_one():
     code = cm.Code(byte_counts)
     tokens = list(counts)
     ev = cm.Events(tokens, code)
-    tables = [np.zeros((1 << b, 2), np.uint16) for b in cm.TABLE_BITS]
+    tables = [np.zeros((1 << b, 2), np.float32) for b in cm.TABLE_BITS]
     for t, s in zip(tables, ev.slots, strict=True):
         np.add.at(t, (s, ev.bit), 3)
     # Spell every next byte after "ab": the bits of a token "ab?" without its blank.
@@ -296,6 +298,109 @@ def test_next_bytes_sum_to_one():
     assert 0.9 < sum(2.0**v for v in logs) <= 1 + 1e-9 and len(skipped) == 6
 
 
+def plain_bits(texts, train, which, decider):
+    """One text's decisions and choices bit by bit, from dictionaries of counts; spelled tokens cost nothing here."""
+    tokens = [[*t.lower().split(), cm.END] for t in texts]
+    after, single, n = collections.Counter(), collections.Counter(), 0
+    pairs = lambda ts: [((ts[i - 2] if i > 1 else None, ts[i - 1] if i else None), t) for i, t in enumerate(ts)]
+    for j, ts in enumerate(tokens):
+        if train[j] and j != which:
+            after.update(pairs(ts))
+            single.update(ts)
+            n += len(ts)
+    weights, seen = decider.weights.copy(), np.zeros(decider.seen.shape)
+    level = lambda x: min(cm.SEEN_LEVELS - 1, int(math.log2(x + 1)))
+
+    def slot(tag, *parts):
+        h = np.full(1, tag, np.uint64)
+        for x in parts:
+            with np.errstate(over="ignore"):
+                h = cm.mix64(h * cm._M + np.uint64(x) + np.uint64(1))
+        return int(h[0] >> np.uint64(64 - cm.SLOT_BITS))
+
+    total, done, past, run, odd, waiting = 0.0, 0, [], 0, 0, []
+    rest = dict(single)
+    for i, (context, t) in enumerate(pairs(tokens[which])):
+        told = {w: c for (k, w), c in after.items() if k == context and c > 0}
+        n_now, d_now, key_now = sum(told.values()), max(1, len(told)), told.get(t, 0)
+        token_now, prev = single[t], int(cm._START) if i == 0 else xxhash.xxh3_64_intdigest(tokens[which][i - 1])
+        common = level(rest.get(tokens[which][i - 1], 0) if i else 0)
+        hit, known = key_now > 0, key_now == 0 and token_now > 0
+        h = [past[-k] if len(past) >= k else 3 for k in (1, 2, 3)]
+        history, share, asked = h[0] * 4 + h[1], min(7, 16 * odd // max(1, i)), int(n_now > 0)
+        if asked:
+            waiting.append((level(n_now), int(hit), [slot(1, level(n_now), level(d_now), min(n_now - d_now, 3) + 1), slot(2, level(n_now), history, h[2]), slot(3, prev), slot(4, common, level(d_now), min(15, run))]))
+        if not hit:
+            waiting.append((cm.SEEN_LEVELS + history, int(known), [slot(5, history, h[2]), slot(6, prev), slot(7, asked, level(n_now), share), slot(8, level(i), share)]))
+        total -= math.log2(key_now / n_now) if hit else math.log2(token_now / (n + i)) if known else 0
+        outcome = 0 if hit else 1 if known else 2
+        past.append(outcome)
+        run, odd = (run + 1 if hit else 0), odd + (outcome == 2)
+        after[context, t] += 1
+        single[t] += 1
+    for lo in range(0, len(waiting), cm.CHUNK):
+        steps = []
+        for gate, bit, slots in waiting[lo : lo + cm.CHUNK]:
+            x = [math.log((decider.tables[k][s][1] + 0.4) / (decider.tables[k][s][0] + 0.4)) for k, s in enumerate(slots)] + [1.0]
+            z = max(-12.0, min(12.0, sum(a * b for a, b in zip(x, weights[gate], strict=True))))
+            p = 1 / (1 + math.exp(-z))
+            cell = min(cm.MAP_CELLS - 1, max(0, int(z + 12)))
+            there, here = decider.seen[gate, cell], seen[gate, cell]
+            scale = 32 / max(32, there.sum())
+            refined = (there[1] * scale + here[1] + 16 * p) / (there.sum() * scale + here.sum() + 16)
+            p2 = min(1 - 1e-6, max(1e-6, 0.5 * p + 0.5 * refined))
+            total -= math.log2(p2 if bit else 1 - p2)
+            steps.append((gate, cell, bit, p, x))
+        for gate, cell, bit, p, x in steps:
+            weights[gate] += 0.02 * (bit - p) * np.array(x)
+            seen[gate, cell, bit] += 1
+    return total
+
+
+def test_score_equals_a_plain_loop():
+    rng = random.Random(2)
+    line = [f"w{rng.randrange(40)}" for _ in range(30)]
+    texts = [" ".join(rng.choice([line, line[5:20], [f"w{rng.randrange(60)}" for _ in range(25)]]) + [f"w{rng.randrange(300)}" for _ in range(rng.randrange(60))]).encode() for _ in range(14)]
+    texts += [texts[0], b"", b"a a a a a a b a a a", texts[3] + b" " + texts[3]]
+    train, shards = np.array([i % 4 != 1 for i in range(len(texts))]), 3
+    told, n = [], 0
+    asked = [dict(zip([c.split()[0] for c in cm.ASKED.split(", ")], row, strict=True)) for row in cm.ask(0, texts, train, shards)]
+    for s in range(shards):
+        batch = pa.RecordBatch.from_pylist([r for r in asked if r["shard"] == s])
+        rows = [r for out in cm.answer((pa.scalar(s),), iter([batch])) for r in out.to_pylist()]
+        n += rows[0]["n"]
+        told += rows[1:]
+    left = pa.table({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.binary()), "held_out": [not x for x in train.tolist()]})
+    r = cm.Reader(left, pa.Table.from_pylist(told), shards)
+    d, decider = r.decisions(n), cm.Decider()
+    assert decider.learn(d, r.train) > 0 and n == sum(len(t.split()) + 1 for t, x in zip(texts, train, strict=True) if x)
+    got = decider.bits(d, len(texts), group=5) + np.bincount(r.block.text, d.choice, len(texts))
+    want = [plain_bits(r.texts, r.train.tolist(), i, decider) for i in range(len(texts))]
+    assert got.tolist() == pytest.approx(want, rel=1e-4)
+    # Spelling, token by token, equals spelling all at once.
+    code = cm.Code(np.bincount(np.frombuffer(b" ".join(texts), np.uint8), minlength=256))
+    tables = [np.zeros((1 << b, 2), np.float32) for b in cm.TABLE_BITS]
+    tokens = [b"w1", b"w22", b"zebra", cm.END]
+    alone = [cm.token_bits([t], code, cm.Lookup(tables), cm.Mixer())[0] for t in tokens]
+    assert cm.token_bits(tokens, code, cm.Lookup(tables), cm.Mixer()).tolist() == pytest.approx(alone)
+
+
+def test_held_out_texts_beat_the_base_and_copies_show(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = cm.score(docs).where("held_out").selectExpr("sum(score)", "sum(base_score)").first()
+    assert held[0] > held[1]
+
+
+def test_order_counts(make_docs):
+    """A text that occurs twice costs little, its words in another order do not."""
+    rng = random.Random(8)
+    line = [f"n{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(["the", "of", "and", *(f"w{rng.randrange(300)}" for _ in range(3))]) for _ in range(60))) for i in range(300)]
+    rows += [(1000 + i, " ".join(line)) for i in range(2)] + [(2000, " ".join(rng.sample(line, len(line))))]
+    got = {r["doc_id"]: r for r in cm.score(make_docs(rows), block_bytes=4096, shard_bytes=8192).collect()}
+    assert got[1001]["bits_per_byte"] < 0.3 * got[2000]["bits_per_byte"]
+
+
 def test_scores(make_docs):
     rows = [(i, " ".join(prose(40))) for i in range(120)] + list(ODD)
     got = cm.score(make_docs(rows), block_bytes=4096).collect()
