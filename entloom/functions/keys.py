@@ -11,8 +11,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Instants as text in one zone, whatever the session's is.
+_UTC = {"timeZone": "UTC", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+
+
+def _text(col: Column) -> Column:
+    """A value as text that no session setting changes. The type is known to the planner, so one branch is left of it."""
+    instant = F.get_json_object(F.to_json(F.struct(col.alias("v")), _UTC), "$.v")
+    return F.when(F.typeof(col) == "timestamp", instant).otherwise(col.cast("string"))
+
+
 def encoded(col: Column, is_array: bool = False) -> Column:
-    text = F.to_json(col) if is_array else col.cast("string")
+    text = F.to_json(col, _UTC) if is_array else _text(col)
     return F.when(col.isNull(), F.lit("N")).otherwise(F.concat(F.lit("V"), F.length(text).cast("string"), F.lit(":"), text))
 
 

@@ -11,10 +11,11 @@ import inspect
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 class SkipRow(Exception):
@@ -76,10 +77,12 @@ def python(function: Callable, inputs: Sequence[str | Column], outputs: str | T.
     def apply(df: DataFrame, settings: Mapping) -> DataFrame:
         extra = {"settings": dict(settings)} if wants else {}
 
-        @F.pandas_udf(returned)
-        def run(*cols: pd.Series) -> pd.DataFrame:
+        arrow = to_arrow_type(returned)
+
+        @F.arrow_udf(returned)
+        def run(*cols: pa.Array) -> pa.Array:
             rows = []
-            for args in zip(*cols, strict=True):
+            for args in zip(*(c.to_pylist() for c in cols), strict=True):  # Python values: null is None, an integer an int
                 try:
                     got = function(*args, **extra)
                     got = got if isinstance(got, tuple) and len(names) != 1 else (got,)
@@ -90,7 +93,7 @@ def python(function: Callable, inputs: Sequence[str | Column], outputs: str | T.
                     rows.append((*(None,) * len(names), "skip", str(e)))
                 except Exception as e:
                     rows.append((*(None,) * len(names), "error", f"{type(e).__name__}: {e}"))
-            return pd.DataFrame(rows, columns=[*names, "_status", "_error"], dtype=object)
+            return pa.array([dict(zip([*names, "_status", "_error"], r, strict=True)) for r in rows], arrow)
 
         args = [F.col(i) if isinstance(i, str) else i for i in inputs] or [F.lit(0)]
         done = df.withColumn("__out", run(*args))
@@ -104,6 +107,42 @@ def python(function: Callable, inputs: Sequence[str | Column], outputs: str | T.
     return Transform(apply, hashlib.md5(source_of(function).encode()).hexdigest(), tuple(names))
 
 
+class RowFunction:
+    """A Python function with declared outputs; `on` makes it a transform of a step's columns, `map` one of its lists, element by element."""
+
+    def __init__(self, function: Callable, outputs: str | T.StructType, on_error: str):
+        self.function, self.outputs, self.on_error = function, outputs, on_error
+        self.__name__, self.__doc__ = function.__name__, function.__doc__
+
+    def __call__(self, *args, **kwargs):
+        return self.function(*args, **kwargs)
+
+    def on(self, *inputs: str | Column) -> Transform:
+        return python(self.function, inputs, self.outputs, self.on_error)
+
+    def map(self, *lists: str | Column) -> Transform:
+        """Over lists side by side; one of a single value serves all. Each output is a list."""
+        function, fields = self.function, _outputs(self.outputs)
+        check_arity(function, len(lists), ("settings",))
+
+        def over(*given):
+            n = max(map(len, given))
+            if any(len(g) not in (1, n) for g in given) and min(map(len, given)):
+                raise ValueError("lists of different lengths")
+            n = n if all(given) else 0
+            rows = [function(*(g[i if len(g) > 1 else 0] for g in given)) for i in range(n)]
+            return tuple(map(list, zip(*rows, strict=True))) if rows and len(fields) > 1 else rows if len(fields) == 1 else ([],) * len(fields)
+
+        lists_of = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in fields])
+        made = python(over, lists, lists_of, self.on_error)
+        return Transform(made.apply, hashlib.md5(("map" + source_of(function)).encode()).hexdigest(), made.outputs)
+
+
+def transform(outputs: str | T.StructType, on_error: str = "fail") -> Callable[[Callable], RowFunction]:
+    """Decorator: a Python function of one row's values, with the columns that it returns."""
+    return lambda function: RowFunction(function, outputs, on_error)
+
+
 def native(**columns: Column) -> Transform:
     """Column expressions."""
     text = ";".join(f"{k}={v}" for k, v in sorted(columns.items()))

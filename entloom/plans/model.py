@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entloom.entity import Entity
@@ -46,14 +46,49 @@ class Dependency:
         return bool(self.tables_needed & other.tables_yielded or self.columns_needed & other.columns_yielded)
 
 
+def read_by(build: Callable[[Callable[[Entity], DataFrame]], DataFrame]) -> dict[Entity, list[str]]:
+    """The entities that a query reads and the columns that are left of them in its optimized plan. No data are read; a session must be active."""
+    spark = SparkSession.active()
+    asked: list[Entity] = []
+
+    def items(seq) -> list:
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def read(e: Entity) -> DataFrame:
+        if e not in asked:
+            asked.append(e)
+        # A table without statistics, which the planner can't fold away.
+        return spark.createDataFrame(spark.sparkContext.emptyRDD(), e.struct)
+
+    plan = build(read)._jdf.queryExecution().optimizedPlan()
+    leaves = [[(a.exprId().id(), a.name()) for a in items(leaf.output())] for leaf in items(plan.collectLeaves())]
+    used = {a.exprId().id() for a in items(plan.output())}
+
+    def walk(node) -> None:
+        used.update(a.exprId().id() for a in items(node.references().toSeq()))
+        for child in items(node.children()):
+            walk(child)
+
+    walk(plan)
+    found: dict[Entity, list[str]] = {}
+    for e in asked:
+        columns = {name for leaf in leaves if [n for _, n in leaf] == list(e.struct.names) for i, name in leaf if i in used}
+        found[e] = [c for c in e.struct.names if c in columns]
+    return found
+
+
 @dataclass(frozen=True)
 class Query:
-    """A source over entity tables. Which tables and columns it reads is declared beside it and checked when it runs:
-    the function gets a reader that knows these only.
+    """A source over entity tables. Which tables and columns it reads is found in its optimized plan (`read_by`), or declared
+    beside it; it is checked when it runs, as the function gets a reader that knows these tables only.
     """
 
     build: Callable[[Callable[[Entity], DataFrame]], DataFrame]
-    reads: Mapping[Entity, Sequence[str]] | Sequence[Entity]
+    reads: Mapping[Entity, Sequence[str]] | Sequence[Entity] | None = None
+
+    def __post_init__(self):
+        if self.reads is None:
+            object.__setattr__(self, "reads", read_by(self.build))
 
     @property
     def dependency(self) -> Dependency:

@@ -51,7 +51,7 @@ class RunLog:
         self.store.append(f"_log/{name}", self.spark.createDataFrame(rows, schema).coalesce(1))
 
     def mark_seen(self, version: str, hashes: DataFrame) -> None:
-        self.store.append("_log/seen", hashes.select(F.lit(version).alias("version"), "input_hash"))
+        self.store.append("_log/seen", hashes.select(F.lit(version).alias("version"), "input_hash"), ("version",))
 
     def seen(self, version: str) -> DataFrame:
         return self.table("seen").where(F.col("version") == version).select("input_hash")

@@ -13,7 +13,8 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from entloom.entity import Entity
@@ -28,6 +29,7 @@ from entloom.sources.store import Store
 class Options:
     selection: Selection = Selection()
     retry: bool = False  # inputs that were seen before are done again
+    retry_skipped: bool = False  # inputs that a transform left out are not marked as seen
     fail_downstream: bool = False  # steps that need a failed one's yield are left out
     fast_fail: bool = False  # all later steps are left out
     rerun_failed: bool = False  # only what the last run left undone
@@ -100,7 +102,13 @@ class Runner:
         new, old = self.rows_of(df, load, step), self.table(e)
         path = f"_tmp/{uuid.uuid4().hex}"
         self.store.write(path, new)
-        new = self.store.read(path, new.schema)
+        try:
+            self._merge(self.store.read(path, new.schema), old, load, step, counts, options)
+        finally:
+            self.store.drop(path)
+
+    def _merge(self, new: DataFrame, old: DataFrame, load: Load, step: Step, counts: dict, options: Options) -> None:
+        e, supplied = load.entity, load.supplied
         if options.check_references:
             for c, parent in e.references.items():
                 if c in supplied and (lost := orphans(new, c, self.table(parent)).limit(1).count()):
@@ -113,24 +121,25 @@ class Runner:
             merged = update(old, new, [*supplied, "step_id"])
         n, known = new.count(), new.join(old.select("id"), "id", "left_semi").count()
         self.store.write(e.full_name, merged)
-        self.store.drop(path)
         counts["rows_updated"] = counts.get("rows_updated", 0) + known
         counts["rows_inserted"] = counts.get("rows_inserted", 0) + (n - known if load.insert else 0)
 
     def run_step(self, step: Step, pipeline: Pipeline, options: Options) -> StepResult:
-        began, counts = time.time(), {}
+        began, counts, temporary = time.time(), {}, []
         try:
+            read = Observation()
             raw = self.extract(step)
+            raw = raw.observe(read, F.count(F.lit(1)).alias("n"))
             hashed = raw.withColumn("input_hash", input_hash(step.version, {c: F.to_json(F.struct(c)) if not isinstance_simple(raw, c) else F.col(c) for c in raw.columns}))
             fresh = hashed.dropDuplicates(["input_hash"]) if options.retry else unseen(hashed, self.log.seen(step.version))
-            path = f"_tmp/{uuid.uuid4().hex}"
+            temporary.append(path := f"_tmp/{uuid.uuid4().hex}")
             self.store.write(path, fresh)
             fresh = self.store.read(path, fresh.schema)
-            counts["inputs_extracted"], counts["inputs_unique"] = raw.count(), fresh.count()
+            counts["inputs_extracted"], counts["inputs_unique"] = observed(read), fresh.count()
             done = fresh
             for transform in step.transforms:
                 done = transform.apply(done, pipeline.settings)
-            after = f"_tmp/{uuid.uuid4().hex}"
+            temporary.append(after := f"_tmp/{uuid.uuid4().hex}")
             self.store.write(after, done)
             done = self.store.read(after, done.schema)
             processed = done.select("input_hash").distinct() if "input_hash" in done.columns else fresh.select("input_hash")
@@ -141,12 +150,14 @@ class Runner:
                     for inner in self.nested(load):
                         self.merge(done, inner, step, counts, options)
                     self.merge(done, load, step, counts, options)
-            self.log.mark_seen(step.version, processed if options.retry is False else unseen(processed, self.log.seen(step.version)))
-            self.store.drop(path)
-            self.store.drop(after)
+            finished = processed if options.retry_skipped else fresh.select("input_hash")
+            self.log.mark_seen(step.version, finished if options.retry is False else unseen(finished, self.log.seen(step.version)))
             return StepResult("completed", time.time() - began, None, counts)
         except Exception as e:  # a step that fails doesn't end the run
             return StepResult("failed", time.time() - began, f"{type(e).__name__}: {e}"[:2000], counts)
+        finally:
+            for path in temporary:
+                self.store.drop(path)
 
     # -- a run ----------------------------------------------------------------------
 
@@ -191,6 +202,14 @@ class Runner:
         return {load.entity.full_name: self.rows_of(done, load, step).count() for load in step.loads}
 
 
+def observed(read: Observation) -> int:
+    """The rows that passed; a table that the planner knows to be empty is never run, so nothing was observed."""
+    try:
+        return read.get["n"]
+    except Py4JJavaError:
+        return 0
+
+
 def isinstance_simple(df: DataFrame, column: str) -> bool:
     """Whether a column's type casts to text."""
     return df.schema[column].dataType.typeName() not in ("array", "map", "struct", "variant", "binary")

@@ -1,8 +1,8 @@
 """Entity tables as versioned Parquet snapshots.
 
-A table is a folder of versions and a pointer to the current one. A load reads the current
-version and writes the next, then moves the pointer, so readers never see half a load and a failed one leaves no trace but
-an unused folder.
+A table is a folder of versions and a file for each completed one; the greatest is current. A load reads the current
+version and writes the next, then completes it, so readers never see half a load and a failed one leaves no trace but
+an unused folder, which the next load overwrites.
 """
 
 from __future__ import annotations
@@ -20,26 +20,14 @@ class Store:
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self, table: str) -> int:
-        """The current version; 0 if the table doesn't exist."""
-        p, fs = self._path(f"{self.root}/{table}/_current")
-        if not fs.exists(p):
-            return 0
-        stream = fs.open(p)
-        try:
-            return int(bytes(stream.readNBytes(32)).decode().strip())
-        finally:
-            stream.close()
+        """The current version: the greatest that was completed; 0 if the table doesn't exist."""
+        p, fs = self._path(f"{self.root}/{table}/_versions")
+        return max((int(f.getPath().getName()) for f in fs.listStatus(p)), default=0) if fs.exists(p) else 0
 
-    def _point(self, table: str, version: int) -> None:
-        p, fs = self._path(f"{self.root}/{table}/_current.tmp")
-        out = fs.create(p, True)
-        out.write(bytearray(str(version).encode()))
-        out.close()
-        to, _ = self._path(f"{self.root}/{table}/_current")
-        if fs.exists(to):
-            fs.delete(to, False)
-        if not fs.rename(p, to):
-            raise OSError(f"{table}: the pointer couldn't be moved")
+    def _complete(self, table: str, version: int) -> None:
+        """One new file makes the version current. Nothing is deleted before, so a driver that is lost leaves the version before or this one; a second writer of the same version fails."""
+        p, fs = self._path(f"{self.root}/{table}/_versions/{version}")
+        fs.create(p, False).close()
 
     def read(self, table: str, schema: T.StructType) -> DataFrame:
         """The current version; an empty table if there is none."""
@@ -52,15 +40,16 @@ class Store:
         """The next version; older ones but `keep` go."""
         at = self.version(table) + 1
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/v{at}")
-        self._point(table, at)
-        p, fs = self._path(f"{self.root}/{table}/v{at - self.keep}")
-        if at > self.keep and fs.exists(p):
-            fs.delete(p, True)
+        self._complete(table, at)
+        for old in (f"v{at - self.keep}", f"_versions/{at - self.keep}"):
+            p, fs = self._path(f"{self.root}/{table}/{old}")
+            if at > self.keep and fs.exists(p):
+                fs.delete(p, True)
         return at
 
-    def append(self, table: str, df: DataFrame) -> None:
-        """Rows added to a log table, whose files are never rewritten."""
-        df.write.mode("append").parquet(f"{self.root}/{table}/log")
+    def append(self, table: str, df: DataFrame, by: tuple[str, ...] = ()) -> None:
+        """Rows added to a log table, whose files are never rewritten; `by`: columns whose values have folders of their own, which readers prune."""
+        df.write.mode("append").partitionBy(*by).parquet(f"{self.root}/{table}/log")
 
     def read_log(self, table: str, schema: T.StructType) -> DataFrame:
         p, fs = self._path(f"{self.root}/{table}/log")

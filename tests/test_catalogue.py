@@ -41,7 +41,7 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 def test_whole_texts_are_spread(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
-    got = {r["doc_id"]: r["count"] for r in catalogue.QUERIES["broadcast_explode_whole"](spark, sf_dir).groupBy("doc_id").count().collect()}
+    got = {r["doc_id"]: r["count"] for r in catalogue.QUERIES["broadcast_explode"](spark, sf_dir).groupBy("doc_id").count().collect()}
     assert got == {r["doc_id"]: len(r["text"].split(" ")) for r in docs if r["text"] is not None} and any(len(r["text"] or "") > 200 for r in docs)
 
 
@@ -53,5 +53,5 @@ def test_seen_inputs_grow_with_the_table(spark, sf_dir, tmp_path):
         at = str(tmp_path / str(times))
         rows = spark.range(1, times * n + 1).selectExpr("id AS event_id", "'e' AS event_type", "id AS user_id")
         rows.write.parquet(f"{at}/events.parquet")
-        left.append(times * n - catalogue.QUERIES["repeat_antijoin_share"](spark, at).count())
+        left.append(times * n - catalogue.QUERIES["repeat_antijoin"](spark, at).count())
     assert left == [(n - 1) // 10, (10 * n - 1) // 10]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entloom.__main__ import main
+from entloom.functions.keys import content_id, input_hash
 from entloom.entity import Rule, entity
 from entloom.functions import transforms as tr
 from entloom.plans.model import Dependency, Load, Out, Pipeline, Query, Selection, Step, sort_steps, tagged
@@ -57,7 +58,8 @@ def test_run_and_rerun(runner):
     created = {r["id"]: r["created_at"] for r in runner.table(parent).collect()}
     second = runner.run(p)
     assert second["b parents"].counts["inputs_unique"] == 0 and second["b parents"].counts.get("rows_inserted", 0) == 0
-    assert second["c children"].counts["inputs_unique"] == 1  # the skipped row is tried again
+    assert second["c children"].counts["inputs_unique"] == 0  # the skipped row was seen
+    assert first["c children"].counts["inputs_extracted"] == second["c children"].counts["inputs_extracted"] == 101
     again = runner.run(p, Options(retry=True))
     assert again["b parents"].counts["rows_updated"] == 101 and again["b parents"].counts["rows_inserted"] == 0
     assert {r["id"]: r["created_at"] for r in runner.table(parent).collect()} == created
@@ -180,3 +182,64 @@ def test_command_line(spark, capsys):
     assert main(["describe", "tests.test_pipelines:demo"]) == 0
     with pytest.raises(ValueError):
         main(["validate", "tests.test_pipelines:demo", "--include", "nobody"])
+
+
+def test_skipped_rows_can_be_tried_again(runner):
+    p, *_ = family()
+    runner.run(p, Options(retry_skipped=True))
+    assert runner.run(p, Options(retry_skipped=True))["c children"].counts["inputs_unique"] == 1
+
+
+def test_a_driver_lost_while_writing_leaves_the_version_before(runner, monkeypatch):
+    store, rows = runner.store, runner.spark.range(5)
+    store.write("t", rows)
+
+    def lost(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(store, "_complete", lost)
+    with pytest.raises(KeyboardInterrupt):
+        store.write("t", runner.spark.range(7))
+    monkeypatch.undo()
+    assert store.version("t") == 1 and store.read("t", rows.schema).count() == 5
+    assert store.write("t", runner.spark.range(7)) == 2 and store.read("t", rows.schema).count() == 7
+    with pytest.raises(Exception, match="(?i)exist"):
+        store._complete("t", 2)  # a second writer
+
+
+def test_failed_steps_leave_no_temporary_tables(runner, tmp_path):
+    p, *_ = family()
+    p.steps[1] = Step("b parents", strings, [tr.python(broken, ["label"], "x string")], p.steps[1].loads)
+    assert runner.run(p)["b parents"].status == "failed"
+    assert not list((tmp_path / "store").glob("_tmp/*"))
+
+
+def test_reads_are_found_in_the_plan(spark):
+    p, parent, child = family()
+    found = Query(lambda read: read(child).alias("c").join(read(parent).alias("p"), F.expr("c.parent_id = p.id")).where("p.note <> ''").select(F.col("c.label"))).dependency
+    assert found.tables_needed == {parent.full_name, child.full_name}
+    assert found.columns_needed == {f"{parent.full_name}.id", f"{parent.full_name}.note", f"{child.full_name}.label", f"{child.full_name}.parent_id"}
+    step = Step("d", Query(lambda read: read(parent).groupBy("label").agg(F.count(F.lit(1)).alias("n"))))
+    assert step.dependency.columns_needed == {f"{parent.full_name}.label"}
+
+
+@tr.transform("total int, text string")
+def added(a: int | None, b: str) -> tuple:
+    return (None if a is None else a + 1), f"{type(a).__name__} {b}"
+
+
+def test_decorated_functions(spark):
+    df = spark.createDataFrame([(1, "x", [1, None], ["p"]), (None, "y", [], ["q"])], "a int, b string, xs array<int>, ys array<string>")
+    assert added(1, "z") == (2, "int z")
+    assert [tuple(r) for r in added.on("a", "b").apply(df, {}).select("total", "text").collect()] == [(2, "int x"), (None, "NoneType y")]
+    assert [tuple(r) for r in added.map("xs", "ys").apply(df, {}).select("total", "text").collect()] == [([2, None], ["int p", "NoneType p"]), ([], [])]
+
+
+def test_ids_of_instants_are_the_same_in_every_zone(spark):
+    df = spark.sql("SELECT timestamp_seconds(1600000000) AS t")
+    was, got = spark.conf.get("spark.sql.session.timeZone"), set()
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got.add(df.select(content_id(F.col("t")).alias("i"), input_hash("v", {"t": F.col("t")}).alias("h")).first())
+    spark.conf.set("spark.sql.session.timeZone", was)
+    assert len(got) == 1
