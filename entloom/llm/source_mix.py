@@ -3,8 +3,7 @@
 Each source's documents, in a fixed order, are one stream of words that is packed into
 blocks of a fixed length. Output shards of `slots_per_shard` slots draw how many of their slots each
 source fills: multinomial counts, conditioned on the sources' totals, so that these are
-met exactly. The draws are nested halves of the shards (hypergeometric splits, seeded by
-the half), so any task can make any shard's draws and knows where in its source each begins.
+met exactly. The draws follow from a keyed permutation of all slots (`shard_draws`), so any task can make any shard's draws, at any size of the corpus.
 A source's n-th slot reads block `permutation[n mod blocks]`, with another keyed permutation
 for each pass over the source; the last slot is cut to the word at which the target is
 reached. Slots and blocks are joined on (source, block).
@@ -16,8 +15,8 @@ no block is read more than `max_repeat` times.
 Null texts and texts without words have size 0 and are never taken. A null source is a
 source of its own, the last. Rows that are equal in id and text are separate rows of the
 stream. An empty table gives an empty table; a source of no words gets nothing. Other
-columns are ignored (`mix_plan`) or kept (`mix_documents`). The sources' summary (name, size) is
-configuration-sized and is held by the driver; nothing else is.
+columns are ignored (`mix_plan`) or kept (`mix_documents`). Texts are counted whole. The sources' summary (name, size) is held by
+the driver and broadcast; nothing else is. It is configuration: more than `MAX_SOURCES` sources are an error.
 """
 
 from __future__ import annotations
@@ -34,6 +33,10 @@ from pyspark.sql import types as T
 from entloom.llm.common import stored, word_array
 
 
+#: Sources have weights that someone sets; a column with more values (hosts, say) is not one of sources.
+MAX_SOURCES = 100_000
+
+
 def targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
     """Shares of `total` by weight, none over `most` times its size; the excess goes to the others by weight."""
     out, open_ = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
@@ -56,28 +59,55 @@ def _key(*parts) -> int:
     return int.from_bytes(hashlib.blake2b(":".join(map(str, parts)).encode(), digest_size=8).digest(), "big")
 
 
+def _feistel(n: int, key: int) -> tuple[np.uint64, np.uint64, list[np.uint64]]:
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    return np.uint64(half), np.uint64((1 << half) - 1), [np.uint64(_key(key, r)) for r in range(4)]
+
+
+def _round(b: np.ndarray, k: np.uint64, mask: np.uint64) -> np.ndarray:
+    h = (b + k) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(32)) & mask
+
+
+def _walked(x: np.ndarray, n: int, step) -> np.ndarray:
+    """`step`, a permutation of more than range(n), until it lands within the range."""
+    with np.errstate(over="ignore"):
+        out = step(x.astype(np.uint64))
+        while (far := out >= n).any():
+            out[far] = step(out[far])
+    return out.astype(np.int64)
+
+
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A keyed permutation of range(n): a four-round Feistel network, walked on until it lands within the range."""
+    """A keyed permutation of range(n): a four-round Feistel network."""
     if n <= 1:
         return np.zeros_like(index)
-    half = max(1, math.ceil(math.log2(n) / 2))
-    mask = np.uint64((1 << half) - 1)
-    rounds = [np.uint64(_key(key, r)) for r in range(4)]
+    half, mask, rounds = _feistel(n, key)
 
-    def once(x):
-        a, b = x >> np.uint64(half), x & mask
+    def step(x):
+        a, b = x >> half, x & mask
         for k in rounds:
-            h = (b + k) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            a, b = b, a ^ ((h >> np.uint64(32)) & mask)
-        return (a << np.uint64(half)) | b
+            a, b = b, a ^ _round(b, k, mask)
+        return (a << half) | b
 
-    with np.errstate(over="ignore"):
-        out = once(index.astype(np.uint64))
-        while (far := out >= n).any():
-            out[far] = once(out[far])
-    return out.astype(np.int64)
+    return _walked(index, n, step)
+
+
+def place_of(value: np.ndarray, n: int, key: int) -> np.ndarray:
+    """The inverse of `permute`."""
+    if n <= 1:
+        return np.zeros_like(value)
+    half, mask, rounds = _feistel(n, key)
+
+    def step(x):
+        a, b = x >> half, x & mask
+        for k in reversed(rounds):
+            a, b = b ^ _round(a, k, mask), a
+        return (a << half) | b
+
+    return _walked(value, n, step)
 
 
 class Source:
@@ -91,7 +121,7 @@ class Source:
         self.slots, self.cut = self.passes * self.blocks, 0
         if rest:  # the last pass: slots until the words are reached; one block of it may be short
             short = size - (self.blocks - 1) * block
-            at = int(np.flatnonzero(self.order(np.arange(self.blocks), self.passes) == self.blocks - 1)[0]) if self.blocks < 1 << 22 else self._find_short()
+            at = int(place_of(np.array([self.blocks - 1]), self.blocks, _key(self.seed, self.number, self.passes))[0])
             whole = at * block  # words before the short block
             if rest <= whole or short == block:
                 n = -(-rest // block)
@@ -107,18 +137,10 @@ class Source:
     def order(self, at: np.ndarray, turn: int) -> np.ndarray:
         return permute(at, self.blocks, _key(self.seed, self.number, turn))
 
-    def _find_short(self) -> int:
-        for lo in range(0, self.blocks, 1 << 22):
-            hit = np.flatnonzero(self.order(np.arange(lo, min(self.blocks, lo + (1 << 22))), self.passes) == self.blocks - 1)
-            if len(hit):
-                return lo + int(hit[0])
-        raise AssertionError("a permutation reaches every block")
-
-    def read(self, first: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pass, block and words taken from the block's start, for `n` slots from the source's `first` on."""
-        slot = np.arange(first, first + n, dtype=np.int64)
+    def read(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pass, block and words taken from the block's start, of slots by their number in the source."""
         turn, at = np.divmod(slot, self.blocks)
-        block = np.empty(n, np.int64)
+        block = np.empty(len(slot), np.int64)
         for t in np.unique(turn):
             block[turn == t] = self.order(at[turn == t], int(t))
         words = np.minimum(self.block, self.size - block * self.block)
@@ -127,29 +149,18 @@ class Source:
         return turn, block, words
 
 
-def _split(counts: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """How many of `counts` fall into the first `n` of all places: a multinomial draw given the totals."""
-    total = int(counts.sum())
-    if total < 900_000_000:
-        return np.random.default_rng(seed).multivariate_hypergeometric(counts, n, method="marginals")
-    share = counts * (n / total)  # beyond numpy's range the relative noise is below 1e-4: the expected split
-    out = np.floor(share).astype(np.int64)
-    out[np.argsort(out - share, kind="stable")[: n - int(out.sum())]] += 1
-    return out
-
-
 def shard_draws(counts: np.ndarray, shard: int, slots_per_shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A shard's slots from each source, and the ordinal in its source at which they begin."""
+    """For each slot of a shard its source and its number in the source.
+
+    A keyed permutation deals the places of all slots; each source owns a run of them. How many of a shard's slots a source fills is then a
+    multinomial draw given the totals (a hypergeometric one), at any total, and no two slots are the same.
+    """
     total = int(counts.sum())
-    lo, hi, counts, first = 0, -(-total // slots_per_shard), counts.copy(), np.zeros_like(counts)
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        left = _split(counts, (mid - lo) * slots_per_shard, _key(seed, lo, hi))
-        if shard < mid:
-            counts, hi = left, mid
-        else:
-            first, counts, lo = first + left, counts - left, mid
-    return counts, first
+    slots = np.arange(shard * slots_per_shard, min(total, (shard + 1) * slots_per_shard), dtype=np.int64)
+    place = permute(slots, total, _key(seed, "slots"))
+    stop = np.cumsum(counts)
+    which = np.searchsorted(stop, place, "right")
+    return which, place - (stop - counts)[which]
 
 
 def _positions(docs: DataFrame, order: list[str]) -> DataFrame:
@@ -176,7 +187,9 @@ def mix_slots(docs: DataFrame, weights: tuple[float, ...], *, text: str = "text"
     """
     spark = docs.sparkSession
     sized = docs.withColumn("__size", F.size(word_array(F.col(text).cast("string"))).cast("long"))
-    found = [r for r in sized.groupBy(F.col(source).alias("s")).agg(F.sum("__size").alias("n")).collect()]
+    found = [r for r in sized.groupBy(F.col(source).alias("s")).agg(F.sum("__size").alias("n")).limit(MAX_SOURCES + 1).collect()]
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"{source} has more than {MAX_SOURCES} values")
     found.sort(key=lambda r: (r["s"] is None, r["s"] or ""))  # Python compares strings by code point
     sizes = [r["n"] for r in found]
     share = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], total_share * sum(sizes), max_repeat)
@@ -189,13 +202,14 @@ def mix_slots(docs: DataFrame, weights: tuple[float, ...], *, text: str = "text"
     def draw(batches):
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                got, first = shard_draws(counts, shard, slots_per_shard, seed)
-                which = np.repeat(np.arange(len(sources)), got)
+                which, number = shard_draws(counts, shard, slots_per_shard, seed)
                 if not len(which):
                     continue
-                cols = [np.concatenate(c) for c in zip(*(s.read(int(first[s.number]), int(got[s.number])) for s in sources if got[s.number]), strict=True)]
-                place = np.random.default_rng(_key(seed, "order", shard)).permutation(len(which))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), shard)), pa.array(place), pa.array(which.astype(np.int32)), *map(pa.array, cols)], names=["__shard", "__slot", "__source", "__pass", "__block", "__words"])
+                read = [np.empty(len(which), np.int64) for _ in range(3)]
+                for k in np.unique(which).tolist():
+                    for out, got in zip(read, sources[k].read(number[which == k]), strict=True):
+                        out[which == k] = got
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), shard)), pa.array(np.arange(len(which))), pa.array(which.astype(np.int32)), *map(pa.array, read)], names=["__shard", "__slot", "__source", "__pass", "__block", "__words"])
 
     slots = spark.range(shards).mapInArrow(draw, "__shard long, __slot long, __source int, __pass long, __block long, __words long")
     return numbered, slots

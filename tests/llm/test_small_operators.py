@@ -58,16 +58,39 @@ def test_source_takes_its_target(size, target):
     for seed in range(5):
         s = mix.Source(0, size, target, 10, seed)
         if s.slots:
-            _, block, words = s.read(0, s.slots)
+            _, block, words = s.read(np.arange(s.slots))
             assert words.sum() == int(target) and (words > 0).all()
             assert np.bincount(block).max() <= 3
 
 
 def test_draws_meet_the_totals():
-    counts = np.array([100, 0, 37, 5])
-    draws = [mix.shard_draws(counts, k, 16, 1) for k in range(9)]
-    assert (sum(d for d, _ in draws) == counts).all()
-    assert all((draws[k + 1][1] == draws[k][1] + draws[k][0]).all() for k in range(8))
+    counts = np.array([500, 0, 300, 77])
+    seen = [set() for _ in counts]
+    per = []
+    for shard in range(-(-int(counts.sum()) // 64)):
+        which, number = mix.shard_draws(counts, shard, 64, 5)
+        for k, i in zip(which.tolist(), number.tolist(), strict=True):
+            assert i not in seen[k]
+            seen[k].add(i)
+        per.append(np.bincount(which, minlength=4))
+    assert [sorted(s) for s in seen] == [list(range(c)) for c in counts]
+    # Means and spread of a hypergeometric draw.
+    many = np.array([np.bincount(mix.shard_draws(counts, 3, 64, seed)[0], minlength=4) for seed in range(400)])
+    share = counts / counts.sum()
+    assert np.abs(many.mean(0) - 64 * share).max() < 0.8
+    assert many[:, 0].var() == pytest.approx(64 * share[0] * (1 - share[0]) * (877 - 64) / 876, rel=0.3)
+
+
+@pytest.mark.parametrize("total", [10**9 + 7, 3 * 10**12])
+def test_draws_are_random_at_any_size(total):
+    """Beyond a billion slots shards still differ from each other and between seeds, and a place is found without a walk."""
+    counts = np.array([total // 2, total // 3, total - total // 2 - total // 3])
+    draws = {tuple(np.bincount(mix.shard_draws(counts, shard, 256, seed)[0], minlength=3)) for shard in (0, 1, 10**6) for seed in (1, 2, 3)}
+    assert len(draws) > 4
+    x = np.array([0, 1, total - 1, total // 7])
+    assert (mix.place_of(mix.permute(x, total, 9), total, 9) == x).all()
+    source = mix.Source(0, total * 1024 - 5, total * 1000.0, 1024, 3)
+    assert source.blocks == total and abs(source.slots - total * 1000 / 1024) < 2
 
 
 def mixed(docs, **how):
