@@ -199,20 +199,23 @@ def _page_to_warc(page_id, url, html, first_id, date: str, version: int) -> str:
     return warc_bytes(head, block).decode("utf-8", "surrogatepass")
 
 
-def write_pages(pages: DataFrame, path: str, *, min_payload: int = 0, version: int = 1, date: str = "20200101000000", records_per_file: int = 2048, compression: str = "gzip") -> None:
+def write_pages(pages: DataFrame, path: str, *, min_payload: int = 0, version: int = 1, date: str = "20200101000000", records_per_file: int = 2048, file_bytes: int = 1 << 30, compression: str = "gzip") -> None:
     """Write pages (page_id, url, html) as WARC archives under `path`.
 
     Of rows with equal payloads of at least `min_payload` bytes, the smallest page_id's is the
     response and the others revisit it. The first page of each payload is found on digests alone (partial sums before
-    the shuffle); pages then join it on the digest, where a hot payload is split by AQE.
+    the shuffle); pages then join it on the digest, where a hot payload is split by AQE. No archive holds more than `file_bytes` of payloads,
+    unless a single page does.
     """
     src = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     src = src.withColumn("__sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).withColumn("__len", F.coalesce(F.octet_length("html"), F.lit(0)))
     first = src.groupBy("__sha", "__len").agg(F.min("page_id").alias("__first")).where(F.col("__len") >= min_payload)
-    # Archives of some thousand pages, also where the shuffle has many small partitions.
+    # Archives of some thousand pages, also where the shuffle has many small partitions; of large pages as many as `file_bytes` hold.
     spark = pages.sparkSession
-    files = max(2 * spark.sparkContext.defaultParallelism, pages.count() // (2 * records_per_file))
-    joined = src.join(first, ["__sha", "__len"], "left").select("page_id", "url", "html", "__first").coalesce(files)
+    rows, most = src.agg(F.count(F.lit(1)), F.max("__len")).first()
+    files = max(2 * spark.sparkContext.defaultParallelism, rows // (2 * records_per_file))
+    joined = src.join(first, ["__sha", "__len"], "left").select("page_id", "url", "html", "__first", "__len")
+    large = file_bytes // records_per_file
 
     def run(batches):
         for batch in batches:
@@ -220,8 +223,13 @@ def write_pages(pages: DataFrame, path: str, *, min_payload: int = 0, version: i
                 cols = [c.to_pylist() for c in batch.slice(start, 256).columns]
                 yield pa.RecordBatch.from_arrays([pa.array([_page_to_warc(*row, date, version) for row in zip(*cols, strict=True)], pa.string())], names=["value"])
 
-    writer = joined.mapInArrow(run, "value string").write.option("lineSep", END.decode()).option("maxRecordsPerFile", records_per_file)
-    writer.option("compression", compression).text(path)
+    def write(part: DataFrame, name: str, records: int) -> None:
+        writer = part.drop("__len").mapInArrow(run, "value string").write.option("lineSep", END.decode()).option("maxRecordsPerFile", records)
+        writer.option("compression", compression).text(f"{path}/{name}")
+
+    write(joined.where(F.col("__len") <= large).coalesce(files), "pages", records_per_file)
+    if (most or 0) > large:
+        write(joined.where(F.col("__len") > large), "large", max(1, file_bytes // most))
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

@@ -51,3 +51,12 @@ def test_pages(spark):
         want.append((i, len((h or "").encode()), digest(h), kind, f if kind == "revisit" else None))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert aw.archive_digest(pages.limit(0)).count() == 0
+
+
+def test_large_pages_have_archives_of_their_own(spark, tmp_path):
+    """A page above its share of an archive's bytes, very long ones among them."""
+    rows = [(i, f"http://h/{i}", "x" * (10 if i % 5 else 3000 + i)) for i in range(40)] + [(99, "http://h/99", "é" * 1_000_000)]
+    aw.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a"), records_per_file=4, file_bytes=8000)
+    got = {r["page_id"]: r for r in aw.read_archives(spark, str(tmp_path / "a")).collect()}
+    assert len(got) == 41 and got[99]["payload_bytes"] == 2_000_000 and got[99]["payload_digest"] == digest("é" * 1_000_000)
+    assert (tmp_path / "a" / "large").exists()
