@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import re
 import tempfile
 import uuid
@@ -79,12 +80,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files of finished steps are deleted once the driver's JVM drops what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and outlives executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    # Shuffle files of finished steps go once the JVM drops what refers to them.
-    df.sparkSession.sparkContext._jvm.System.gc()
+    let_go(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._entloom_path = path
     return out
