@@ -18,7 +18,7 @@ from entloom.functions.keys import content_id, input_hash
 from entloom.operators.loading import keep_last, spread, unseen, update, upsert, validate
 from entloom.operators.relational import Desc, join_many, join_reference, ordered_list, project, row_count
 from entloom.plans.model import Dependency, Load, Out, Pipeline, Query, Step, sort_steps
-from entloom.plans.runlog import VIEWS
+from entloom.plans.runlog import VIEWS, totals
 from entloom.plans.runner import Runner
 from entloom.sources.store import Store
 
@@ -411,11 +411,19 @@ def run_log_failed(spark, sf_dir):
     return _log_view(spark, "failed_run")
 
 
-@query("SELECT * FROM (VALUES ('a', 'failed'), ('c', 'upstream_failed'), ('d', 'never run'), ('e', 'never run')) t(step, status)")
+@query("SELECT * FROM (VALUES ('a', 'failed'), ('c', 'never run'), ('e', 'never run')) t(step, status)")
 def steps_to_run(spark, sf_dir):
     return _log_view(spark, "steps_to_run")
 
 
+@query("SELECT * FROM (VALUES (1, 3, 1, 60), (2, 4, 1, 220)) t(run_id, steps, failures, rows_inserted)")
+def run_totals(spark, sf_dir):
+    """The last two of three runs; the n-th row of the log has inserted 10 n rows."""
+    steps = spark.sql(f"SELECT *, 10L * row_number() OVER (ORDER BY run_id, step) AS rows_inserted FROM VALUES {_STEP_RUNS} AS t(run_id, step, status)")
+    older = spark.sql("SELECT 0 AS run_id, 'a' AS step, 'completed' AS status, 1L AS rows_inserted")
+    return totals(spark.sql(f"SELECT * FROM VALUES (0), {_RUNS} AS t(run_id)"), steps.unionByName(older), 2)
+
+
 # -- pipelines ---------------------------------------------------------------------------------------------
 
 

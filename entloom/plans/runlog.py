@@ -23,19 +23,31 @@ STEP_RUN = _struct(
 )
 SEEN = _struct(version="string", input_hash="string")
 
-#: The step runs of the latest run, those of them that failed, and steps a rerun has to do: of the latest run failed or left out by a failure, or never completed.
+#: The step runs of the latest run; those of them that failed or were left out by a failure; what a rerun has to do: of the latest run's
+#: steps that didn't complete those that never have, or that have failed since they first did.
 VIEWS = {
     "current_run": "SELECT s.* FROM step_run s JOIN (SELECT max(run_id) AS run_id FROM run) r ON s.run_id = r.run_id",
     "failed_run": "SELECT * FROM current_run WHERE status IN ('failed', 'upstream_failed')",
     "steps_to_run": """
-        SELECT DISTINCT a.step, coalesce(c.status, 'never run') AS status
-        FROM (SELECT DISTINCT step FROM step_run) a
-        LEFT JOIN current_run c ON a.step = c.step AND c.status <> 'excluded'
-        WHERE c.status IS NULL OR c.status <> 'completed'
+        SELECT c.step, CASE WHEN h.failed IS NULL THEN 'never run' ELSE 'failed' END AS status
+        FROM current_run c
+        JOIN (
+            SELECT step, max(CASE WHEN status = 'failed' THEN run_id END) AS failed, min(CASE WHEN status = 'completed' THEN run_id END) AS done
+            FROM step_run GROUP BY step
+        ) h ON h.step = c.step
+        WHERE c.status <> 'completed' AND (h.done IS NULL OR h.failed > h.done)
     """,
 }
 
 
+def totals(runs: DataFrame, step_runs: DataFrame, last: int) -> DataFrame:
+    """Of each of the last runs: its steps, failures and the sums of its counters."""
+    recent = runs.select("run_id").orderBy(F.desc("run_id")).limit(last)
+    counters = ("inputs_extracted", "inputs_unique", "inputs_skipped", "inputs_processed", "rows_inserted", "rows_updated")
+    sums = [F.sum(c).alias(c) for c in counters if c in step_runs.columns]
+    return step_runs.join(F.broadcast(recent), "run_id").groupBy("run_id").agg(F.count(F.lit(1)).alias("steps"), F.count_if(F.col("status") == "failed").alias("failures"), *sums)
+
+
 class RunLog:
     def __init__(self, store: Store):
         self.store, self.spark = store, store.spark
@@ -56,6 +68,10 @@ class RunLog:
     def seen(self, version: str) -> DataFrame:
         return self.table("seen").where(F.col("version") == version).select("input_hash")
 
+    def last(self, n: int = 1) -> DataFrame:
+        """`totals` of the last n runs."""
+        return totals(self.table("run"), self.table("step_run"), n)
+
     def views(self) -> None:
         """Register the log's tables and views as temporary views."""
         for name in ("run", "step_run"):
