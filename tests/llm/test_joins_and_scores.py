@@ -4,6 +4,7 @@ import collections
 import math
 import bisect
 import random
+import time
 import zlib
 
 import numpy as np
@@ -135,6 +136,16 @@ def test_windows_hold_every_subsequence(h, width):
             assert len(inside) == 1 and h[inside[0][1]] == h[i : j + 1].min()
 
 
+def test_repeated_hashes_stay_fast():
+    """A text of one repeated shingle: the tree stays shallow, and every window's hash is the least of it."""
+    h = np.full(300_000, 7, np.uint64)
+    h[::1000] = 3
+    began = time.time()
+    nodes = cw.compact_windows(h, 46)
+    assert time.time() - began < 20
+    assert all(h[l : r + 1].min() == h[c] and l <= c <= r and r - l >= 45 for l, c, r in nodes[::997].tolist())
+
+
 def test_dense_runs():
     hit = np.array([0] * 5 + [1] * 10 + [0] + [1] * 10 + [0] * 20 + [1] * 9 + [0] * 3, bool)
     assert sorted(cw.dense_runs(hit, 0.9, 8)) == [(5, 26), (46, 55)]

@@ -188,6 +188,57 @@ def test_classifier(spark, make_docs):
     assert sq.score(make_docs([]), model).count() == 0
 
 
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(3)
+    model = sq.Model(20, 4)
+    model.emb, model.out, model.bias = rng.normal(size=(20, 4)), rng.normal(size=(4, 2)), rng.normal(size=2)
+    n, labels = np.array([3, 0, 5]), np.array([1, 0, 0])
+    idx, w = rng.permutation(20)[: n.sum()], rng.uniform(0.1, 1, n.sum())
+
+    def loss():
+        return -np.log(model.forward(idx, w, n)[1][np.arange(3), labels]).mean()
+
+    def slope(at, i):
+        was = at[i]
+        at[i] = was + 1e-4
+        up = loss()
+        at[i] = was - 1e-4
+        down = loss()
+        at[i] = was
+        return (up - down) / 2e-4
+
+    out, bias, back = model.gradients(idx, w, n, labels)
+    seg = np.repeat(np.arange(3), n)
+    for i in np.ndindex(4, 2):
+        assert out[i] == pytest.approx(slope(model.out, i), abs=2e-3)
+    assert bias.tolist() == pytest.approx([slope(model.bias, i) for i in range(2)], abs=2e-3)
+    for j, i in enumerate(idx.tolist()):
+        assert (w[j] * back[seg[j]]).tolist() == pytest.approx([slope(model.emb, (i, k)) for k in range(4)], abs=2e-3)
+
+
+def test_training_stays_finite():
+    """Documents that share all of their features, at a high rate; and weights that aren't finite are an error."""
+    f = [np.arange(50, dtype=np.int32)] * 200
+    w = [np.full(50, 0.02, np.float32)] * 200
+    model = sq.Model(64, 8)
+    model.fit(f, w, np.arange(200) % 2, epochs=10, rate=50.0)
+    assert np.isfinite(model.logits()[0]).all()
+    model.out[:] = np.nan
+    with pytest.raises(FloatingPointError):
+        model.fit(f, w, np.arange(200) % 2, epochs=1)
+
+
+def test_held_out_quality_of_ten_thousand_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    scored = sq.score(docs, sq.train(docs, labels))
+    rows = scored.where("held_out").join(labels.where("quality is not null"), "doc_id").select("score", "quality").collect()
+    assert scored.where("isnan(score) or score < 0 or score > 1").count() == 0
+    order = sorted(rows, key=lambda r: r["score"])
+    ones = [k for k, r in enumerate(order, 1) if r["quality"] == 1]
+    auc = (sum(ones) - len(ones) * (len(ones) + 1) / 2) / (len(ones) * (len(order) - len(ones)))
+    assert auc > 0.8 and sum((r["score"] >= 0.3) == r["quality"] for r in rows) > 0.94 * len(rows)
+
+
 def generalised(a, b):
     a, b = (collections.Counter((t or "").encode().split()) for t in (a, b))
     return sum((a & b).values()) / sum((a | b).values()) if a | b else 1.0
