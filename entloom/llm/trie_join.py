@@ -11,7 +11,7 @@ Which sets meet in one tree is settled by exact filters, so no link is lost:
   by hash to more parts than that, one part at least is the same in both. So each set emits a hash of each
   part, for its own class of sizes and the next; sets that share a signature are candidates. With `z` spare
   parts, empty parts emit nothing unless a set has more than `z`.
-* Sketches. The parity of the n-grams in each of about 4 |set| cells: two sets' sketches differ in no more cells than the sets in n-grams.
+* Sketches. The parity of the n-grams in each of about 2 |set| cells: two sets' sketches differ in no more cells than the sets in n-grams.
 
 Candidates meet in three rounds. First each set meets the least set of its signatures that its sketch doesn't rule out
 (a star: the hub and up to `chunk` others in one tree; larger stars are dealt into several). What these trees link is
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entloom.llm.common import id_name, lower_words_of, released, stored
@@ -129,13 +129,13 @@ def signatures(s: np.ndarray, t: Threshold, classes: list[int], spare: int = 3)
 
 
 def sketches(s: np.ndarray, classes: list[int]) -> list[np.ndarray]:
-    """For the set's size class and the next: the parity of its n-grams in each of about four times as many cells as the class's sizes."""
+    """For the set's size class and the next: the parity of its n-grams in each of about twice as many cells as the class's sizes."""
     k = bisect.bisect_right(classes, len(s)) - 1
     with np.errstate(over="ignore"):
         deal = mix64(s * _C + _A)
     out = []
     for tag in (k, k + 1):
-        cells = -(-classes[tag] // 16) * 64
+        cells = -(-classes[tag] // 32) * 64
         odd = np.bincount((deal % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
         out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
     return out
@@ -292,10 +292,6 @@ def _shared(scanned: DataFrame) -> DataFrame:
 _NONE = np.iinfo(np.int64).max
 
 
-def _sketch_of(sig: Column, k: Column, near: Column, far: Column) -> Column:
-    return F.when(F.pmod(sig, F.lit(2)) == F.pmod(k, F.lit(2)), near).otherwise(far)
-
-
 def _cross_pairs(rows: DataFrame, t: Threshold, group: int, least: bool) -> DataFrame:
     """a < b: pairs of different roots within a signature that their sketches allow; `least`: of each b only that with the least a. rows: sig, cls, root, size, sketch."""
     count = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
@@ -369,7 +365,8 @@ def _star_links(src: DataFrame, bearer: DataFrame, pairs: DataFrame, n: int, t:
             links = TrieJoin([held[c] for c in names], t).links
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in links], pa.int64()), pa.array([names[j] for _, j in links], pa.int64())], names=["a", "b"])
 
-    texts = src.hint("merge").join(need.hint("merge"), ["name", "hash"]).select("text", "cls", "place")
+    # `need` is a stored table, whose size the planner knows: it is broadcast only below Spark's threshold.
+    texts = src.join(need, ["name", "hash"]).select("text", "cls", "place")
     dealt = texts.mapInArrow(sets, "cls long, place long, grams binary").withColumn("bin", F.pmod("place", F.lit(bins)))
     return stored(dealt.groupBy("bin").applyInArrow(join, "a long, b long"), "links")
 
@@ -389,12 +386,11 @@ def _linked(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, chunk:
     bearer = stored(borne.select("cls", "name", "hash", F.col("n_shingles").alias("size"), "k", "near", "far"), "bearer")
     released(scanned)
 
-    # First round: each set and the least of the sets that it may be linked to by sketch.
-    odd = F.pmod("sig", F.lit(2)).alias("sig")
-    pairs = shared.where("cls != hub").select("cls", "hub", odd).distinct()
-    side = bearer.select("cls", "size", "k", "near", "far")
-    met = pairs.join(side, "cls").join(side.select(F.col("cls").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in ("size", "k", "near", "far"))), "hub")
-    differ = F.aggregate(F.zip_with(_sketch_of(F.col("sig"), F.col("k"), F.col("near"), F.col("far")), _sketch_of(F.col("sig"), F.col("hub_k"), F.col("hub_near"), F.col("hub_far")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, x: total + x)
+    # First round: each set and the least of the sets that it may be linked to by sketch. Any signature that two sets share names a class in which to compare them.
+    side = bearer.select("cls", "size", F.explode(F.array(F.struct(F.pmod("k", F.lit(2)).alias("odd"), F.col("near").alias("sketch")), F.struct(F.pmod(F.col("k") + 1, F.lit(2)).alias("odd"), F.col("far").alias("sketch")))).alias("x")).select("cls", "size", "x.*")
+    pairs = shared.where("cls != hub").groupBy("cls", "hub").agg(F.min(F.pmod("sig", F.lit(2)).cast("int")).alias("odd"))
+    met = pairs.join(side, ["cls", "odd"]).join(side.select(F.col("cls").alias("hub"), "odd", F.col("size").alias("hub_size"), F.col("sketch").alias("hub_sketch")), ["hub", "odd"])
+    differ = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, x: total + x)
     both = F.col("size") + F.col("hub_size")
     first = met.where(differ <= both - 2 * F.ceil(both * num / (num + den))).groupBy("cls").agg(F.min("hub").alias("hub"))
     links = _star_links(src, bearer, first, n, t, chunk, bin_sets)
@@ -405,9 +401,11 @@ def _linked(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, chunk:
         linked = functools.reduce(DataFrame.unionByName, found)
         roots = components(linked)
         rooted = stored(shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root")), "rooted")
-        open_ = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
-        rows = rooted.join(open_, "sig").join(side, "cls")
-        rows = stored(rows.select("sig", "cls", "root", "size", _sketch_of(F.col("sig"), F.col("k"), F.col("near"), F.col("far")).alias("sketch")), "open")
+        # Of signatures that the same sets share one is enough.
+        groups = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "cls")).alias(f"h{i}") for i in (0, 1))).where("lo != hi")
+        open_ = groups.groupBy("n", "h0", "h1").agg(F.min("sig").alias("sig")).select("sig")
+        rows = rooted.join(open_, "sig").withColumn("odd", F.pmod("sig", F.lit(2)).cast("int"))
+        rows = stored(rows.join(side, ["cls", "odd"]).select("sig", "cls", "root", "size", "sketch"), "open")
         apart = stored(_cross_pairs(rows, t, group, least).select(F.col("a").alias("hub"), F.col("b").alias("cls")), "pairs")
         found.append(_star_links(src, bearer, apart, n, t, chunk, bin_sets))
         released(rooted, rows, apart)
