@@ -11,7 +11,7 @@ Which sets meet in one tree is settled by exact filters, so no link is lost:
   by hash to more parts than that, one part at least is the same in both. So each set emits a hash of each
   part, for its own class of sizes and the next; sets that share a signature are candidates. With `z` spare
   parts, empty parts emit nothing unless a set has more than `z`.
-* Sketches. The parity of the n-grams in each of about 2 |set| cells: two sets' sketches differ in no more cells than the sets in n-grams.
+* Sketches. The parity of the n-grams in each of about 2 |set| cells, 2,048 at most: two sets' sketches differ in no more cells than the sets in n-grams.
 
 Candidates meet in three rounds. First each set meets the least set of its signatures that its sketch doesn't rule out
 (a star: the hub and up to `chunk` others in one tree; larger stars are dealt into several). What these trees link is
@@ -129,13 +129,16 @@ def signatures(s: np.ndarray, t: Threshold, classes: list[int], spare: int = 3)
 
 
 def sketches(s: np.ndarray, classes: list[int]) -> list[np.ndarray]:
-    """For the set's size class and the next: the parity of its n-grams in each of about twice as many cells as the class's sizes."""
+    """For the set's size class and the next: the parity of its n-grams in each of about twice as many cells as the class's sizes, 2,048 at most.
+
+    A longer set has more signatures, and its sketch goes with each. Where the cells are few the sketch rules less out, and the trees decide.
+    """
     k = bisect.bisect_right(classes, len(s)) - 1
     with np.errstate(over="ignore"):
         deal = mix64(s * _C + _A)
     out = []
     for tag in (k, k + 1):
-        cells = -(-classes[tag] // 32) * 64
+        cells = min(2048, -(-classes[tag] // 32) * 64)
         odd = np.bincount((deal % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
         out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
     return out
