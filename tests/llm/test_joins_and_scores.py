@@ -407,9 +407,11 @@ def test_order_counts(make_docs):
     rng = random.Random(8)
     line = [f"n{rng.randrange(10**6)}" for _ in range(60)]
     rows = [(i, " ".join(rng.choice(["the", "of", "and", *(f"w{rng.randrange(300)}" for _ in range(3))]) for _ in range(60))) for i in range(300)]
-    rows += [(1000 + i, " ".join(line)) for i in range(2)] + [(2000, " ".join(rng.sample(line, len(line))))]
-    got = {r["doc_id"]: r for r in cm.score(make_docs(rows), block_bytes=4096, shard_bytes=8192).collect()}
-    assert got[1001]["bits_per_byte"] < 0.3 * got[2000]["bits_per_byte"]
+    train, held = ([i for i in range(1000, 1100) if (zlib.crc32(str(i).encode()) % 7 == 2) == out] for out in (False, True))
+    copies, shuffled = (*train[:2], held[0]), held[1]
+    rows += [(i, " ".join(line)) for i in copies] + [(shuffled, " ".join(rng.sample(line, len(line))))]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in cm.score(make_docs(rows), block_bytes=4096, shard_bytes=8192).collect()}
+    assert all(got[i] < 0.3 * got[shuffled] for i in copies)
 
 
 def test_scores(make_docs):
