@@ -18,12 +18,15 @@ COLUMNS = {
     "op8_subword_quality": {"doc_id", "held_out", "score", "predicted"},
     "op9_weighted_fingerprints": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
     "op10_arc_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
+    "op11_merkle_manifest": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
+    "op12_token_alignment": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
+    "op13_cuckoo_dedup": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
 }
 
 
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= names
 
 
@@ -32,7 +35,7 @@ def test_columns_and_rows(spark, sf_dir, name):
     df = queries.QUERIES[name](spark, sf_dir)
     assert COLUMNS[name] <= set(df.columns)
     rows = df.collect()
-    table = "pages" if name.startswith("op10") else "documents"
+    table = "pages" if name.startswith("op10_") else "documents"
     assert len(rows) == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
     if sql := queries.ORACLE_SQL.get(name):
         con = duckdb.connect()
