@@ -15,13 +15,14 @@ text. Long texts are encoded whole. Rows that repeat and null ids are rows of th
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from entloom.llm.common import blocks_for, released, stored
@@ -142,8 +143,20 @@ def cuts(rows: DataFrame) -> DataFrame:
     return numbered.select("row", "group", "a", "b", *(x for s in "ab" for x in (f"{s}_from", (F.col(f"{s}_pos") - F.col(f"{s}_from") + 1).alias(f"{s}_n"))))
 
 
+@contextlib.contextmanager
+def one_dealing(spark: SparkSession):
+    """Within, tables that are dealt by row are joined on row and end as they lie; by default the planner would deal both anew by all keys of the join."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def align(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Of `encoded` rows: doc_id, row, n_a, n_b, n_groups, groups_sha256 and links (a, b)."""
+    """Of `encoded` rows (to be run in `one_dealing`): doc_id, row, n_a, n_b, n_groups, groups_sha256 and links (a, b)."""
     blocks = blocks_for(rows.agg(F.sum("bytes")).first()[0], block_bytes)
     parts = max(blocks, rows.sparkSession.sparkContext.defaultParallelism)
     dealt = rows.repartition(parts, "row")
@@ -185,7 +198,8 @@ def alignment(docs: DataFrame, first: str, second: str, block_bytes: int = BLOCK
     first, second: tokenizer files, read on the driver and sent to the workers.
     """
     rows = stored(encoded(docs, first, second), "tokens")
-    texts = stored(align(rows, block_bytes), "aligned")
+    with one_dealing(docs.sparkSession):
+        texts = stored(align(rows, block_bytes), "aligned")
     released(rows)
     links = texts.select("row", F.explode("links").alias("link")).select("row", "link.a", "link.b")
     pairs = stored(pair_counts(links), "pairs")
