@@ -1,11 +1,11 @@
 """Alignment of two tokenizers' tokens over the same bytes, in relational steps.
 
-Each text is encoded by both tokenizers once. Tokens are laid out as rows (posexplode), a window sums their byte lengths to their ends, and an equi-join on row and
+Texts are dealt by the number of their row, encoded there by both tokenizers and stored in buckets. Tokens are laid out as rows (posexplode), a window sums their byte lengths to their ends, and an equi-join on row and
 end finds the offsets where tokens of both sides end: the cuts. The running count of cuts is the group's number; the tokens between two cuts,
 a range of positions on either side, are its members. A pair of tokens that end together is a link. Links are counted corpus-wide, and each text gets what
 its links have.
 
-All steps of a text go by its row's number: the arrays are dealt once by it, and windows, join and aggregation follow in the same dealing without another shuffle. A
+Windows, join and aggregation follow in the same dealing, so texts are shuffled and tokens never. A
 task's tokens are rows that are sorted and may spill; of one text the cuts (positions and ids) are one value, about 40 times the text's bytes at most. Pairs of ids are counted
 after partial sums. They are broadcast up to `SMALL` pairs; beyond, pairs that hold more than one in `SHARE` links, so fewer than `SHARE`, are broadcast and all others joined by a shuffle.
 
@@ -16,16 +16,18 @@ text. Long texts are encoded whole. Rows that repeat and null ids are rows of th
 from __future__ import annotations
 
 import contextlib
+import functools
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from entloom.llm.common import blocks_for, released, stored
+from entloom.llm.common import blocks_for, let_go, released, scratch, stored
 
 SMALL = 1_000_000
 SHARE = 1000
@@ -41,7 +43,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level tokenizer of the `tokenizers` library, from its JSON. Special tokens' strings in texts are plain text."""
+    """A byte-level tokenizer of the `tokenizers` library, from its JSON; it encodes a space and the text. Special tokens' strings in texts are plain text."""
 
     def __init__(self, raw: bytes):
         from tokenizers import Tokenizer
@@ -49,12 +51,13 @@ class ByteLevel:
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.encode_special_tokens = True
         letters = byte_letters()
-        size = max(self.tokenizer.get_vocab().values()) + 1
-        self.bytes_of = [b""] * size
-        for token, i in self.tokenizer.get_vocab().items():
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
             self.bytes_of[i] = bytes(letters[c] for c in token)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
@@ -65,8 +68,9 @@ class Pieces:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        piece = self.model.id_to_piece
-        self.bytes_of = [bytes([int(piece(i)[3:-1], 16)]) if self.model.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.model.get_piece_size())]
+        ids = range(self.model.get_piece_size())
+        texts = [self.model.id_to_piece(i) for i in ids]
+        self.bytes_of = [bytes([int(t[3:-1], 16)]) if self.model.is_byte(i) else t.replace("\u2581", " ").encode() for i, t in zip(ids, texts, strict=True)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
@@ -81,56 +85,83 @@ def tokenizer_of(raw: bytes):
     return ByteLevel(raw)
 
 
-def _lists(ids: list[list[int]], sizes: np.ndarray) -> pa.Array:
-    flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(flat), pa.array(sizes[flat].astype(np.int32))], ["id", "n"]))
+class Encoder:
+    """Ids of whole texts; a text that its tokens' bytes don't give back has none."""
+
+    def __init__(self, raw: bytes):
+        self.tokenizer = tokenizer_of(raw)
+        self.sizes = np.fromiter(map(len, self.tokenizer.bytes_of), np.int32)
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        letters, plain = self.tokenizer.bytes_of, []
+        for raw in texts:
+            try:
+                plain.append((raw or b"").decode())
+            except UnicodeDecodeError:
+                plain.append("")
+        found = [x if t and b"".join(map(letters.__getitem__, x)) == b" " + t.encode() else [] for t, x in zip(plain, self.tokenizer.encode(plain), strict=True)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
+
+
+@functools.lru_cache(maxsize=4)
+def encoder_of(raw: bytes) -> Encoder:
+    """A Python worker keeps its encoders from task to task."""
+    return Encoder(raw)
+
 
+#: A token's id is below this; its size in bytes comes above.
+_ID_BITS = 20
 
-def encoded(docs: DataFrame, first: str, second: str) -> DataFrame:
-    """doc_id, row, bytes and the tokens a and b (id, n: bytes) of every text; texts that don't come back have none."""
-    sides = []
+
+def _lists(raw: bytes, texts: list[bytes | None]) -> pa.Array:
+    encoder = encoder_of(raw)
+    ids, counts = encoder.encode(texts)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids | encoder.sizes[ids] << _ID_BITS))
+
+
+def encoded(docs: DataFrame, first: str, second: str, block_bytes: int) -> DataFrame:
+    """doc_id, row and the tokens a and b of every text (id and size in one number), stored in buckets by row: texts are shuffled once, tokens never."""
+    spark, sides = docs.sparkSession, []
     for path in (first, second):
         with open(path, "rb") as f:
             sides.append(f.read())
-    shared = docs.sparkSession.sparkContext.broadcast(sides)
+    shared = spark.sparkContext.broadcast(sides)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        both = [tokenizer_of(raw) for raw in shared.value]
-        sizes = [np.fromiter(map(len, t.bytes_of), np.int64) for t in both]
         for batch in batches:
-            done = 0
-            lengths = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(2)])
-            while done < batch.num_rows:
-                upto = max(done + 1, int(np.searchsorted(lengths, (lengths[done - 1] if done else 0) + 1_000_000, "right")))
-                piece = batch.slice(done, upto - done)
-                raw = [x or b"" for x in piece.column(2).to_pylist()]
-                texts = [x.decode("utf-8", "replace") for x in raw]
-                found = []
-                for t in both:
-                    ids = [list(x) if text else [] for x, text in zip(t.encode(texts), texts, strict=True)]
-                    found.append(ids)
-                for k, whole in enumerate(raw):
-                    if any(b"".join(map(t.bytes_of.__getitem__, ids[k])) != b" " + whole for t, ids in zip(both, found, strict=True)):
-                        found[0][k], found[1][k] = [], []
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array(list(map(len, raw)), pa.int64()), *(_lists(ids, n) for ids, n in zip(found, sizes, strict=True))],
-                    names=["doc_id", "row", "bytes", "a", "b"],
-                )
-                done = upto
-
+            for lo in range(0, batch.num_rows, 250):
+                piece = batch.slice(lo, 250)
+                texts = piece.column(2).to_pylist()
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(_lists(raw, texts) for raw in shared.value)], names=["doc_id", "row", "a", "b"])
+
+    text = F.col("text").cast("binary")
+    # As many buckets as blocks of texts; a catalogue holds 100,000 at most.
+    parts = min(100_000, max(blocks_for(docs.agg(F.sum(F.octet_length(text))).first()[0], block_bytes), spark.sparkContext.defaultParallelism))
+    dealt = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("text")).repartition(parts, "row")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary"))
-    token = "array<struct<id:int,n:int>>"
-    return numbered.mapInArrow(run, f"doc_id {id_type}, row long, bytes long, a {token}, b {token}")
+    rows = dealt.mapInArrow(run, f"doc_id {id_type}, row long, a array<int>, b array<int>")
+    path = scratch(spark, "tokens")
+    name = "tokens_" + path.rsplit("-", 1)[1]
+    rows.write.bucketBy(parts, "row").option("path", path).saveAsTable(name)
+    let_go(spark)
+    out = spark.table(name)
+    out._entloom_path, out._entloom_name = path, name
+    return out
+
+
+def forgotten(rows: DataFrame) -> None:
+    """Delete what `encoded` has stored."""
+    rows.sparkSession.sql(f"DROP TABLE {rows._entloom_name}")
+    released(rows)
 
 
 def ends(rows: DataFrame, side: str) -> DataFrame:
     """The side's tokens as rows: row, end (bytes up to and with the token), <side>_pos and <side>."""
-    laid = rows.select("row", F.posexplode(side).alias("pos", "token")).select("row", "pos", "token.id", "token.n")
+    laid = rows.select("row", F.posexplode(side).alias("pos", "token"))
     upto = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return laid.select("row", F.sum("n").over(upto).alias("end"), F.col("pos").alias(f"{side}_pos"), F.col("id").alias(side))
+    return laid.select("row", F.sum(F.shiftright("token", _ID_BITS)).over(upto).alias("end"), F.col("pos").alias(f"{side}_pos"), F.col("token").bitwiseAND((1 << _ID_BITS) - 1).alias(side))
 
 
 def cuts(rows: DataFrame) -> DataFrame:
@@ -145,7 +176,7 @@ def cuts(rows: DataFrame) -> DataFrame:
 
 @contextlib.contextmanager
 def one_dealing(spark: SparkSession):
-    """Within, tables that are dealt by row are joined on row and end as they lie; by default the planner would deal both anew by all keys of the join."""
+    """Within, tables in buckets by row are joined on row and end as they lie; by default the planner would deal both anew by all keys of a join."""
     name = "spark.sql.requireAllClusterKeysForCoPartition"
     before = spark.conf.get(name)
     spark.conf.set(name, "false")
@@ -155,22 +186,22 @@ def one_dealing(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def align(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Of `encoded` rows (to be run in `one_dealing`): doc_id, row, n_a, n_b, n_groups, groups_sha256 and links (a, b)."""
-    blocks = blocks_for(rows.agg(F.sum("bytes")).first()[0], block_bytes)
-    parts = max(blocks, rows.sparkSession.sparkContext.defaultParallelism)
-    dealt = rows.repartition(parts, "row")
-    found = cuts(dealt).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("group", "a_from", "a_n", "b_from", "b_n", "a", "b"))).alias("cuts"))
+def align(rows: DataFrame) -> DataFrame:
+    """Of `encoded` rows: doc_id, row, n_a, n_b, n_groups, groups_sha256 and links (a, b); to be run in `one_dealing`."""
+    found = cuts(rows).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("group", "a_from", "a_n", "b_from", "b_n", "a", "b"))).alias("cuts"))
 
     def listed(side: str, cut: Column) -> Column:
         return F.array_join(F.slice(f"{side}_text", cut[f"{side}_from"] + 1, cut[f"{side}_n"]), ",")
 
-    whole = dealt.select("doc_id", "row", *(F.col(f"{s}.id").cast("array<string>").alias(f"{s}_text") for s in "ab")).join(found, "row", "left")
-    text = F.array_join(F.transform("cuts", lambda c: F.concat(listed("a", c), F.lit("|"), listed("b", c))), ";")
+    ids = [F.transform(s, lambda t: t.bitwiseAND((1 << _ID_BITS) - 1).cast("string")).alias(f"{s}_text") for s in "ab"]
+    whole = rows.select("doc_id", "row", *ids).join(found.hint("merge"), "row", "left")
+    groups = F.array_join(F.transform("cuts", lambda c: F.concat(listed("a", c), F.lit("|"), listed("b", c))), ";")
+    # A text that one side doesn't give back has no cuts, and then none of its tokens count.
+    both = F.col("cuts").isNotNull()
     return whole.select(
-        "doc_id", "row", F.size("a_text").cast("long").alias("n_a"), F.size("b_text").cast("long").alias("n_b"),
+        "doc_id", "row", *(F.when(both, F.size(f"{s}_text")).otherwise(0).cast("long").alias(f"n_{s}") for s in "ab"),
         F.coalesce(F.size("cuts"), F.lit(0)).cast("long").alias("n_groups"),
-        F.coalesce(F.sha2(text.cast("binary"), 256), F.lit("")).alias("groups_sha256"),
+        F.coalesce(F.sha2(groups.cast("binary"), 256), F.lit("")).alias("groups_sha256"),
         F.transform("cuts", lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"))).alias("links"),
     )
 
@@ -197,10 +228,10 @@ def alignment(docs: DataFrame, first: str, second: str, block_bytes: int = BLOCK
 
     first, second: tokenizer files, read on the driver and sent to the workers.
     """
-    rows = stored(encoded(docs, first, second), "tokens")
+    rows = encoded(docs, first, second, block_bytes)
     with one_dealing(docs.sparkSession):
-        texts = stored(align(rows, block_bytes), "aligned")
-    released(rows)
+        texts = stored(align(rows), "aligned")
+    forgotten(rows)
     links = texts.select("row", F.explode("links").alias("link")).select("row", "link.a", "link.b")
     pairs = stored(pair_counts(links), "pairs")
     sums = with_counts(links, pairs, small).groupBy("row").agg(F.count(F.lit(1)).alias("n_links"), F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))

@@ -147,13 +147,13 @@ def test_alignment_of_a_long_text(make_docs):
     assert (got["n_a"], got["n_b"], got["n_groups"], got["n_links"]) == (len(ids[0]), len(ids[1]), len(at[0] & at[1]), len(at[0] & at[1]))
 
 
-def test_alignment_shuffles_arrays_only(spark, make_docs):
-    """Windows, join and aggregation follow the dealing of the arrays by row; no tokens are shuffled or broadcast."""
-    rows = token_alignment.encoded(make_docs([(1, "a b")]), A, B)
+def test_alignment_shuffles_no_tokens(spark, make_docs):
+    """Windows, join and aggregation follow the buckets."""
+    rows = token_alignment.encoded(make_docs([(1, "a b"), (2, "c")]), A, B, 100)
     with token_alignment.one_dealing(spark):
         plan = token_alignment.align(rows)._jdf.queryExecution().executedPlan().toString()
-    exchanges = [x for x in plan.splitlines() if "Exchange" in x]
-    assert len(exchanges) == 3 and all("REPARTITION_BY_NUM" in x for x in exchanges)
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
+    token_alignment.forgotten(rows)
 
 
 # -- cuckoo index ------------------------------------------------------------------------------------
