@@ -74,22 +74,27 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return df.groupBy(*keys).agg(last.alias("__last")).select(*keys, "__last.*")
 
 
-def upsert(old: DataFrame, new: DataFrame, supplied: Sequence[str], key: str = "id") -> DataFrame:
-    """`old` with the rows of `new` (unique keys) put in: supplied columns overwrite, also with null; others stay as they are.
+def merged(old: DataFrame, new: DataFrame, supplied: Sequence[str], key: str = "id", insert: bool = True) -> DataFrame:
+    """`old` with the rows of `new` (unique keys) put in, and __state: 'kept', 'updated' or 'inserted'.
 
-    Columns of `old` that `new` doesn't supply are null in inserted rows.
+    Supplied columns overwrite, also with null; others stay as they are, and are null in inserted rows. Without `insert` keys that `old` lacks are ignored.
     """
     fresh = new.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__{c}") for c in supplied), F.lit(True).alias("__new"))
-    joined = old.join(fresh, old[key] == fresh["__key"], "full_outer")
+    known = old.withColumn("__old", F.lit(True))
+    joined = known.join(fresh, known[key] == fresh["__key"], "full_outer" if insert else "left")
+    state = F.when(F.col("__new").isNull(), "kept").when(F.col("__old").isNull(), "inserted").otherwise("updated")
     cols = [F.coalesce(F.col(key), F.col("__key")).alias(key) if c == key else F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in supplied else F.col(c) for c in old.columns]
-    return joined.select(*cols)
+    return joined.select(*cols, state.alias("__state"))
+
+
+def upsert(old: DataFrame, new: DataFrame, supplied: Sequence[str], key: str = "id") -> DataFrame:
+    """`merged`, without the state."""
+    return merged(old, new, supplied, key).drop("__state")
 
 
 def update(old: DataFrame, new: DataFrame, supplied: Sequence[str], key: str = "id") -> DataFrame:
     """`old` with the supplied columns of matching rows replaced; keys that `old` lacks are ignored."""
-    fresh = new.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__{c}") for c in supplied), F.lit(True).alias("__new"))
-    joined = old.join(fresh, old[key] == fresh["__key"], "left")
-    return joined.select(*(F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in supplied else F.col(c) for c in old.columns))
+    return merged(old, new, supplied, key, insert=False).drop("__state")
 
 
 def unseen(df: DataFrame, seen: DataFrame, key: str = "input_hash") -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from entloom.entity import Entity
-from entloom.operators.loading import keep_last, upsert
+from entloom.operators.loading import keep_last, merged
+from entloom.sources.scratch import released, stored
 from entloom.sources.store import Store
 
 
@@ -40,9 +41,13 @@ class KeptView:
         return self.store.read(self.name, self.query().schema)
 
 
-def load_keyed(store: Store, entity: Entity, rows: DataFrame) -> int:
-    """Upsert rows that carry their ids already; of an id that repeats the last by content stays. Returns the version."""
+def load_keyed(store: Store, entity: Entity, rows: DataFrame) -> dict[str, int]:
+    """Upsert rows that carry their ids already; of an id that repeats the last by content stays. Returns the numbers of rows kept (in the buckets touched), updated and inserted."""
     supplied = [c for c in rows.columns if c != "id"]
     if unknown := [c for c in supplied if c not in entity.struct.names]:
         raise ValueError(f"{entity.name} has no columns {unknown}")
-    return store.write(entity.full_name, upsert(store.read(entity.full_name, entity.struct), keep_last(rows, ["id"], []), supplied))
+    new = stored(keep_last(rows, ["id"], []), "keyed")
+    try:
+        return store.merge(entity.full_name, entity.struct, new, lambda old, fresh: merged(old, fresh, supplied))
+    finally:
+        released(new)

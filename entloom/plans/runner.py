@@ -2,7 +2,7 @@
 
 A step's inputs that this version of it has done before are left out by an anti join on their
 hashes. The rest passes the transforms once and is written to the shared folder, as every load reads it; then
-each load merges into a new version of its entity. Data are written before the inputs are marked as seen, so a
+each load merges into a new version of its entity, of which it rewrites the buckets that it touches. Data are written before the inputs are marked as seen, so a
 run that breaks off is done again, and keyed merges make that harmless.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from entloom.entity import Entity
 from entloom.functions.keys import input_hash
-from entloom.operators.loading import keep_last, orphans, spread, unseen, update, upsert, validate
+from entloom.operators.loading import keep_last, merged, orphans, spread, unseen, validate
 from entloom.plans.model import Load, Pipeline, Query, Selection, Step
 from entloom.plans.runlog import RunLog
 from entloom.sources.store import Store
@@ -62,7 +62,7 @@ class Runner:
             if build:
                 self.store.drop(name)
             if not self.store.version(name):
-                self.store.write(name, self.spark.createDataFrame([], e.struct))
+                self.store.create(name)
 
     # -- a step ---------------------------------------------------------------------
 
@@ -99,30 +99,29 @@ class Runner:
         e, supplied = load.entity, load.supplied
         if not load.insert and not supplied:
             return  # a lookup: its id is computed, nothing is written
-        new, old = self.rows_of(df, load, step), self.table(e)
         path = f"_tmp/{uuid.uuid4().hex}"
+        new = self.rows_of(df, load, step)
         self.store.write(path, new)
         try:
-            self._merge(self.store.read(path, new.schema), old, load, step, counts, options)
+            self._merge(self.store.read(path, new.schema), load, step, counts, options)
         finally:
             self.store.drop(path)
 
-    def _merge(self, new: DataFrame, old: DataFrame, load: Load, step: Step, counts: dict, options: Options) -> None:
+    def _merge(self, new: DataFrame, load: Load, step: Step, counts: dict, options: Options) -> None:
         e, supplied = load.entity, load.supplied
         if options.check_references:
             for c, parent in e.references.items():
                 if c in supplied and (lost := orphans(new, c, self.table(parent)).limit(1).count()):
                     raise InvalidRows(f"{e.name}.{c}: {lost} or more rows refer to no {parent.name}")
-        new = new.withColumn("step_id", F.lit(step.version)).withColumn("created_at", F.current_timestamp())
-        if load.insert:
-            merged = upsert(old, new, [*supplied, "step_id"])
-            merged = merged.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
-        else:
-            merged = update(old, new, [*supplied, "step_id"])
-        n, known = new.count(), new.join(old.select("id"), "id", "left_semi").count()
-        self.store.write(e.full_name, merged)
-        counts["rows_updated"] = counts.get("rows_updated", 0) + known
-        counts["rows_inserted"] = counts.get("rows_inserted", 0) + (n - known if load.insert else 0)
+        new = new.withColumn("step_id", F.lit(step.version))
+
+        def combine(old: DataFrame, fresh: DataFrame) -> DataFrame:
+            rows = merged(old, fresh, [*supplied, "step_id"], insert=load.insert)
+            return rows.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
+
+        found = self.store.merge(e.full_name, e.struct, new, combine)
+        counts["rows_updated"] = counts.get("rows_updated", 0) + found["updated"]
+        counts["rows_inserted"] = counts.get("rows_inserted", 0) + found["inserted"]
 
     def run_step(self, step: Step, pipeline: Pipeline, options: Options) -> StepResult:
         began, counts, temporary = time.time(), {}, []
@@ -133,9 +132,10 @@ class Runner:
             hashed = raw.withColumn("input_hash", input_hash(step.version, {c: F.to_json(F.struct(c)) if not isinstance_simple(raw, c) else F.col(c) for c in raw.columns}))
             fresh = hashed.dropDuplicates(["input_hash"]) if options.retry else unseen(hashed, self.log.seen(step.version))
             temporary.append(path := f"_tmp/{uuid.uuid4().hex}")
-            self.store.write(path, fresh)
+            unique = Observation()
+            self.store.write(path, fresh.observe(unique, F.count(F.lit(1)).alias("n")))
             fresh = self.store.read(path, fresh.schema)
-            counts["inputs_extracted"], counts["inputs_unique"] = observed(read), fresh.count()
+            counts["inputs_extracted"], counts["inputs_unique"] = observed(read), observed(unique)
             done = fresh
             for transform in step.transforms:
                 done = transform.apply(done, pipeline.settings)
