@@ -5,7 +5,6 @@ Every query runs over whole tables: through the library's operators, or as plain
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,11 +14,14 @@ from pyspark.sql import functions as F
 from entloom.entity import Entity, Rule, entity
 from entloom.functions import transforms as tr
 from entloom.functions.keys import content_id, input_hash
-from entloom.operators.loading import keep_last, spread, unseen, update, upsert, validate
+from entloom.operators.intervals import asof_join, overlap_join, range_join
+from entloom.operators.loading import keep_last, merged, spread, unseen, update, upsert, validate
+from entloom.operators.numbering import number_rows, running_sum
 from entloom.operators.relational import Desc, join_many, join_reference, ordered_list, project, row_count
 from entloom.plans.model import Dependency, Load, Out, Pipeline, Query, Step, sort_steps
 from entloom.plans.runlog import VIEWS, totals
 from entloom.plans.runner import Runner
+from entloom.sources.scratch import shared_dir, stored
 from entloom.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,8 +46,7 @@ def query(sql: str | None = None):
 
 def work_folder(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="entloom-")
-    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
 
 
 def md5_id(*cols: str) -> str:
@@ -144,6 +145,53 @@ def link_table_join(spark, sf_dir):
     return project(join_many(c, customer, link, bought, p, part), F.col("c_custkey").alias("customer"), F.col("p_partkey").alias("part"))
 
 
+@query(
+    "WITH e AS (SELECT event_id AS seen_id, user_id AS seen_user, max(ts) AS seen_ts FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY event_id, user_id), "
+    "l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = (SELECT max(event_type) FROM events)) "
+    "SELECT l.event_id, l.user_id, e.seen_id, epoch_us(l.ts) - epoch_us(e.seen_ts) AS micros FROM l ASOF LEFT JOIN e ON l.user_id = e.seen_user AND l.ts > e.seen_ts"
+)
+def asof_last_event(spark, sf_dir):
+    """For each event of one type the user's last event of another type before it."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    kinds = events.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi")).first()
+    left = events.where(F.col("event_type") == kinds["hi"]).drop("event_type")
+    right = events.where(F.col("event_type") == kinds["lo"]).select(F.col("event_id").alias("seen_id"), F.col("user_id").alias("seen_user"), F.col("ts").alias("seen_ts"))
+    rows = asof_join(left, right, ("ts", "seen_ts"), [("user_id", "seen_user")], ties=["seen_id"], equal=False)
+    micros = ((F.col("ts") - F.col("seen_ts")).cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long")
+    return rows.select("event_id", "user_id", "seen_id", micros.alias("micros"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o.latest FROM lineitem l ASOF LEFT JOIN (SELECT o_orderdate AS day, max(o_orderkey) AS latest FROM orders GROUP BY 1) o ON l.l_shipdate >= o.day"
+)
+def asof_last_order(spark, sf_dir):
+    """The last order placed up to each line's shipping: one group, which is dealt into ranges of time."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("latest"), F.col("o_orderdate").alias("day"))
+    return asof_join(lines, orders, ("l_shipdate", "day"), ties=["latest"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "latest")
+
+
+@query("SELECT p.p_partkey, count(*) AS n, CAST(sum(c.c_custkey) AS BIGINT) AS keys FROM part p JOIN customer c ON c.c_acctbal BETWEEN p.p_retailprice - p.p_size AND p.p_retailprice + p.p_size GROUP BY p.p_partkey")
+def range_join_prices(spark, sf_dir):
+    """Balances within a band around each part's price; bands differ in width."""
+    points = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    bands = table(spark, sf_dir, "part").select("p_partkey", (price - size).alias("lo"), (price + size).alias("hi"))
+    return range_join(points, bands, "c_acctbal", "lo", "hi").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
+
+
+@query(
+    "SELECT a.o_orderkey AS one, b.o_orderkey AS two FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey "
+    "AND a.o_orderdate <= b.o_orderdate + to_days(CAST(b.o_orderkey % 90 AS INTEGER)) AND b.o_orderdate <= a.o_orderdate + to_days(CAST(a.o_orderkey % 90 AS INTEGER))"
+)
+def overlapping_orders(spark, sf_dir):
+    """Pairs of a customer's orders whose times overlap, each lasting a number of days of its own."""
+    rows = table(spark, sf_dir, "orders")
+    until = F.col("o_orderdate") + F.make_dt_interval(F.col("o_orderkey") % 90)
+    one, two = (rows.select(F.col("o_orderkey").alias(n), F.col("o_custkey").alias(f"{n}_by"), F.col("o_orderdate").alias(f"{n}_from"), until.alias(f"{n}_to")) for n in ("one", "two"))
+    return overlap_join(one, two, ("one_from", "one_to"), ("two_from", "two_to"), [("one_by", "two_by")]).where("one < two").select("one", "two")
+
+
 # -- aggregates and windows ---------------------------------------------------------------
 
 
@@ -184,6 +232,23 @@ def row_numbers(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.row_number().over(Window.orderBy("n_name")).cast("long").alias("number"))
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS number FROM orders")
+def row_numbers_all(spark, sf_dir):
+    """A number for every row of a table of any size."""
+    return number_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "number")
+
+
+@query(
+    "SELECT event_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY event_type) AS n, "
+    "CAST(sum(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts DESC, event_id DESC)"
+)
+def row_numbers_grouped(spark, sf_dir):
+    """Numbers and running sums within few large groups."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    placed = number_rows(events, [F.desc("ts"), F.desc("event_id")], ["event_type"], "place", "n")
+    return running_sum(placed, "event_id", ["ts", "event_id"], ["event_type"]).select("event_id", "place", "n", "running")
+
+
 @query("SELECT DISTINCT event_type, max(ts) AS last_ts FROM events GROUP BY event_type")
 def distinct_max(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").alias("last_ts")).distinct()
@@ -260,6 +325,26 @@ def upsert_merge(spark, sf_dir):
     return upsert(old.select("id", "event_type", "value", "event_id"), new, ["event_type", "event_id"])
 
 
+@query(
+    f"SELECT {md5_id('c_custkey')} AS id, c_custkey AS custkey, CASE WHEN c_custkey % 100 = 7 THEN 'changed' ELSE c_mktsegment END AS segment, c_acctbal AS balance FROM customer "
+    f"UNION ALL SELECT {md5_id('-1 - s_suppkey')}, -1 - s_suppkey, 'new', NULL FROM supplier"
+)
+def bucketed_upsert(spark, sf_dir):
+    """Two loads into a keyed table: all customers, then a hundredth of them changed and suppliers added. Each rewrites the buckets it touches."""
+    e = entity("customer", {"custkey": "int8", "segment": "text", "balance": "float8"}, ["custkey"], registry={})
+    store = Store(spark, work_folder(spark), bucket_rows=200)
+
+    def load(rows, *supplied):
+        new = stored(rows.withColumn("id", e.key({"custkey": F.col("custkey")})), "new")
+        store.merge(e.full_name, e.struct, new, lambda old, fresh: merged(old, fresh, supplied))
+
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    load(customers, "custkey", "segment", "balance")
+    load(customers.where("custkey % 100 = 7").select("custkey", F.lit("changed").alias("segment")), "custkey", "segment")
+    load(table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("custkey"), F.lit("new").alias("segment")), "custkey", "segment")
+    return store.read(e.full_name, e.struct).select("id", "custkey", "segment", "balance")
+
+
 @query("SELECT c.c_custkey AS id, CASE WHEN o.n IS NOT NULL THEN 'ordered' ELSE c.c_mktsegment END AS segment FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) o ON o.o_custkey = c.c_custkey")
 def update_existing_only(spark, sf_dir):
     old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
@@ -424,6 +509,33 @@ def run_totals(spark, sf_dir):
     return totals(spark.sql(f"SELECT * FROM VALUES (0), {_RUNS} AS t(run_id)"), steps.unionByName(older), 2)
 
 
+# -- what queries read ---------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH c AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1), s AS (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1) "
+    "SELECT c.nation, c.n AS customers, s.n AS suppliers, 'public.buyer.balance,public.buyer.nation,public.seller.nation' AS reads FROM c JOIN s ON c.nation = s.nation"
+)
+def columns_read(spark, sf_dir):
+    """A query over two entities of equal columns, beside the columns that its plan reads of each; the other's balance isn't among them."""
+    registry: dict = {}
+    buyer, seller = (entity(n, {"key": "int8", "nation": "int4", "balance": "float8"}, ["key"], registry=registry) for n in ("buyer", "seller"))
+    places = {buyer: ("customer", "c"), seller: ("supplier", "s")}
+
+    def counted(read):
+        b, s = read(buyer), read(seller)
+        one = b.where("balance > 0").groupBy("nation").agg(F.count(F.lit(1)).alias("customers"))
+        return one.join(s.groupBy("nation").agg(F.count(F.lit(1)).alias("suppliers")), "nation")
+
+    def read(e):
+        name, p = places[e]
+        key = "custkey" if p == "c" else "suppkey"
+        return table(spark, sf_dir, name).select(F.col(f"{p}_{key}").alias("key"), F.col(f"{p}_nationkey").alias("nation"), F.col(f"{p}_acctbal").alias("balance"))
+
+    reads = ",".join(sorted(Query(counted).dependency.columns_needed))
+    return counted(read).select("nation", "customers", "suppliers", F.lit(reads).alias("reads"))
+
+
 # -- pipelines ---------------------------------------------------------------------------------------------
 
 
