@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from entloom.entity import Entity
 from entloom.functions.transforms import Transform, source_of
@@ -46,35 +47,46 @@ class Dependency:
         return bool(self.tables_needed & other.tables_yielded or self.columns_needed & other.columns_yielded)
 
 
+#: Key of a column's metadata that names the entity it is read from. It stays with the column where the planner copies a table, as in self-joins.
+_READ_FROM = "entloom.entity"
+
+
 def read_by(build: Callable[[Callable[[Entity], DataFrame]], DataFrame]) -> dict[Entity, list[str]]:
-    """The entities that a query reads and the columns that are left of them in its optimized plan. No data are read; a session must be active."""
+    """The entities that a query reads and the columns that are left of them in its optimized plan, subqueries included. No data are read; a session must be active."""
     spark = SparkSession.active()
-    asked: list[Entity] = []
+    asked: dict[str, Entity] = {}
 
     def items(seq) -> list:
         return [seq.apply(i) for i in range(seq.size())]
 
     def read(e: Entity) -> DataFrame:
-        if e not in asked:
-            asked.append(e)
+        if asked.setdefault(e.full_name, e) is not e:
+            raise ValueError(f"two entities are named {e.full_name}")
+        marked = T.StructType([T.StructField(f.name, f.dataType, f.nullable, {_READ_FROM: e.full_name}) for f in e.struct])
         # A table without statistics, which the planner can't fold away.
-        return spark.createDataFrame(spark.sparkContext.emptyRDD(), e.struct)
+        return spark.createDataFrame(spark.sparkContext.emptyRDD(), marked)
 
-    plan = build(read)._jdf.queryExecution().optimizedPlan()
-    leaves = [[(a.exprId().id(), a.name()) for a in items(leaf.output())] for leaf in items(plan.collectLeaves())]
-    used = {a.exprId().id() for a in items(plan.output())}
+    read_columns: dict[int, tuple[str, str]] = {}
+    used: set[int] = set()
 
     def walk(node) -> None:
         used.update(a.exprId().id() for a in items(node.references().toSeq()))
-        for child in items(node.children()):
+        children = items(node.children())
+        for a in items(node.output()) if not children else ():
+            if of := json.loads(a.metadata().json()).get(_READ_FROM):
+                read_columns[a.exprId().id()] = (of, a.name())
+        for child in children:
             walk(child)
+        for inner in items(node.subqueries()):
+            plan_used(inner)
+
+    def plan_used(plan) -> None:
+        used.update(a.exprId().id() for a in items(plan.output()))
+        walk(plan)
 
-    walk(plan)
-    found: dict[Entity, list[str]] = {}
-    for e in asked:
-        columns = {name for leaf in leaves if [n for _, n in leaf] == list(e.struct.names) for i, name in leaf if i in used}
-        found[e] = [c for c in e.struct.names if c in columns]
-    return found
+    plan_used(build(read)._jdf.queryExecution().optimizedPlan())
+    left = {read_columns[i] for i in used & read_columns.keys()}
+    return {e: [c for c in e.struct.names if (name, c) in left] for name, e in asked.items()}
 
 
 @dataclass(frozen=True)

@@ -223,6 +223,31 @@ def test_reads_are_found_in_the_plan(spark):
     assert step.dependency.columns_needed == {f"{parent.full_name}.label"}
 
 
+def test_reads_of_equal_layouts_and_self_joins(spark):
+    """Two entities with the same columns are told apart; so are a table's copies in a self-join, and subqueries are looked into."""
+    reg: dict = {}
+    a, b = (entity(n, {"x": "int4", "y": "int4"}, ["x"], registry=reg) for n in "ab")
+    of = Query(lambda read: read(a).select("x").crossJoin(read(b).select("y"))).dependency
+    assert of.columns_needed == {"public.a.x", "public.b.y"}
+
+    def joined(read):
+        one = read(a)
+        return one.alias("l").join(one.alias("r"), F.expr("l.x = r.y")).select("l.id")
+
+    assert Query(joined).dependency.columns_needed == {"public.a.id", "public.a.x", "public.a.y"}
+
+    def nested(read):
+        return spark.sql("SELECT id FROM {a} o WHERE x > (SELECT max(y) FROM {b}) AND EXISTS (SELECT 1 FROM {c} c WHERE c.y = o.x)", a=read(a), b=read(b), c=read(b))
+
+    assert Query(nested).dependency.columns_needed == {"public.a.id", "public.a.x", "public.b.y"}
+    other = entity("a", {"z": "int4"}, ["z"], registry={})
+    with pytest.raises(ValueError, match="two entities"):
+        Query(lambda read: read(a).crossJoin(read(other)))
+    first = Step("first", Query(lambda read: read(a).select("x")), loads=[Load(b, {"x": Out("x"), "y": 1}, insert=True)])
+    second = Step("second", Query(lambda read: read(b).select("y")))
+    assert [s.name for s in sort_steps([second, first])] == ["first", "second"]  # no false cycle
+
+
 @tr.transform("total int, text string")
 def added(a: int | None, b: str) -> tuple:
     return (None if a is None else a + 1), f"{type(a).__name__} {b}"
