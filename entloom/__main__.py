@@ -1,4 +1,4 @@
-"""Command line: list, describe, check and run a pipeline given as `module:attribute`."""
+"""Command line: list, describe, check, export and run a pipeline given as `module:attribute` or as an exported file."""
 
 from __future__ import annotations
 
@@ -7,10 +7,14 @@ import importlib
 import sys
 
 from entloom.config import Config
+from entloom.plans import codec
 from entloom.plans.model import Pipeline, Selection
 
 
 def load_pipeline(spec: str) -> Pipeline:
+    if spec.endswith(".json"):
+        with open(spec) as f:
+            return codec.loads(f.read())
     module, _, attribute = spec.partition(":")
     if not attribute:
         raise SystemExit("a pipeline is given as module:attribute")
@@ -23,7 +27,7 @@ def load_pipeline(spec: str) -> Pipeline:
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="entloom")
-    parser.add_argument("command", choices=["list", "describe", "validate", "run", "status"])
+    parser.add_argument("command", choices=["list", "describe", "validate", "export", "run", "status"])
     parser.add_argument("pipeline")
     parser.add_argument("--store", default=Config.from_env().store)
     parser.add_argument("--include", nargs="*", default=[])
@@ -46,6 +50,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "describe":
         print(pipeline.described())
         return 0
+    if a.command == "export":
+        print(codec.dumps(pipeline))
+        return 0
     selection.check(steps)
     if a.command == "validate":
         print(f"{len(steps)} steps, {len(pipeline.entities)} entities")

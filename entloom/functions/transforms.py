@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from entloom.functions.sqltext import described
+
 
 class SkipRow(Exception):
     """Raised by a transform to leave its row out."""
@@ -27,8 +29,15 @@ def _code_of(code) -> str:
     return "|".join([code.co_code.hex(), *consts, *code.co_names])
 
 
+def remember_source(function: Callable, source: str) -> None:
+    """Give a function the source that `source_of` shall tell."""
+    function.__entloom_source__ = source
+
+
 def source_of(function: Callable) -> str:
     """What a function's version follows from: its source, or its code where there is none or several share a line."""
+    if known := getattr(function, "__entloom_source__", None):
+        return known
     code = getattr(function, "__code__", None)
     if code is None:
         raise ValueError(f"{function!r} has no source: wrap it in a function")
@@ -50,11 +59,12 @@ def check_arity(function: Callable, n: int, injected: Sequence[str] = ()) -> Non
 
 @dataclass(frozen=True)
 class Transform:
-    """Adds the outputs to a table; `version` changes when the code does."""
+    """Adds the outputs to a table; `version` changes when the code does. spec: which of MAKERS made it, and of what."""
 
     apply: Callable[[DataFrame, Mapping], DataFrame]
     version: str
     outputs: tuple[str, ...]
+    spec: tuple[str, dict] | None = None
 
 
 def _outputs(schema: str | T.StructType) -> T.StructType:
@@ -104,7 +114,8 @@ def python(function: Callable, inputs: Sequence[str | Column], outputs: str | T.
             done = done.where(F.col("__out._status") == "ok")
         return done.select(*[c for c in df.columns if c not in names], *(F.col(f"__out.{n}").alias(n) for n in names))
 
-    return Transform(apply, hashlib.md5(source_of(function).encode()).hexdigest(), tuple(names))
+    spec = ("python", {"function": function, "inputs": tuple(inputs), "outputs": fields, "on_error": on_error})
+    return Transform(apply, hashlib.md5(source_of(function).encode()).hexdigest(), tuple(names), spec)
 
 
 class RowFunction:
@@ -135,7 +146,8 @@ class RowFunction:
 
         lists_of = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in fields])
         made = python(over, lists, lists_of, self.on_error)
-        return Transform(made.apply, hashlib.md5(("map" + source_of(function)).encode()).hexdigest(), made.outputs)
+        spec = ("map", {"function": function, "lists": tuple(lists), "outputs": fields, "on_error": self.on_error})
+        return Transform(made.apply, hashlib.md5(("map" + source_of(function)).encode()).hexdigest(), made.outputs, spec)
 
 
 def transform(outputs: str | T.StructType, on_error: str = "fail") -> Callable[[Callable], RowFunction]:
@@ -145,13 +157,13 @@ def transform(outputs: str | T.StructType, on_error: str = "fail") -> Callable[[
 
 def native(**columns: Column) -> Transform:
     """Column expressions."""
-    text = ";".join(f"{k}={v}" for k, v in sorted(columns.items()))
-    return Transform(lambda df, _: df.withColumns(columns), hashlib.md5(text.encode()).hexdigest(), tuple(columns))
+    text = ";".join(f"{k}={described(v)}" for k, v in sorted(columns.items()))
+    return Transform(lambda df, _: df.withColumns(columns), hashlib.md5(text.encode()).hexdigest(), tuple(columns), ("native", {"columns": dict(columns)}))
 
 
 def keep(condition: Column) -> Transform:
     """Rows that fulfil a condition."""
-    return Transform(lambda df, _: df.where(condition), hashlib.md5(str(condition).encode()).hexdigest(), ())
+    return Transform(lambda df, _: df.where(condition), hashlib.md5(described(condition).encode()).hexdigest(), (), ("keep", {"condition": condition}))
 
 
 def map_lists(output: str, function: Callable[..., Column], *lists: str) -> Transform:
@@ -167,4 +179,15 @@ def map_lists(output: str, function: Callable[..., Column], *lists: str) -> Tran
         nothing = F.filter(F.transform(F.arrays_zip(*(F.col(c) for c in lists)), lambda r: function(*(r[c] for c in lists))), lambda _: F.lit(False))
         return df.withColumn(output, F.when(some > 0, made).otherwise(nothing))
 
-    return Transform(apply, hashlib.md5((output + source_of(function) + "".join(lists)).encode()).hexdigest(), (output,))
+    spec = ("map_lists", {"output": output, "function": function, "lists": tuple(lists)})
+    return Transform(apply, hashlib.md5((output + source_of(function) + "".join(lists)).encode()).hexdigest(), (output,), spec)
+
+
+#: How a transform is made again of its spec.
+MAKERS: dict[str, Callable[..., Transform]] = {
+    "python": python,
+    "map": lambda function, lists, outputs, on_error: RowFunction(function, outputs, on_error).map(*lists),
+    "native": lambda columns: native(**columns),
+    "keep": keep,
+    "map_lists": lambda output, function, lists: map_lists(output, function, *lists),
+}

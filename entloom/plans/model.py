@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entloom.entity import Entity
+from entloom.functions.sqltext import described
 from entloom.functions.transforms import Transform, source_of
 
 _tags: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("tags", default=())
@@ -170,7 +171,10 @@ class Load:
         return nested | need | Dependency(columns_yielded=frozenset(f"{name}.{c}" for c in self.supplied))
 
     def described(self) -> object:
-        return [self.entity.full_name, self.insert, self.validation, list(self.lists), str(self.id), {c: v.described() if isinstance(v, Load) else str(v) for c, v in self.columns.items()}]
+        def told(v: object) -> object:
+            return v.described() if isinstance(v, Load) else described(v) if isinstance(v, Column) else str(v)
+
+        return [self.entity.full_name, self.insert, self.validation, list(self.lists), told(self.id), {c: told(v) for c, v in self.columns.items()}]
 
 
 @dataclass(frozen=True)

@@ -9,8 +9,10 @@ run that breaks off is done again, and keyed merges make that harmless.
 from __future__ import annotations
 
 import datetime as dt
+import inspect
 import time
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -66,9 +68,11 @@ class Runner:
 
     # -- a step ---------------------------------------------------------------------
 
-    def extract(self, step: Step) -> DataFrame:
+    def extract(self, step: Step, settings: Mapping | None = None) -> DataFrame:
+        """The rows of a step's source; a function with a parameter `settings` gets the pipeline's."""
         if not isinstance(step.source, Query):
-            return step.source(self.spark)
+            wants = "settings" in inspect.signature(step.source).parameters
+            return step.source(self.spark, settings=settings or {}) if wants else step.source(self.spark)
         allowed = set(step.source.dependency.tables_needed)
 
         def read(entity: Entity) -> DataFrame:
@@ -127,7 +131,7 @@ class Runner:
         began, counts, temporary = time.time(), {}, []
         try:
             read = Observation()
-            raw = self.extract(step)
+            raw = self.extract(step, pipeline.settings)
             raw = raw.observe(read, F.count(F.lit(1)).alias("n"))
             hashed = raw.withColumn("input_hash", input_hash(step.version, {c: F.to_json(F.struct(c)) if not isinstance_simple(raw, c) else F.col(c) for c in raw.columns}))
             fresh = hashed.dropDuplicates(["input_hash"]) if options.retry else unseen(hashed, self.log.seen(step.version))
@@ -196,7 +200,7 @@ class Runner:
 
     def dry_run(self, step: Step, pipeline: Pipeline) -> dict[str, int]:
         """Run a step's lineage without writing entities: rows for each load."""
-        done = self.extract(step).withColumn("input_hash", F.lit(""))
+        done = self.extract(step, pipeline.settings).withColumn("input_hash", F.lit(""))
         for transform in step.transforms:
             done = transform.apply(done, pipeline.settings)
         return {load.entity.full_name: self.rows_of(done, load, step).count() for load in step.loads}
