@@ -5,6 +5,7 @@ Every query runs over whole tables: through the library's operators, or as plain
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -18,9 +19,11 @@ from entloom.operators.intervals import asof_join, overlap_join, range_join
 from entloom.operators.loading import keep_last, merged, spread, unseen, update, upsert, validate
 from entloom.operators.numbering import number_rows, running_sum
 from entloom.operators.relational import Desc, join_many, join_reference, ordered_list, project, row_count
-from entloom.plans.model import Dependency, Load, Out, Pipeline, Query, Step, sort_steps
-from entloom.plans.runlog import VIEWS, totals
-from entloom.plans.runner import Runner
+from entloom.plans import codec
+from entloom.plans.model import Load, Out, Pipeline, Query, Selection, Step
+from entloom.plans.runlog import VIEWS
+from entloom.plans.runner import Options, Runner
+from entloom.sources.files import Connection, database_partitioned, write_database
 from entloom.sources.scratch import shared_dir, stored
 from entloom.sources.store import Store
 
@@ -471,42 +474,72 @@ def regex_source_filter(spark, sf_dir):
 
 # -- run log ---------------------------------------------------------------------------------------------
 
-_RUNS = "(1), (2)"
-_STEP_RUNS = "(1, 'a', 'completed'), (1, 'b', 'failed'), (1, 'd', 'completed'), (2, 'a', 'failed'), (2, 'b', 'completed'), (2, 'c', 'upstream_failed'), (2, 'e', 'excluded')"
 
 
-def _log_view(spark: SparkSession, name: str) -> DataFrame:
-    """A view of the run log over a small log."""
-    steps = spark.sql(f"SELECT * FROM VALUES {_STEP_RUNS} AS t(run_id, step, status)")
-    runs = spark.sql(f"SELECT * FROM VALUES {_RUNS} AS t(run_id)")
+@functools.cache
+def _logged(app: str, sf_dir: str) -> Runner:
+    """Two runs of a pipeline over the given tables, one of whose steps fails: its rule refuses orders of status P. The first leaves the suppliers out."""
+    spark = SparkSession.active()
+    registry: dict = {}
+    customer = entity("customer", {"key": "int8", "orders": "int8"}, ["key"], registry=registry)
+    order = entity("order", {"key": "int8", "status": "text"}, ["key"], {"customer_id": customer}, rules={"status": Rule(one_of=("F", "O"))}, registry=registry)
+    supplier = entity("supplier", {"key": "int8"}, ["key"], registry=registry)
+
+    def rows(name, **columns):
+        return lambda s: table(s, sf_dir, name).select(*(F.col(c).alias(k) for k, c in columns.items()))
+
+    def counted(read):
+        return read(order).groupBy(F.col("customer_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+
+    p = Pipeline("logged")
+    p.add(Step("1 customers", rows("customer", key="c_custkey"), loads=[Load(customer, {"key": Out("key")}, insert=True)]))
+    found = Load(customer, {"key": Out("customer")})
+    p.add(Step("2 orders", rows("orders", key="o_orderkey", customer="o_custkey", status="o_orderstatus"), loads=[Load(order, {"key": Out("key"), "status": Out("status"), "customer_id": found}, insert=True)]))
+    p.add(Step("3 counts", Query(counted, {order: ["customer_id"]}), loads=[Load(customer, {"orders": Out("n")}, id=Out("id"))]))
+    p.add(Step("4 suppliers", rows("supplier", key="s_suppkey"), loads=[Load(supplier, {"key": Out("key")}, insert=True)]))
+    runner = Runner(spark, Store(spark, work_folder(spark)))
+    runner.run(p, Options(Selection(exclude=frozenset({"4 suppliers"})), fail_downstream=True))
+    runner.run(p, Options(fail_downstream=True))
+    return runner
+
+
+def _log_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    log = _logged(spark.sparkContext.applicationId, sf_dir).log
     ctes = "WITH run AS (SELECT * FROM {runs}), step_run AS (SELECT * FROM {steps}), current_run AS (" + VIEWS["current_run"] + ") "
-    return spark.sql(ctes + f"SELECT * FROM ({VIEWS[name]})", runs=runs, steps=steps)
+    return spark.sql(ctes + f"SELECT * FROM ({VIEWS[name]})", runs=log.table("run"), steps=log.table("step_run"))
 
 
-# What each view must give of this log, written by hand.
+_CURRENT = (
+    "SELECT 2 AS run_id, '1 customers' AS step, 'completed' AS status, count(*) AS inputs_extracted, 0 AS inputs_unique, 0 AS rows_inserted FROM customer "
+    "UNION ALL SELECT 2, '2 orders', CASE WHEN count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) > 0 THEN 'failed' ELSE 'completed' END, count(*), count(*), 0 FROM orders "
+    "UNION ALL SELECT 2, '3 counts', 'upstream_failed', 0, 0, 0 UNION ALL SELECT 2, '4 suppliers', 'completed', count(*), count(*), count(*) FROM supplier"
+)
 
 
-@query("SELECT * FROM (VALUES (2, 'a', 'failed'), (2, 'b', 'completed'), (2, 'c', 'upstream_failed'), (2, 'e', 'excluded')) t(run_id, step, status)")
+@query(_CURRENT)
 def run_log_current(spark, sf_dir):
-    return _log_view(spark, "current_run")
+    """The second run's steps: customers were all seen before, the orders fail again, what needs them is left out."""
+    return _log_view(spark, sf_dir, "current_run").select("run_id", "step", "status", "inputs_extracted", "inputs_unique", "rows_inserted")
 
 
-@query("SELECT * FROM (VALUES (2, 'a', 'failed'), (2, 'c', 'upstream_failed')) t(run_id, step, status)")
+@query(f"SELECT run_id, step, status FROM ({_CURRENT}) c WHERE status IN ('failed', 'upstream_failed')")
 def run_log_failed(spark, sf_dir):
-    return _log_view(spark, "failed_run")
+    return _log_view(spark, sf_dir, "failed_run").select("run_id", "step", "status")
 
 
-@query("SELECT * FROM (VALUES ('a', 'failed'), ('c', 'never run'), ('e', 'never run')) t(step, status)")
+@query(f"SELECT step, CASE status WHEN 'failed' THEN 'failed' ELSE 'never run' END AS status FROM ({_CURRENT}) c WHERE status <> 'completed'")
 def steps_to_run(spark, sf_dir):
-    return _log_view(spark, "steps_to_run")
+    return _log_view(spark, sf_dir, "steps_to_run")
 
 
-@query("SELECT * FROM (VALUES (1, 3, 1, 60), (2, 4, 1, 220)) t(run_id, steps, failures, rows_inserted)")
+@query(
+    "SELECT run_id, 4 AS steps, (SELECT count(*) FROM (SELECT 1 FROM orders WHERE o_orderstatus NOT IN ('F', 'O') LIMIT 1)) AS failures, "
+    "(SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) + (run_id - 1) * (SELECT count(*) FROM supplier) AS inputs_extracted, "
+    "(2 - run_id) * (SELECT count(*) FROM customer) + (run_id - 1) * (SELECT count(*) FROM supplier) AS rows_inserted FROM (VALUES (1), (2)) r(run_id)"
+)
 def run_totals(spark, sf_dir):
-    """The last two of three runs; the n-th row of the log has inserted 10 n rows."""
-    steps = spark.sql(f"SELECT *, 10L * row_number() OVER (ORDER BY run_id, step) AS rows_inserted FROM VALUES {_STEP_RUNS} AS t(run_id, step, status)")
-    older = spark.sql("SELECT 0 AS run_id, 'a' AS step, 'completed' AS status, 1L AS rows_inserted")
-    return totals(spark.sql(f"SELECT * FROM VALUES (0), {_RUNS} AS t(run_id)"), steps.unionByName(older), 2)
+    """Sums of the counters of the last two runs."""
+    return _logged(spark.sparkContext.applicationId, sf_dir).log.last(2).select("run_id", "steps", "failures", "inputs_extracted", "rows_inserted")
 
 
 # -- what queries read ---------------------------------------------------------------------------------------
@@ -570,7 +603,10 @@ def shop_pipeline(sf_dir: str) -> tuple[Pipeline, Entity, Entity]:
 )
 def pipeline_two_steps(spark, sf_dir):
     """The flagship: three steps in an order that follows from what they read and load; then a query over the entities."""
-    pipeline, customer, order = shop_pipeline(sf_dir)
+    return _shop_result(spark, *shop_pipeline(sf_dir))
+
+
+def _shop_result(spark, pipeline, customer, order):
     runner = Runner(spark, Store(spark, work_folder(spark)))
     results = runner.run(pipeline)
     if bad := {n: r.error for n, r in results.items() if r.status != "completed"}:
@@ -580,12 +616,34 @@ def pipeline_two_steps(spark, sf_dir):
     return rows.select("id", "custkey", "segment", "orders", F.coalesce("urgent", F.lit(0)).alias("urgent"))
 
 
-@query("SELECT * FROM (VALUES (0, 'd'), (1, 'c'), (2, 'b'), (3, 'a')) t(place, step)")
+@query(
+    "SELECT step, n FROM (SELECT 0 AS place, '1 customers' AS step, (SELECT count(*) FROM customer) AS n UNION ALL SELECT 1, '2 orders', (SELECT count(*) FROM orders) "
+    "UNION ALL SELECT 2, '3 counts', (SELECT count(DISTINCT o_custkey) FROM orders))"
+)
 def dependency_order(spark, sf_dir):
-    """A chain of steps sorted by what they need, against the order of their names."""
+    """The flagship's steps in the order that follows from what they read and load, each with the rows that a dry run of it gives after those before it have run."""
+    pipeline, *_ = shop_pipeline(sf_dir)
+    runner = Runner(spark, Store(spark, work_folder(spark)))
+    runner.sync(pipeline)
+    rows = []
+    for step in pipeline.sorted():
+        rows.append((step.name, sum(runner.dry_run(step, pipeline).values())))
+        runner.run_step(step, pipeline, Options())
+    return spark.createDataFrame(rows, "step string, n long")
+
+
+@query(ORACLE_SQL["pipeline_two_steps"])
+def pipeline_read_back(spark, sf_dir):
+    """The flagship, written as JSON and read back before it runs."""
+    pipeline, customer, order = shop_pipeline(sf_dir)
+    return _shop_result(spark, codec.loads(codec.dumps(pipeline)), customer, order)
 
-    def source(s):
-        return s.range(1)
 
-    chain = [Step(n, source, also=Dependency(tables_needed=frozenset(need), tables_yielded=frozenset({n}))) for n, need in (("a", "b"), ("b", "c"), ("c", "d"), ("d", ""))]
-    return spark.createDataFrame([(i, s.name) for i, s in enumerate(sort_steps(chain))], "place int, step string")
+@query("SELECT c_custkey AS custkey, c_name AS name, c_acctbal AS balance FROM customer WHERE c_custkey % 3 <> 0 AND c_acctbal > 100")
+def jdbc_round_trip(spark, sf_dir):
+    """A table written to a database and read again by four connections; the filters are the database's. It is one that lives in this process, so it serves one machine."""
+    db = Connection.parse(f"derby:///memory:{uuid.uuid4().hex}?create=true")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("CUSTKEY"), F.col("c_name").alias("NAME"), F.col("c_acctbal").alias("BALANCE"))
+    write_database(rows, db, "CUSTOMER")
+    read = database_partitioned(spark, db, "SELECT CUSTKEY, NAME, BALANCE FROM CUSTOMER WHERE MOD(CUSTKEY, 3) <> 0", "CUSTKEY", 4)
+    return read.where("BALANCE > 100").toDF("custkey", "name", "balance")

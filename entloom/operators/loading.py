@@ -79,11 +79,11 @@ def merged(old: DataFrame, new: DataFrame, supplied: Sequence[str], key: str = "
 
     Supplied columns overwrite, also with null; others stay as they are, and are null in inserted rows. Without `insert` keys that `old` lacks are ignored.
     """
-    fresh = new.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__{c}") for c in supplied), F.lit(True).alias("__new"))
+    fresh = new.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__new_{c}") for c in supplied), F.lit(True).alias("__new"))
     known = old.withColumn("__old", F.lit(True))
     joined = known.join(fresh, known[key] == fresh["__key"], "full_outer" if insert else "left")
     state = F.when(F.col("__new").isNull(), "kept").when(F.col("__old").isNull(), "inserted").otherwise("updated")
-    cols = [F.coalesce(F.col(key), F.col("__key")).alias(key) if c == key else F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in supplied else F.col(c) for c in old.columns]
+    cols = [F.coalesce(F.col(key), F.col("__key")).alias(key) if c == key else F.when(F.col("__new"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in supplied else F.col(c) for c in old.columns]
     return joined.select(*cols, state.alias("__state"))
 
 

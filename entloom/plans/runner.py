@@ -8,6 +8,7 @@ run that breaks off is done again, and keyed merges make that harmless.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import inspect
 import time
@@ -137,7 +138,8 @@ class Runner:
             fresh = hashed.dropDuplicates(["input_hash"]) if options.retry else unseen(hashed, self.log.seen(step.version))
             temporary.append(path := f"_tmp/{uuid.uuid4().hex}")
             unique = Observation()
-            self.store.write(path, fresh.observe(unique, F.count(F.lit(1)).alias("n")))
+            with whole_plans(self.spark):
+                self.store.write(path, fresh.observe(unique, F.count(F.lit(1)).alias("n")))
             fresh = self.store.read(path, fresh.schema)
             counts["inputs_extracted"], counts["inputs_unique"] = observed(read), observed(unique)
             done = fresh
@@ -206,6 +208,21 @@ class Runner:
         return {load.entity.full_name: self.rows_of(done, load, step).count() for load in step.loads}
 
 
+@contextlib.contextmanager
+def whole_plans(spark: SparkSession):
+    """Within, a plan that turns out to be empty while it runs keeps its parts, and with them what they have observed."""
+    name, rule = "spark.sql.adaptive.optimizer.excludedRules", "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, f"{before},{rule}" if before else rule)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def observed(read: Observation) -> int:
     """The rows that passed; a table that the planner knows to be empty is never run, so nothing was observed."""
     try:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from entloom.entity import Rule, entity
 from entloom.functions.keys import content_id
 from entloom.functions.typenames import spark_type
-from entloom.operators.loading import keep_last, orphans, spread, unseen, update, upsert, validate
+from entloom.operators.loading import keep_last, merged, orphans, spread, unseen, update, upsert, validate
 from entloom.operators.relational import join_reference, project
 
 
@@ -54,6 +54,13 @@ def test_upsert_keeps_what_is_not_supplied(spark):
     assert sorted(map(tuple, update(old, new, ["x"]).collect())) == [(1, "a", 10), (2, None, 20)]
 
 
+def test_merged_columns_of_any_name(spark):
+    old = spark.createDataFrame([(1, "a", 1, 0)], "id int, key string, new int, old int")
+    new = spark.createDataFrame([(1, "b", 2, 3), (2, "c", 4, 5)], "id int, key string, new int, old int")
+    assert sorted(map(tuple, upsert(old, new, ["key", "new", "old"]).collect())) == [(1, "b", 2, 3), (2, "c", 4, 5)]
+    assert sorted(tuple(r) for r in merged(old, new, ["key"]).select("id", "key", "__state").collect()) == [(1, "b", "updated"), (2, "c", "inserted")]
+
+
 def test_keep_last_breaks_ties_alike(spark):
     rows = [(1, 5, "a"), (1, 5, "b"), (1, 4, "z"), (2, 1, None)]
     one, two = (keep_last(spark.createDataFrame(r, "k int, t int, v string"), ["k"], ["t"]).collect() for r in (rows, rows[::-1]))
