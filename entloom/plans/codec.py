@@ -106,7 +106,7 @@ class _Writer:
         else:
             source = {"function": _code(s.source)}
         also = {f: sorted(getattr(s.also, f)) for f in Dependency.__dataclass_fields__}
-        return {"name": s.name, "version": s.version, "source": source, "transforms": [self.transform(t) for t in s.transforms], "loads": [self.load(x) for x in s.loads], "tags": list(s.tags), "also": also, "order_by": list(s.order_by)}
+        return {"name": s.name, "version": s.version, "source": source, "transforms": [self.transform(t) for t in s.transforms], "loads": [self.load(x) for x in s.loads], "tags": list(s.tags), "also": also, "order_by": list(s.order_by), "batches": s.batches, "sketches": list(s.sketches)}
 
     def entity(self, e: Entity) -> dict:
         return {
@@ -159,7 +159,7 @@ class _Reader:
             origin = _function(source["function"])
         transforms = [tr.MAKERS[t["kind"]](**{k: self.argument(v) for k, v in t.items() if k != "kind"}) for t in said["transforms"]]
         also = Dependency(**{f: frozenset(v) for f, v in said["also"].items()})
-        made = Step(said["name"], origin, transforms, [self.load(x) for x in said["loads"]], tuple(said["tags"]), also, tuple(said["order_by"]))
+        made = Step(said["name"], origin, transforms, [self.load(x) for x in said["loads"]], tuple(said["tags"]), also, tuple(said["order_by"]), said["batches"], tuple(said["sketches"]))
         if made.version != said["version"]:
             raise ValueError(f"step {made.name!r} was written as version {said['version']} and read as {made.version}")
         return made

@@ -186,7 +186,11 @@ class Out:
 
 @dataclass(frozen=True, eq=False)
 class Step:
-    """A source, transforms in order, and loads. `source` is a Query or a function of the session."""
+    """A source, transforms in order, and loads. `source` is a Query or a function of the session.
+
+    batches: the inputs are dealt into as many parts by hash; each is loaded and marked as seen before the next, so a run that breaks off goes on where it was. Of rows of one
+    key in several parts the last part's stays, so an order can't be asked for. sketches: columns of the source whose distinct values the run log estimates.
+    """
 
     name: str
     source: Query | Callable[..., DataFrame]
@@ -195,9 +199,13 @@ class Step:
     tags: tuple[str, ...] = ()
     also: Dependency = Dependency()
     order_by: tuple[str, ...] = ()
+    batches: int = 1
+    sketches: tuple[str, ...] = ()
 
     def __post_init__(self):
         object.__setattr__(self, "tags", (*_tags.get(), *self.tags))
+        if self.batches < 1 or self.batches > 1 and self.order_by:
+            raise ValueError(f"{self.name}: batches are one or more, and one where rows have an order")
 
     @property
     def dependency(self) -> Dependency:

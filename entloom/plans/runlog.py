@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from entloom.sources.store import Store
 
-_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "strings": T.ArrayType(T.StringType())}
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "strings": T.ArrayType(T.StringType()), "binary": T.BinaryType()}
 
 
 def _struct(**columns: str) -> T.StructType:
@@ -22,6 +22,7 @@ STEP_RUN = _struct(
     tables_needed="strings", columns_needed="strings", tables_yielded="strings", columns_yielded="strings",
 )
 SEEN = _struct(version="string", input_hash="string")
+SKETCH = _struct(step="string", column="string", inputs="long", sketch="binary")
 
 #: The step runs of the latest run; those of them that failed or were left out by a failure; what a rerun has to do: of the latest run's
 #: steps that didn't complete those that never have, or that have failed since they first did.
@@ -53,7 +54,7 @@ class RunLog:
         self.store, self.spark = store, store.spark
 
     def table(self, name: str) -> DataFrame:
-        return self.store.read_log(f"_log/{name}", {"run": RUN, "step_run": STEP_RUN, "seen": SEEN}[name])
+        return self.store.read_log(f"_log/{name}", {"run": RUN, "step_run": STEP_RUN, "seen": SEEN, "sketch": SKETCH}[name])
 
     def next_id(self) -> int:
         return (self.table("run").agg({"run_id": "max"}).first()[0] or 0) + 1
@@ -68,6 +69,18 @@ class RunLog:
     def seen(self, version: str) -> DataFrame:
         return self.table("seen").where(F.col("version") == version).select("input_hash")
 
+    def add_sketches(self, step: str, columns: tuple[str, ...], rows: DataFrame) -> None:
+        """A row for each column: a sketch of its values in these inputs. Sketches of runs, batches and machines are merged by `distinct`."""
+        made = [F.hll_sketch_agg(F.col(c).cast("string"), F.lit(14)).alias(f"s{i}") for i, c in enumerate(columns)]
+        one = rows.agg(F.count(F.lit(1)).alias("n"), *made)
+        each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("sketch")) for i, c in enumerate(columns)))).alias("x")
+        self.store.append("_log/sketch", one.select("n", each).select(F.lit(step).alias("step"), "x.column", F.col("n").alias("inputs"), "x.sketch"))
+
+    def distinct(self) -> DataFrame:
+        """step, column, inputs and the estimated number of distinct values over all runs, within one per cent or so; nulls don't count."""
+        merged = self.table("sketch").groupBy("step", "column").agg(F.sum("inputs").alias("inputs"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
+        return merged
+
     def last(self, n: int = 1) -> DataFrame:
         """`totals` of the last n runs."""
         return totals(self.table("run"), self.table("step_run"), n)

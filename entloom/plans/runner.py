@@ -138,26 +138,19 @@ class Runner:
             fresh = hashed.dropDuplicates(["input_hash"]) if options.retry else unseen(hashed, self.log.seen(step.version))
             temporary.append(path := f"_tmp/{uuid.uuid4().hex}")
             unique = Observation()
+            dealt = fresh.withColumn("__batch", F.pmod(F.xxhash64("input_hash"), F.lit(step.batches)).cast("int"))
             with whole_plans(self.spark):
-                self.store.write(path, fresh.observe(unique, F.count(F.lit(1)).alias("n")))
-            fresh = self.store.read(path, fresh.schema)
+                self.store.write(path, dealt.observe(unique, F.count(F.lit(1)).alias("n")), ("__batch",))
+            stored = self.store.read(path, dealt.schema)
             counts["inputs_extracted"], counts["inputs_unique"] = observed(read), observed(unique)
-            done = fresh
-            for transform in step.transforms:
-                done = transform.apply(done, pipeline.settings)
-            temporary.append(after := f"_tmp/{uuid.uuid4().hex}")
-            self.store.write(after, done)
-            done = self.store.read(after, done.schema)
-            processed = done.select("input_hash").distinct() if "input_hash" in done.columns else fresh.select("input_hash")
-            counts["inputs_processed"] = processed.count()
+            counts["inputs_processed"] = 0
+            for k in range(step.batches if counts["inputs_unique"] else 0):
+                batch = stored.where(F.col("__batch") == k).drop("__batch")
+                temporary.append(after := f"_tmp/{uuid.uuid4().hex}")
+                self._run_batch(batch, after, step, pipeline, options, counts)
             counts["inputs_skipped"] = counts["inputs_unique"] - counts["inputs_processed"]
-            if counts["inputs_processed"]:
-                for load in step.loads:
-                    for inner in self.nested(load):
-                        self.merge(done, inner, step, counts, options)
-                    self.merge(done, load, step, counts, options)
-            finished = processed if options.retry_skipped else fresh.select("input_hash")
-            self.log.mark_seen(step.version, finished if options.retry is False else unseen(finished, self.log.seen(step.version)))
+            if step.sketches and counts["inputs_unique"]:
+                self.log.add_sketches(step.name, step.sketches, stored)
             return StepResult("completed", time.time() - began, None, counts)
         except Exception as e:  # a step that fails doesn't end the run
             return StepResult("failed", time.time() - began, f"{type(e).__name__}: {e}"[:2000], counts)
@@ -165,6 +158,24 @@ class Runner:
             for path in temporary:
                 self.store.drop(path)
 
+    def _run_batch(self, fresh: DataFrame, after: str, step: Step, pipeline: Pipeline, options: Options, counts: dict) -> None:
+        """Transform and load some of a step's inputs, then mark them as seen."""
+        done = fresh
+        for transform in step.transforms:
+            done = transform.apply(done, pipeline.settings)
+        self.store.write(after, done)
+        done = self.store.read(after, done.schema)
+        processed = done.select("input_hash").distinct() if "input_hash" in done.columns else fresh.select("input_hash")
+        n = processed.count()
+        counts["inputs_processed"] += n
+        if n:
+            for load in step.loads:
+                for inner in self.nested(load):
+                    self.merge(done, inner, step, counts, options)
+                self.merge(done, load, step, counts, options)
+        finished = processed if options.retry_skipped else fresh.select("input_hash")
+        self.log.mark_seen(step.version, finished if options.retry is False else unseen(finished, self.log.seen(step.version)))
+
     # -- a run ----------------------------------------------------------------------
 
     def run(self, pipeline: Pipeline, options: Options | None = None) -> dict[str, StepResult]:

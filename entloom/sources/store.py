@@ -114,10 +114,10 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v{at}")
 
-    def write(self, table: str, df: DataFrame) -> int:
-        """The next version of a plain table; older ones but `keep` go."""
+    def write(self, table: str, df: DataFrame, by: tuple[str, ...] = ()) -> int:
+        """The next version of a plain table; older ones but `keep` go. `by`: columns whose values have folders of their own, which readers prune."""
         at = self.version(table) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/v{at}")
+        df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{table}/v{at}")
         self._complete(table, at)
         self._clean(table, at)
         return at

@@ -207,6 +207,48 @@ def test_a_driver_lost_while_writing_leaves_the_version_before(runner, monkeypat
         store._complete("t", 2)  # a second writer
 
 
+def test_a_step_that_breaks_in_its_third_batch_goes_on_there(runner, monkeypatch):
+    e = entity("many", {"n": "int8"}, ["n"], registry={})
+
+    def numbers(spark):
+        return spark.range(100).select(F.col("id").alias("n"))
+
+    p = Pipeline("batched", [Step("take", numbers, loads=[Load(e, {"n": Out("n")}, insert=True)], batches=5)])
+    whole, calls = runner._run_batch, []
+
+    def breaking(batch, *rest):
+        calls.append(batch.count())
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        whole(batch, *rest)
+
+    monkeypatch.setattr(runner, "_run_batch", breaking)
+    first = runner.run(p)["take"]
+    assert first.status == "failed" and "lost" in first.error
+    done = sum(calls[:2])
+    assert runner.table(e).count() == done == first.counts["inputs_processed"] and 0 < done < 100
+    assert runner.log.seen(p.steps[0].version).count() == done
+    again = runner.run(p, Options(rerun_failed=True))["take"]
+    assert again.status == "completed" and again.counts["inputs_unique"] == 100 - done == sum(calls[3:])
+    assert calls[3] == calls[4] == 0 and calls[5] == calls[2]  # the third batch is the first with work left
+    assert runner.table(e).count() == 100 and runner.log.seen(p.steps[0].version).distinct().count() == 100
+    with pytest.raises(ValueError, match="batches"):
+        Step("x", numbers, order_by=("n",), batches=2)
+
+
+def test_sketches_of_two_runs_are_merged(runner):
+    e = entity("seen", {"n": "int8"}, ["n"], registry={})
+    for upto in (3000, 9000):
+        def numbers(spark, upto=upto):
+            return spark.range(upto).select(F.col("id").alias("n"), (F.col("id") % 1000).alias("m"), F.lit(None).cast("int").alias("none"))
+
+        step = Step("take", numbers, loads=[Load(e, {"n": Out("n")}, insert=True)], sketches=("n", "m", "none"))
+        assert runner.run(Pipeline("sketched", [step]))["take"].status == "completed"
+    got = {r["column"]: r for r in runner.log.distinct().collect()}
+    assert abs(got["n"]["distinct"] - 9000) < 270 and abs(got["m"]["distinct"] - 1000) < 30 and got["none"]["distinct"] == 0
+    assert runner.log.table("sketch").count() == 6
+
+
 def test_failed_steps_leave_no_temporary_tables(runner, tmp_path):
     p, *_ = family()
     p.steps[1] = Step("b parents", strings, [tr.python(broken, ["label"], "x string")], p.steps[1].loads)
