@@ -1,13 +1,13 @@
 """Quality classifier on supervised subword embeddings.
 
 A word's vector is the mean of the learned vectors of its features: the word itself and
-its character n-grams, hashed into a fixed number of buckets. A document is the mean of its words' vectors; a
-softmax over the classes follows. Embeddings and output weights are trained together by
+its character n-grams, hashed into a fixed number of buckets. Pairs of adjacent words have vectors of their own in the same buckets. A document is the mean of its words' vectors
+and of its pairs', half each (of a single word, its vector); a softmax over the classes follows. Embeddings and output weights are trained together by
 stochastic gradient descent in numpy.
 
 The model is fitted on a bounded sample of the labelled rows (`max_train` documents, those of the lowest
 hash of their id); features are extracted on the executors. Scoring covers every row and whole texts. As the document's logit is
-the mean of its words' logits, each distinct word is evaluated once for each batch, and
+the mean of its words' and pairs' logits, each distinct word is evaluated once for each batch, and
 what executors need of the model is one number for each bucket.
 
 Null and empty texts have a zero vector: their score is the output's bias. Null ids count
@@ -37,18 +37,33 @@ def _mix(h: np.ndarray, salt: int, buckets: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) % np.uint64(buckets)).astype(np.int32)
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A number for each word, from its bytes between `<` and `>`."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint64) + np.uint64(1)
+    lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(int(lens.max()), _MULT))
+        return np.add.reduceat(data * power[np.arange(len(data)) - np.repeat(starts, lens)], starts)
+
+
+def pair_features(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The feature of each word with the next one, from the words' numbers in order."""
+    with np.errstate(over="ignore"):
+        return _mix(hashes[:-1] * _MULT + hashes[1:], 2, buckets)
+
+
 def word_features(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(feature, number of its word) for the words and their n-grams; `<` and `>` mark a word's ends."""
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
     data = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint64) + np.uint64(1)
     lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
     owner = np.repeat(np.arange(len(words)), lens)
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(int(lens.max()), _MULT))
-        place = np.arange(len(data)) - np.repeat(starts, lens)
-        feats, owners = [_mix(np.add.reduceat(data * power[place], starts), 1, buckets)], [np.arange(len(words))]
+        feats, owners = [_mix(word_hashes(words), 1, buckets)], [np.arange(len(words))]
         for n in GRAMS:
             if len(data) < n:
                 continue
@@ -63,17 +78,20 @@ def word_features(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndar
 
 
 def document_features(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A document's features and their weights, which sum to 1: each word's features share its count."""
+    """A document's features and their weights, which sum to 1: each word's features share its count, and pairs of words have half of the whole."""
     words = lower_words_of(text)
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    count: dict[bytes, int] = {}
-    for w in words:
-        count[w] = count.get(w, 0) + 1
-    feats, owner = word_features(list(count), buckets)
-    per = np.fromiter(count.values(), np.float64, len(count)) / np.bincount(owner, minlength=len(count)) / len(words)
-    found, at = np.unique(feats, return_inverse=True)
-    return found, np.bincount(at, weights=per[owner]).astype(np.float32)
+    number: dict[bytes, int] = {}
+    at = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    feats, owner = word_features(list(number), buckets)
+    per = np.bincount(at) / np.bincount(owner, minlength=len(number)) / len(words)
+    weights = per[owner]
+    if len(words) > 1:
+        pairs = pair_features(word_hashes(list(number))[at], buckets)
+        feats, weights = np.concatenate((feats, pairs)), np.concatenate((weights / 2, np.full(len(pairs), 0.5 / len(pairs))))
+    found, place = np.unique(feats, return_inverse=True)
+    return found, np.bincount(place, weights=weights).astype(np.float32)
 
 
 class Model:
@@ -174,19 +192,27 @@ def score(docs: DataFrame, model: Model, *, folds: int = 5, held: int = 0, thres
     def run(batches: Iterator[pa.RecordBatch]):
         raw, b0 = shared.value
         part = np.frombuffer(raw, np.float32)
-        known: dict[bytes, float] = {}
+        known: dict[bytes, int] = {}
+        means, hashes = np.zeros(0), np.zeros(0, np.uint64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 piece = batch.slice(lo, 512)
                 texts = [lower_words_of(t.as_py()) for t in piece.column(2)]
                 if len(known) > memory_words:
                     known.clear()
+                    means, hashes = means[:0], hashes[:0]
                 new = list(set(chain.from_iterable(texts)).difference(known))
-                feats, owner = word_features(new, buckets)
                 if new:
-                    mean = np.bincount(owner, weights=part[feats], minlength=len(new)) / np.bincount(owner, minlength=len(new))
-                    known.update(zip(new, mean.tolist(), strict=True))
-                z = np.array([sum(map(known.__getitem__, ws)) / len(ws) if ws else 0.0 for ws in texts]) + b0
+                    feats, owner = word_features(new, buckets)
+                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                    means = np.concatenate((means, np.bincount(owner, weights=part[feats], minlength=len(new)) / np.bincount(owner, minlength=len(new))))
+                    hashes = np.concatenate((hashes, word_hashes(new)))
+                z = np.full(len(texts), b0)
+                for k, words in enumerate(texts):
+                    if words:
+                        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                        mean = means[at].mean()
+                        z[k] += (mean + part[pair_features(hashes[at], buckets)].mean(dtype=np.float64)) / 2 if len(words) > 1 else mean
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], names=["doc_id", "held_out", "score"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -236,7 +237,7 @@ def test_held_out_quality_of_ten_thousand_documents(spark):
     order = sorted(rows, key=lambda r: r["score"])
     ones = [k for k, r in enumerate(order, 1) if r["quality"] == 1]
     auc = (sum(ones) - len(ones) * (len(ones) + 1) / 2) / (len(ones) * (len(order) - len(ones)))
-    assert auc > 0.8 and sum((r["score"] >= 0.3) == r["quality"] for r in rows) > 0.94 * len(rows)
+    assert auc > 0.93 and sum((r["score"] >= 0.3) == r["quality"] for r in rows) > 0.94 * len(rows)
 
 
 def generalised(a, b):
@@ -273,3 +274,49 @@ def test_fingerprints(make_docs):
     assert prints[0] in {r["fingerprint"] for r in got if r["doc_id"] == 42}
     assert prints[40] == prints[41] == "0" * 256
     assert wf.fingerprints(make_docs([])).count() == 0
+
+
+def plain_features(text, buckets):
+    """Each feature's share of a document, word by word."""
+    def number(data):
+        h = 0
+        for k, byte in enumerate(data):
+            h = (h + (byte + 1) * pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) % (1 << 64)
+        return h
+
+    def mixed(h, salt):
+        h = (h ^ (h >> 31) ^ salt) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        return (h ^ (h >> 29)) % buckets
+
+    words, share = (text or "").encode().lower().split(), collections.defaultdict(float)
+    half = 0.5 if len(words) > 1 else 1.0
+    for w in words:
+        data = b"<" + w + b">"
+        features = [mixed(number(data), 1)]
+        for n in sq.GRAMS:
+            for i in range(len(data) - n + 1):
+                h = 0
+                for byte in data[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + byte + 1) % (1 << 64)
+                features.append(mixed(h, n))
+        for f in features:
+            share[f] += half / len(words) / len(features)
+    for one, two in zip(words, words[1:], strict=False):
+        h = (number(b"<" + one + b">") * 0x9E3779B97F4A7C15 + number(b"<" + two + b">")) % (1 << 64)
+        share[mixed(h, 2)] += 0.5 / (len(words) - 1)
+    return share
+
+
+def test_scores_equal_a_plain_loop(make_docs):
+    rng = random.Random(12)
+    texts = [None, "", "one", "One two", "one one one one", "übel wörter über alles", "x" * 5000, *(" ".join(rng.choice(["the", "The", "of", "wörd", "a", "Quality"]) for _ in range(rng.randrange(1, 40))) for _ in range(40))]
+    docs = make_docs(list(enumerate(texts)))
+    model = sq.Model(1 << 12, 4)
+    model.bias[:] = (0.1, 0.4)
+    margin = (model.emb.astype(float) @ (model.out[:, 1] - model.out[:, 0]).astype(float)).tolist()
+    got = {r["doc_id"]: r["score"] for r in sq.score(docs, model, memory_words=3).collect()}
+    for i, text in enumerate(texts):
+        share = plain_features(text, 1 << 12)
+        found, weights = sq.document_features(text, 1 << 12)
+        assert dict(zip(found.tolist(), weights.tolist(), strict=True)) == pytest.approx(dict(share), rel=1e-4, abs=1e-6)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(sum(margin[f] * w for f, w in share.items()) + 0.3))), abs=1e-5)
