@@ -86,10 +86,10 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and outlives executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     let_go(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._entloom_path = path

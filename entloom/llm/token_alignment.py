@@ -144,7 +144,7 @@ def encoded(docs: DataFrame, first: str, second: str, block_bytes: int) -> DataF
     rows = dealt.mapInArrow(run, f"doc_id {id_type}, row long, a array<int>, b array<int>")
     path = scratch(spark, "tokens")
     name = "tokens_" + path.rsplit("-", 1)[1]
-    rows.write.bucketBy(parts, "row").option("path", path).saveAsTable(name)
+    rows.write.bucketBy(parts, "row").option("path", path).option("compression", "zstd").saveAsTable(name)
     let_go(spark)
     out = spark.table(name)
     out._entloom_path, out._entloom_name = path, name
@@ -230,7 +230,7 @@ def alignment(docs: DataFrame, first: str, second: str, block_bytes: int = BLOCK
     """
     rows = encoded(docs, first, second, block_bytes)
     with one_dealing(docs.sparkSession):
-        texts = stored(align(rows), "aligned")
+        texts = stored(align(rows), "aligned", "zstd")
     forgotten(rows)
     links = texts.select("row", F.explode("links").alias("link")).select("row", "link.a", "link.b")
     pairs = stored(pair_counts(links), "pairs")
