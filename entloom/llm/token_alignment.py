@@ -31,8 +31,8 @@ from entloom.llm.common import blocks_for, let_go, released, scratch, stored
 
 SMALL = 1_000_000
 SHARE = 1000
-#: Bytes of text of a task's tokens.
-BLOCK_BYTES = 12_000_000
+#: Bytes of text of a task's tokens: a million on either side, whose four sorts then need no disk.
+BLOCK_BYTES = 2_500_000
 
 
 def byte_letters() -> dict[str, int]:
