@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entloom.entity import Entity
@@ -16,11 +16,23 @@ def project(df: DataFrame, *cols: str | Column) -> DataFrame:
     out = df.select(*cols)
     if twice := [c for c, n in Counter(out.columns).items() if n > 1]:
         raise ValueError(f"ambiguous columns {twice}: give them aliases")
-    if odd := [c for c in out.columns if "(" in c]:
+    if odd := [str(c) for c in cols if isinstance(c, Column) and not _named(c)]:
         raise ValueError(f"unnamed expressions {odd}: give them aliases")
     return out
 
 
+def _named(col: Column) -> bool:
+    """Whether an expression says what its output is called: a column, a field of one, all of a table's, or an alias. The text of `expr` is asked for its outermost part."""
+    node = col._jc.node()
+    kind = node.getClass().getSimpleName()
+    if kind == "SqlExpression":
+        parsed = SparkSession.active()._jsparkSession.sessionState().sqlParser().parseExpression(node.expression())
+        return parsed.getClass().getSimpleName() in ("UnresolvedAttribute", "Alias", "UnresolvedStar", "UnresolvedExtractValue")
+    if kind == "UnresolvedExtractValue":
+        return node.extraction().getClass().getSimpleName() == "Literal"
+    return kind in ("UnresolvedAttribute", "Alias", "UnresolvedStar", "UnresolvedRegex")
+
+
 def join_reference(left: DataFrame, child: Entity, right: DataFrame, parent: Entity, how: str = "inner") -> DataFrame:
     """Join a child table with its parent on the one reference between them."""
     refs = [c for c, e in child.references.items() if e.full_name == parent.full_name]
