@@ -147,6 +147,10 @@ def sketches(s: np.ndarray, classes: list[int]) -> list[np.ndarray]:
 # -- the join ------------------------------------------------------------------------------
 
 
+#: N-grams of a node's step that are counted between two tests of the bound.
+PIECE = 64
+
+
 class _Node:
     __slots__ = ("children", "group", "last", "longest", "sets", "shortest", "step")
 
@@ -211,13 +215,18 @@ class TrieJoin:
             node, depth, overlap = stack.pop()
             if node.group >= 0 and self.find(node.group) == self.find(i):
                 continue
-            if node.step:
-                overlap += sum(map(mine.__contains__, node.step))
-                depth += len(node.step)
-                ahead = size - bisect.bisect_right(path, node.step[-1])
+            far = False
+            for lo in range(0, len(node.step), PIECE):
+                piece = node.step[lo : lo + PIECE]
+                overlap += sum(map(mine.__contains__, piece))
+                depth += len(piece)
+                ahead = size - bisect.bisect_right(path, piece[-1])
                 # The bound grows more slowly with the other's length than what it still may bring.
-                if overlap + min(ahead, node.longest - depth) < t.overlap(size, max(node.shortest, depth)):
-                    continue
+                far = overlap + min(ahead, node.longest - depth) < t.overlap(size, max(node.shortest, depth))
+                if far:
+                    break
+            if far:
+                continue
             for j in node.sets:
                 a, b = self.find(i), self.find(j)
                 if a != b and overlap >= t.overlap(size, depth):
@@ -296,7 +305,7 @@ _NONE = np.iinfo(np.int64).max
 
 
 def _cross_pairs(rows: DataFrame, t: Threshold, group: int, least: bool) -> DataFrame:
-    """a < b: pairs of different roots within a signature that their sketches allow; `least`: of each b only that with the least a. rows: sig, cls, root, size, sketch."""
+    """a < b, and b's size: pairs of different roots within a signature that their sketches allow; `least`: of each b only that with the least a. rows: sig, cls, root, size, sketch."""
     count = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     bins = F.lit(1) + F.floor(F.lit(rows.count()) / (4 * group))
     dealt = rows.join(count, "sig").withColumn("parts", F.ceil(F.col("n") / group).cast("int")).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
@@ -328,22 +337,27 @@ def _cross_pairs(rows: DataFrame, t: Threshold, group: int, least: bool) -> Data
                 if least:
                     to = np.where(ok, own["cls"][x : x + step, None], _NONE).min(0)
                     two = np.flatnonzero(to != _NONE)
-                    yield pa.RecordBatch.from_arrays([pa.array(to[two]), pa.array(own["cls"][two])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(to[two]), pa.array(own["cls"][two]), pa.array(own["size"][two])], names=["a", "b", "size"])
                 else:
                     one, two = np.nonzero(ok)
-                    yield pa.RecordBatch.from_arrays([pa.array(own["cls"][one + x]), pa.array(own["cls"][two])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own["cls"][one + x]), pa.array(own["cls"][two]), pa.array(own["size"][two])], names=["a", "b", "size"])
 
-    met = dealt.select(place.alias("place"), "sig", "cls", "root", "size", "sketch", "mine", "i", "j").groupBy("place").applyInArrow(run, "a long, b long")
+    met = dealt.select(place.alias("place"), "sig", "cls", "root", "size", "sketch", "mine", "i", "j").groupBy("place").applyInArrow(run, "a long, b long, size long")
     return met.distinct()
 
 
-def _star_links(src: DataFrame, bearer: DataFrame, pairs: DataFrame, n: int, t: Threshold, chunk: int, bin_sets: int) -> DataFrame:
-    """a, b: links that prefix trees find, each over a hub and up to about `chunk` of the sets that are to meet it. pairs: hub, cls."""
-    stars = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
+def _star_links(src: DataFrame, bearer: DataFrame, pairs: DataFrame, n: int, t: Threshold, chunk: int, bin_sets: int, bin_grams: int) -> DataFrame:
+    """a, b: links that prefix trees find. pairs: hub, cls, size (of the set).
+
+    A tree holds a hub and up to about `chunk` of the sets that are to meet it, or as many as have `bin_grams` n-grams, whichever are fewer. A
+    task holds trees of about `bin_sets` sets or `bin_grams` n-grams, and one tree at a time.
+    """
+    stars = pairs.groupBy("hub").agg(F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum("size") / bin_grams)).alias("parts"))
     placed = pairs.join(stars, "hub").select("hub", "cls", F.xxhash64("hub", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("place"))
     asked = placed.select("cls", "place").unionByName(placed.select(F.col("hub").alias("cls"), "place").distinct())
-    need = stored(asked.join(bearer.select("cls", "name", "hash"), "cls"), "need")
-    bins = 1 + need.count() // bin_sets
+    need = stored(asked.join(bearer.select("cls", "name", "hash", "size"), "cls"), "need")
+    held = need.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    bins = 1 + max(held[0] // bin_sets, held[1] // bin_grams)
 
     def sets(batches: Iterator[pa.RecordBatch]):
         known, last, held = Words(), None, b""
@@ -369,12 +383,12 @@ def _star_links(src: DataFrame, bearer: DataFrame, pairs: DataFrame, n: int, t:
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in links], pa.int64()), pa.array([names[j] for _, j in links], pa.int64())], names=["a", "b"])
 
     # `need` is a stored table, whose size the planner knows: it is broadcast only below Spark's threshold.
-    texts = src.join(need, ["name", "hash"]).select("text", "cls", "place")
+    texts = src.join(need.drop("size"), ["name", "hash"]).select("text", "cls", "place")
     dealt = texts.mapInArrow(sets, "cls long, place long, grams binary").withColumn("bin", F.pmod("place", F.lit(bins)))
     return stored(dealt.groupBy("bin").applyInArrow(join, "a long, b long"), "links")
 
 
-def _linked(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, chunk: int = 256, bin_sets: int = 512, group: int = 2048, longest: int = 1 << 32) -> DataFrame:
+def _linked(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, chunk: int = 256, bin_sets: int = 512, bin_grams: int = 2_000_000, group: int = 2048, longest: int = 1 << 32) -> DataFrame:
     """doc_id, name, hash (of the text), n_shingles and the component's root (null without a set) of every row, stored."""
     t = Threshold(num, den)
     classes = t.classes(longest)
@@ -395,8 +409,8 @@ def _linked(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, chunk:
     met = pairs.join(side, ["cls", "odd"]).join(side.select(F.col("cls").alias("hub"), "odd", F.col("size").alias("hub_size"), F.col("sketch").alias("hub_sketch")), ["hub", "odd"])
     differ = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, x: total + x)
     both = F.col("size") + F.col("hub_size")
-    first = met.where(differ <= both - 2 * F.ceil(both * num / (num + den))).groupBy("cls").agg(F.min("hub").alias("hub"))
-    links = _star_links(src, bearer, first, n, t, chunk, bin_sets)
+    first = met.where(differ <= both - 2 * F.ceil(both * num / (num + den))).groupBy("cls").agg(F.min("hub").alias("hub"), F.max("size").alias("size"))
+    links = _star_links(src, bearer, first, n, t, chunk, bin_sets, bin_grams)
 
     # Further rounds: across what is still apart, first the least of each set's candidates in a signature, then all.
     found = [links]
@@ -409,8 +423,8 @@ def _linked(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, chunk:
         open_ = groups.groupBy("n", "h0", "h1").agg(F.min("sig").alias("sig")).select("sig")
         rows = rooted.join(open_, "sig").withColumn("odd", F.pmod("sig", F.lit(2)).cast("int"))
         rows = stored(rows.join(side, ["cls", "odd"]).select("sig", "cls", "root", "size", "sketch"), "open")
-        apart = stored(_cross_pairs(rows, t, group, least).select(F.col("a").alias("hub"), F.col("b").alias("cls")), "pairs")
-        found.append(_star_links(src, bearer, apart, n, t, chunk, bin_sets))
+        apart = stored(_cross_pairs(rows, t, group, least).select(F.col("a").alias("hub"), F.col("b").alias("cls"), "size"), "pairs")
+        found.append(_star_links(src, bearer, apart, n, t, chunk, bin_sets, bin_grams))
         released(rooted, rows, apart)
 
     joined = components(functools.reduce(DataFrame.unionByName, found))

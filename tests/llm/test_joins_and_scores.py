@@ -111,6 +111,39 @@ def test_components_of_documents(make_docs, chunk, group, n, num, den):
     assert len(stay) == len({r for r, s in zip(roots, sets, strict=True) if s}) + empties
 
 
+def test_long_sets_leave_a_tree_early():
+    """Sets that share nothing are given up within a step, so 600 long ones take time by what a miss costs, not by all they hold."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 62, 3000).astype(np.uint64)) for _ in range(600)]
+    near = sets[7].copy()
+    near[::25] += np.uint64(1)
+    sets.append(np.unique(near))
+    looked = 0
+
+    class Counted(set):
+        def __contains__(self, x):
+            nonlocal looked
+            looked += 1
+            return set.__contains__(self, x)
+
+    tj.set = Counted
+    try:
+        links = tj.TrieJoin(sets, tj.Threshold(9, 10)).links
+    finally:
+        del tj.set
+    assert [sorted(x) for x in links] == [[7, 600]]
+    assert looked < 0.15 * 3000 * 600 * 601 / 2
+
+
+def test_trees_are_bounded_by_grams(make_docs):
+    """A group of long near copies is dealt into trees by its n-grams; the components stay those of all pairs."""
+    base = prose(4000)
+    rows = [(k, " ".join([*base[:-k], *(f"x{k}y{i}" for i in range(k))])) for k in range(1, 41)]
+    rows += [(100 + k, " ".join(prose(3000))) for k in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in tj.jaccard_components(make_docs(rows), n=5, num=4, den=5, bin_grams=10_000).collect()}
+    assert got == {i: 1 if i < 100 else i for i, _ in rows}
+
+
 def test_join_of_nothing(make_docs):
     assert tj.jaccard_components(make_docs([])).count() == 0
     assert tj.jaccard_components(make_docs([(1, None)])).first()["component_id"] == 1
