@@ -195,6 +195,6 @@ def judge(docs: DataFrame, *, lang: str = "lang", source: str = "source", text:
 
 def keep_clean(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` that `judge` keeps."""
-    named = docs.withColumn("__name", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("__hash", F.xxhash64("text"))
+    named = docs.withColumn("__name", id_name(F.col("doc_id"))).withColumn("__hash", F.xxhash64("text"))
     out = judge(named.select("__name", "__hash", "doc_id", "lang", "source", "text"), **how).where("not kept").select("__name", "__hash").distinct()
     return named.join(out.hint("merge"), ["__name", "__hash"], "left_anti").select(*docs.columns)
