@@ -284,6 +284,40 @@ def test_all_of_a_group_are_tried(make_docs):
         assert {r["doc_id"] for r in got} == want and {235000, *range(100, 120)} <= want
 
 
+def test_the_next_best_are_tried(make_docs):
+    """The earlier window that agrees best beside the place is in no passage; the one that agrees less well is."""
+    rng = random.Random(11)
+    words = lambda n: [f"k{rng.randrange(10**9)}" for _ in range(n)]
+    line = words(44)  # no passage by itself
+    rows = [(i, " ".join(words(30) + line + words(30))) for i in range(30)]
+    long = words(6) + line + words(6)
+    near = list(long)
+    near[20] = words(1)[0]
+    rows += [(100, " ".join(words(30) + near + words(30))), (200, " ".join(words(30) + long + words(30)))]
+    for chunk in (2048, 8):
+        assert {(r["doc_id"], r["other_doc_id"]) for r in cw.find_passages(make_docs(rows), chunk=chunk).collect()} == {(200, 100)}
+
+
+def test_recall_of_planted_passages(make_docs):
+    """Of each kind 150 passages in two texts each: exact, one changed word in 55 or 60, two in 100, three in 150. No text without one is found."""
+    rng = random.Random(12)
+    words = lambda n: [f"p{rng.randrange(10**9)}" for _ in range(n)]
+    rows, kind_of, at = [(i, " ".join(words(120))) for i in range(300)], {}, 1000
+    for kind in ((60, 0), (55, 1), (60, 1), (100, 2), (150, 3)):
+        for _ in range(150):
+            passage = words(kind[0])
+            other = list(passage)
+            for place in rng.sample(range(kind[0]), kind[1]):
+                other[place] = words(1)[0]
+            rows += [(at, " ".join(words(40) + passage + words(40))), (at + 1, " ".join(words(30) + other + words(50)))]
+            kind_of[at + 1], at = kind, at + 2
+    found = {r["doc_id"]: r["other_doc_id"] for r in cw.find_passages(make_docs(rows)).collect()}
+    assert all(i in kind_of and j == i - 1 for i, j in found.items())
+    share = {k: sum(kind_of[i] == k for i in found) / 150 for k in kind_of.values()}
+    least = {(60, 0): 1, (55, 1): 0.9, (60, 1): 0.93, (100, 2): 0.93, (150, 3): 0.93}
+    assert all(share[k] >= v for k, v in least.items()), share
+
+
 def test_a_passage_of_two_frequent_lines(make_docs):
     """Texts with one of the lines are hub and predecessor of nearly every signature; two texts have both lines."""
     rng = random.Random(5)
