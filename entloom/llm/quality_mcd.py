@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entloom.llm.common import stored, word_array
+from entloom.llm.common import id_name, stored, word_array
 
 WORD = "[^\\x20\\x09-\\x0D]"
 BLANK = " \t\n\x0b\f\r"
