@@ -1,12 +1,12 @@
 """Alignment of two tokenizers' tokens over the same bytes, in relational steps.
 
-Texts are dealt by the number of their row, encoded there by both tokenizers and stored in buckets. Tokens are laid out as rows (posexplode), a window sums their byte lengths to their ends, and an equi-join on row and
-end finds the offsets where tokens of both sides end: the cuts. The running count of cuts is the group's number; the tokens between two cuts,
-a range of positions on either side, are its members. A pair of tokens that end together is a link. Links are counted corpus-wide, and each text gets what
+Texts are dealt by the number of their row, encoded there by both tokenizers and stored in buckets, with the ends of each side's tokens as a bit for each byte, in words of 64. The words are laid out as rows (posexplode), and an equi-join on row and
+word finds the offsets where tokens of both sides end, the cuts, as the bits that both have. The tokens between two cuts,
+a range of positions on either side, are a group. A pair of tokens that end together is a link. Links are counted corpus-wide, and each text gets what
 its links have.
 
-Windows, join and aggregation follow in the same dealing, so texts are shuffled and tokens never. A
-task's tokens are rows that are sorted and may spill; of one text the cuts (positions and ids) are one value, about 40 times the text's bytes at most. Pairs of ids are counted
+Join and aggregation follow in the same dealing, so texts are shuffled and tokens never. A task's rows are words of 64 bytes of text, which are sorted and may spill; of one
+text the cuts are one value of half its bytes, and its tokens another. Pairs of ids are counted
 after partial sums. They are broadcast up to `SMALL` pairs; beyond, pairs that hold more than one in `SHARE` links, so fewer than `SHARE`, are broadcast and all others joined by a shuffle.
 
 Null and empty texts and texts whose tokens' bytes don't give back the text have no tokens: zeros and an empty `groups_sha256`. Invalid UTF-8 is such a
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import hashlib
 import json
 import os
 from collections.abc import Iterator
@@ -24,14 +25,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from entloom.llm.common import blocks_for, let_go, released, scratch, stored
 
 SMALL = 1_000_000
 SHARE = 1000
-#: Bytes of text of a task's tokens: a million on either side, whose four sorts then need no disk.
+#: Bytes of text of a task's tokens: a million on either side.
 BLOCK_BYTES = 2_500_000
 
 
@@ -115,14 +116,26 @@ def encoder_of(raw: bytes) -> Encoder:
 _ID_BITS = 20
 
 
-def _lists(raw: bytes, texts: list[bytes | None]) -> pa.Array:
-    encoder = encoder_of(raw)
-    ids, counts = encoder.encode(texts)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids | encoder.sizes[ids] << _ID_BITS))
+def _list(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values))
+
+
+def end_words(sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of texts' tokens as words of 64 bits, and how many words each text has. A token that ends with byte i of its text sets bit i."""
+    upto, text = np.cumsum(sizes, dtype=np.int64), np.repeat(np.arange(len(counts)), counts)
+    total = np.concatenate(([0], upto))[np.concatenate(([0], np.cumsum(counts)))]
+    words = -(-np.diff(total) // 64)
+    start = np.concatenate(([0], np.cumsum(words)))
+    bits = np.zeros(start[-1] * 64, np.uint8)
+    bits[upto - 1 + (start[:-1] * 64 - total[:-1])[text]] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64), words
 
 
 def encoded(docs: DataFrame, first: str, second: str, block_bytes: int) -> DataFrame:
-    """doc_id, row and the tokens a and b of every text (id and size in one number), stored in buckets by row: texts are shuffled once, tokens never."""
+    """doc_id, row, the tokens a and b of every text (id and size in one number) and their ends (words of bits), stored in buckets by row: texts are shuffled once, tokens never.
+
+    A text that one side doesn't give back has no tokens on either.
+    """
     spark, sides = docs.sparkSession, []
     for path in (first, second):
         with open(path, "rb") as f:
@@ -134,14 +147,23 @@ def encoded(docs: DataFrame, first: str, second: str, block_bytes: int) -> DataF
             for lo in range(0, batch.num_rows, 250):
                 piece = batch.slice(lo, 250)
                 texts = piece.column(2).to_pylist()
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(_lists(raw, texts) for raw in shared.value)], names=["doc_id", "row", "a", "b"])
+                encoders = [encoder_of(raw) for raw in shared.value]
+                found = [e.encode(texts) for e in encoders]
+                both = (found[0][1] > 0) & (found[1][1] > 0)
+                tokens, ends = [], []
+                for encoder, (ids, counts) in zip(encoders, found, strict=True):
+                    ids, counts = ids[np.repeat(both, counts)], np.where(both, counts, 0)
+                    sizes = encoder.sizes[ids]
+                    tokens.append(_list(ids | sizes << _ID_BITS, counts))
+                    ends.append(_list(*end_words(sizes, counts)))
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *tokens, *ends], names=["doc_id", "row", "a", "b", "a_ends", "b_ends"])
 
     text = F.col("text").cast("binary")
     # As many buckets as blocks of texts; a catalogue holds 100,000 at most.
     parts = min(100_000, max(blocks_for(docs.agg(F.sum(F.octet_length(text))).first()[0], block_bytes), spark.sparkContext.defaultParallelism))
     dealt = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("text")).repartition(parts, "row")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = dealt.mapInArrow(run, f"doc_id {id_type}, row long, a array<int>, b array<int>")
+    rows = dealt.mapInArrow(run, f"doc_id {id_type}, row long, a array<int>, b array<int>, a_ends array<long>, b_ends array<long>")
     path = scratch(spark, "tokens")
     name = "tokens_" + path.rsplit("-", 1)[1]
     rows.write.bucketBy(parts, "row").option("path", path).option("compression", "zstd").saveAsTable(name)
@@ -158,25 +180,20 @@ def forgotten(rows: DataFrame) -> None:
 
 
 def ends(rows: DataFrame, side: str) -> DataFrame:
-    """The side's tokens as rows: row, end (bytes up to and with the token), <side>_pos and <side>."""
-    laid = rows.select("row", F.posexplode(side).alias("pos", "token"))
-    upto = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return laid.select("row", F.sum(F.shiftright("token", _ID_BITS)).over(upto).alias("end"), F.col("pos").alias(f"{side}_pos"), F.col("token").bitwiseAND((1 << _ID_BITS) - 1).alias(side))
+    """The side's ends as rows: row, word and <side>_bits, of words that have any."""
+    return rows.select("row", F.posexplode(f"{side}_ends").alias("word", f"{side}_bits")).where(F.col(f"{side}_bits") != 0)
 
 
 def cuts(rows: DataFrame) -> DataFrame:
-    """Links, one for each cut: row, group, a and b, with the first position and the number of the group's tokens on each side."""
-    # Both sides are dealt by row already; the planner can't know how many rows an array becomes and would broadcast small files' tokens.
-    met = ends(rows, "a").join(ends(rows, "b").hint("merge"), ["row", "end"])
-    order = Window.partitionBy("row").orderBy("end")
-    since = {s: F.lag(f"{s}_pos", 1, -1).over(order) for s in "ab"}
-    numbered = met.select("row", F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("group"), "a", "b", *((since[s] + 1).alias(f"{s}_from") for s in "ab"), "a_pos", "b_pos")
-    return numbered.select("row", "group", "a", "b", *(x for s in "ab" for x in (f"{s}_from", (F.col(f"{s}_pos") - F.col(f"{s}_from") + 1).alias(f"{s}_n"))))
+    """row, word and bits of the offsets where tokens of both sides end."""
+    # Both sides are dealt by row already; the planner can't know how many rows an array becomes and would broadcast small files' words.
+    met = ends(rows, "a").join(ends(rows, "b").hint("merge"), ["row", "word"])
+    return met.select("row", "word", F.col("a_bits").bitwiseAND(F.col("b_bits")).alias("bits")).where("bits != 0")
 
 
 @contextlib.contextmanager
 def one_dealing(spark: SparkSession):
-    """Within, tables in buckets by row are joined on row and end as they lie; by default the planner would deal both anew by all keys of a join."""
+    """Within, tables in buckets by row are joined on row and word as they lie; by default the planner would deal both anew by all keys of a join."""
     name = "spark.sql.requireAllClusterKeysForCoPartition"
     before = spark.conf.get(name)
     spark.conf.set(name, "false")
@@ -186,24 +203,63 @@ def one_dealing(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+#: What follows an id in the text of the groups: another of its side, the other side, the next group.
+_AFTER = (",", "|", ";")
+
+
+@functools.cache
+def _labels(top: int) -> np.ndarray:
+    """The texts of all ids below `top` with each separator; a worker makes them once."""
+    return np.array([f"{i}{c}".encode() for i in range(top) for c in _AFTER], object)
+
+
+def grouped(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, words: np.ndarray, bits: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Of texts' tokens (id and size) and cuts: how many groups each text has, the digest of their text, and the ids of all links.
+
+    Both sides of a text have the same bytes, so offsets, positions and groups are counted through all texts.
+    """
+    upto = [np.cumsum(x >> _ID_BITS, dtype=np.int64) for x in (a, b)]
+    ids = [x & (1 << _ID_BITS) - 1 for x in (a, b)]
+    start = np.concatenate(([0], upto[0]))[np.concatenate(([0], np.cumsum(n_a)))]
+    text = np.repeat(np.arange(len(n_words)), n_words)
+    bit = np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+    word, text = words[bit >> 6].astype(np.int64), text[bit >> 6]
+    cut = start[text] + word * 64 + (bit & 63) + 1
+    n_groups = np.bincount(text, minlength=len(n_words))
+    last = [np.searchsorted(x, cut) for x in upto]
+    size = [np.diff(x, prepend=-1) for x in last]
+    label = np.empty(len(a) + len(b), np.int32)
+    # A group's tokens follow those of both sides before it, a's first.
+    for side, before in ((0, last[1] + 1 - size[1]), (1, last[0] + 1)):
+        place = np.arange(len(ids[side])) + np.repeat(before, size[side])
+        label[place] = ids[side] * len(_AFTER)
+        label[place[last[side]]] += 1 + side
+    known = _labels(1 << int(label.max(initial=0) // len(_AFTER)).bit_length())
+    edge = np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
+    digests = [hashlib.sha256(b"".join(known[label[lo:hi]].tolist())[:-1]).hexdigest() if hi > lo else "" for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
+    return n_groups, digests, ids[0][last[0]], ids[1][last[1]]
+
+
 def align(rows: DataFrame) -> DataFrame:
     """Of `encoded` rows: doc_id, row, n_a, n_b, n_groups, groups_sha256 and links (a, b); to be run in `one_dealing`."""
-    found = cuts(rows).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("group", "a_from", "a_n", "b_from", "b_n", "a", "b"))).alias("cuts"))
-
-    def listed(side: str, cut: Column) -> Column:
-        return F.array_join(F.slice(f"{side}_text", cut[f"{side}_from"] + 1, cut[f"{side}_n"]), ",")
-
-    ids = [F.transform(s, lambda t: t.bitwiseAND((1 << _ID_BITS) - 1).cast("string")).alias(f"{s}_text") for s in "ab"]
-    whole = rows.select("doc_id", "row", *ids).join(found.hint("merge"), "row", "left")
-    groups = F.array_join(F.transform("cuts", lambda c: F.concat(listed("a", c), F.lit("|"), listed("b", c))), ";")
-    # A text that one side doesn't give back has no cuts, and then none of its tokens count.
-    both = F.col("cuts").isNotNull()
-    return whole.select(
-        "doc_id", "row", *(F.when(both, F.size(f"{s}_text")).otherwise(0).cast("long").alias(f"n_{s}") for s in "ab"),
-        F.coalesce(F.size("cuts"), F.lit(0)).cast("long").alias("n_groups"),
-        F.coalesce(F.sha2(groups.cast("binary"), 256), F.lit("")).alias("groups_sha256"),
-        F.transform("cuts", lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"))).alias("links"),
-    )
+    found = cuts(rows).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("cuts"))
+    whole = rows.select("doc_id", "row", "a", "b").join(found.hint("merge"), "row", "left")
+    whole = whole.select("doc_id", "row", "a", "b", F.coalesce("cuts", F.array().cast("array<struct<word:int,bits:bigint>>")).alias("cuts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 250):
+                piece = batch.slice(lo, 250)
+                lists = [piece.column(i) for i in (2, 3, 4)]
+                n_a, n_b, n_words = (np.diff(x.offsets.to_numpy()).astype(np.int64) for x in lists)
+                a, b = (x.flatten().to_numpy() for x in lists[:2])
+                words, bits = (x.to_numpy() for x in lists[2].flatten().flatten())
+                n_groups, digests, *ids = grouped(a, b, n_a, n_b, words, bits, n_words)
+                links = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_groups))).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in ids], names=["a", "b"]))
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)), pa.array(digests, pa.string()), links], names=["doc_id", "row", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
+
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return whole.mapInArrow(run, f"doc_id {id_type}, row long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<struct<a:int,b:int>>")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:

@@ -156,6 +156,18 @@ def test_alignment_shuffles_no_tokens(spark, make_docs):
     token_alignment.forgotten(rows)
 
 
+def test_alignment_sorts_words_of_bits_not_tokens(spark, make_docs):
+    """What is laid out, sorted and joined are words of 64 bytes of text: no window, and no more rows than words."""
+    text = "the quick brown fox " * 100
+    rows = token_alignment.encoded(make_docs([(1, text), (2, None), (3, "x")]), A, B, 1000)
+    with token_alignment.one_dealing(spark):
+        plan = token_alignment.align(rows)._jdf.queryExecution().executedPlan().toString()
+        found = token_alignment.cuts(rows).collect()
+    assert "Window" not in plan
+    assert len(found) <= len(text) // 64 + 2 and sum(bin(r["bits"] & (1 << 64) - 1).count("1") for r in found) > 300
+    token_alignment.forgotten(rows)
+
+
 # -- cuckoo index ------------------------------------------------------------------------------------
 
 
