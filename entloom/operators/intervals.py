@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entloom.operators.numbering import _PLACE, _RANGE, ranged
+from entloom.operators.numbering import _PLACE, _RANGE, _with_offsets, ranged
 
 
 def _pairs(by: Sequence[str | tuple[str, str]]) -> list[tuple[str, str]]:
@@ -108,6 +108,34 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, lo: str, hi: st
     return looking.join(placed, same).where(holds).select(*points.columns, *intervals.columns)
 
 
+def range_totals(points: DataFrame, intervals: DataFrame, at: str, lo: str, hi: str, key: str, value: str) -> DataFrame:
+    """key, n and total: for each key of the intervals the pairs of `range_join` (closed intervals) and the sum of the points' `value`, a whole number. Keys without a pair are left out.
+
+    No pair is made: n and total of an interval are those of the points up to its end without those before its start. Points and ends are
+    dealt into ranges of one order and summed there; a range passes on one row. So the work grows with points and intervals, not with their pairs.
+    """
+    kinds = {f.name: f.dataType for f in (*points.schema, *intervals.schema)}
+    sums = ["__n", "__known", "__total"]
+
+    def place(c: str) -> Column:
+        # The sort of -0.0 must be that of 0.0.
+        return F.col(c) + F.lit(0).cast(kinds[c]) if isinstance(kinds[c], T.FractionalType) and not isinstance(kinds[c], T.DecimalType) else F.col(c)
+
+    here = points.where(F.col(at).isNotNull()).groupBy(place(at).alias("__t")).agg(F.count(F.lit(1)).alias("__n"), F.count(value).alias("__known"), F.coalesce(F.sum(value), F.lit(0)).alias("__total"))
+    good = intervals.where(F.col(lo) <= F.col(hi))
+    # At one place: starts, points, ends.
+    ends = [good.select(F.col(key).alias("__key"), place(c).alias("__t"), F.lit(side).alias("__side")) for c, side in ((lo, -1), (hi, 1))]
+    every = here.withColumn("__side", F.lit(0)).unionByName(ends[0].unionByName(ends[1]), allowMissingColumns=True)
+    rows = ranged(every, [], ["__t", "__side"])
+    upto = Window.partitionBy(_RANGE).orderBy(_PLACE)
+    within = rows.withColumns({f"__upto{c}": F.coalesce(F.sum(c).over(upto), F.lit(0)) for c in sums})
+    per_range = rows.groupBy(_RANGE).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums))
+    reached = _with_offsets(within.drop(*sums), per_range, [], sums).where("__side <> 0")
+    n, known, total = (F.sum(F.col("__side") * (F.col(f"__upto{c}") + F.col(f"__before_{c}"))) for c in sums)
+    found = reached.groupBy("__key").agg(n.alias("n"), known.alias("__some"), total.alias("total")).where("n > 0")
+    return found.select(F.col("__key").alias(key), "n", F.when(F.col("__some") > 0, F.col("total")).alias("total"))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, ours: tuple[str, str], theirs: tuple[str, str], by: Sequence[tuple[str, str]] = (), width: float | None = None) -> DataFrame:
     """Pairs of intervals (closed) that overlap: the later of their starts lies in the other one."""
     swapped = [(b, a) for a, b in by]

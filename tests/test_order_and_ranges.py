@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entloom.entity import entity
-from entloom.operators.intervals import asof_join, overlap_join, range_join
+from entloom.operators.intervals import asof_join, overlap_join, range_join, range_totals
 from entloom.operators.loading import merged, upsert
 from entloom.operators.numbering import number_rows, running_sum
 from entloom.sources.store import Store
@@ -97,6 +97,24 @@ def test_range_join_equals_a_plain_loop(spark):
     assert sorted((r["i"], r["j"]) for r in cells.collect()) == sorted((i, j) for i, at, _ in points for j, lo, hi, _ in spans if at is not None and lo is not None and lo <= at <= hi)
 
 
+def test_range_totals_equal_a_plain_loop(spark):
+    rng = random.Random(7)
+    points = [(i, rng.choice([None, -0.0, 0.0, float("inf"), round(rng.uniform(-9, 9), 1)])) for i in range(300)] + [(None, 1.0), (None, 20.5)]
+    spans = [(j % 60, a, a + rng.choice([0.0, 0.1, 3.0, 50.0, -1.0])) for j in range(90) for a in [rng.choice([0.0, -0.0, round(rng.uniform(-12, 12), 1)])]] + [(61, None, 1.0), (62, 20.0, 21.0), (63, 0.0, float("inf"))]
+    p, s = spark.createDataFrame(points, "v long, at double"), spark.createDataFrame(spans, "k long, lo double, hi double")
+    pairs = [(k, v) for k, lo, hi in spans if lo is not None for v, x in points if x is not None and lo <= x <= hi]
+    want = {k: (sum(x == k for x, _ in pairs), None if all(v is None for x, v in pairs if x == k) else sum(v or 0 for x, v in pairs if x == k)) for k, _ in pairs}
+    assert {r["k"]: (r["n"], r["total"]) for r in range_totals(p, s, "at", "lo", "hi", "k", "v").collect()} == want
+    assert range_totals(p.limit(0), s, "at", "lo", "hi", "k", "v").count() == 0
+
+
+def test_range_totals_make_no_pairs(spark):
+    """Ten billion pairs of points and intervals."""
+    p, s = spark.range(100_000).select(F.col("id").alias("v"), (F.col("id") % 5).cast("double").alias("at")), spark.range(100_000).select(F.col("id").alias("k"), F.lit(0.0).alias("lo"), F.lit(4.0).alias("hi"))
+    got = range_totals(p, s, "at", "lo", "hi", "k", "v").agg(F.count(F.lit(1)), F.min("n"), F.max("total")).first()
+    assert tuple(got) == (100_000, 100_000, 99_999 * 50_000)
+
+
 def test_range_join_of_instants_and_dates(spark):
     days = [dt.datetime(2024, 3, 30, h) + dt.timedelta(days=d) for d in range(3) for h in (0, 1, 2, 3, 23)]
     rows = [(i, d, d, d.date()) for i, d in enumerate(days)]
