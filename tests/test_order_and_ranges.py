@@ -205,3 +205,32 @@ def test_a_merge_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
     assert {r["v"] for r in store.read(e.full_name, e.struct).collect()} == {"one"}
     assert load("three")["updated"] == 50
     assert {r["v"] for r in store.read(e.full_name, e.struct).collect()} == {"three"}
+
+
+def test_a_version_of_many_buckets_is_one_path(spark, tmp_path):
+    e = entity("e", {"k": "int8"}, ["k"], registry={})
+    store = Store(spark, str(tmp_path))
+    rows = spark.range(500).select(e.key({"k": F.col("id")}).alias("id"), F.col("id").alias("k"))
+    store.create("t")
+    assert store.is_empty("t")
+    assert store.merge("t", e.struct, rows, lambda old, new: merged(old, new, ["k"]))["inserted"] == 500
+    read = store.read("t", e.struct)
+    assert "(1 paths)" in plan_of(read) and read.columns == e.struct.names and read.count() == 500
+    one = rows.where("k = 7").withColumn("k", F.lit(-7).cast("long"))
+    assert store.merge("t", e.struct, one, lambda old, new: merged(old, new, ["k"]))["updated"] == 1
+    read = store.read("t", e.struct)
+    assert (read.count(), read.agg(F.sum("k")).first()[0]) == (500, sum(range(500)) - 14) and plan_of(read).count("(1 paths)") == 2
+
+
+def test_a_first_load_without_transforms_stores_its_rows_once(spark, tmp_path, monkeypatch):
+    from entloom.plans.model import Load, Out, Pipeline, Step
+    from entloom.plans.runner import Runner
+
+    written, write = [], Store.write
+    monkeypatch.setattr(Store, "write", lambda self, path, *more: written.append(path) or write(self, path, *more))
+    e = entity("e", {"k": "int8"}, ["k"], registry={})
+    step = Step("s", lambda s: s.range(20).select(F.col("id") % 10), loads=[Load(e, {"k": Out("(id % 10)")}, insert=True)])
+    result = Runner(spark, Store(spark, str(tmp_path))).run(Pipeline("p", [step]))["s"]
+    assert result.status == "completed", result.error
+    assert [result.counts[n] for n in ("inputs_extracted", "inputs_unique", "inputs_processed", "rows_inserted")] == [20, 10, 10, 10]
+    assert len(written) == 1
