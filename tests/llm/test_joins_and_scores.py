@@ -3,6 +3,7 @@
 import collections
 import math
 import bisect
+import itertools
 import random
 import time
 import zlib
@@ -89,6 +90,20 @@ def test_linked_sets_share_a_signature(n, more, less, seed, ratio):
                 assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= differ
 
 
+@pytest.mark.parametrize("size", [300, 1200, 5000, 8000])
+def test_long_sets_of_nothing_in_common_do_not_meet(size):
+    """Parts that are empty by chance make no candidates, and the sketches of long sets tell them apart."""
+    t = tj.Threshold(4, 5)
+    classes = t.classes(20_000)
+    rng = np.random.default_rng(size)
+    sets = [np.unique(rng.integers(0, 1 << 63, size + i).astype(np.uint64)) for i in range(30)]
+    seen = np.concatenate([np.unique(tj.signatures(s, t, classes)) for s in sets])
+    assert len(np.unique(seen)) > 0.999 * len(seen)
+    sketches = [tj.sketches(s, classes)[0] for s in sets if bisect.bisect_right(classes, len(s)) == bisect.bisect_right(classes, size)]
+    far = [int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) for x, y in itertools.pairwise(sketches)]
+    assert min(far, default=1 << 30) > t.differ(2 * size + 60)
+
+
 @pytest.mark.parametrize("chunk, group, n, num, den", [(256, 2048, 3, 9, 10), (4, 3, 3, 9, 10), (5, 4, 5, 4, 5), (256, 2048, 5, 4, 5)])
 def test_components_of_documents(make_docs, chunk, group, n, num, den):
     rows = []
