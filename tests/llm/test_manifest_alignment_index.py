@@ -132,6 +132,19 @@ def test_alignment_equals_a_plain_loop(make_docs):
     assert token_alignment.alignment(make_docs([]), A, B).count() == 0
 
 
+def test_ids_by_rank_are_the_library_s():
+    """The byte-level side takes the quick way where it is proven to agree, and the ids are the library's for letters of all kinds, long runs and white space."""
+    with open(A, "rb") as f:
+        tokenizer = token_alignment.ByteLevel(f.read())
+    assert tokenizer.quick is not None and tokenizer.lossless
+    rng = random.Random(11)
+    letters = ["a", "the", "'s", "'", " ", "  ", "\n", "\t ", "\x85", "\x1c", "\u3000", "\u200b", "\u0301", "é", "日本", "²", "7", "!?", "_", "<|endoftext|>", "\U0001f600"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 15))) for _ in range(2000)]
+    texts += ["a1!b ".replace("!", chr(i)) + chr(i) + "1" for i in [*range(1, 0x3100), *range(0xA700, 0xAC00)]] + ["q" * 3000, " " * 3000 + "x", "ab " * 2000]
+    want = [e.ids for e in tokenizer.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert tokenizer.encode(texts) == want
+
+
 def test_alignment_of_repeated_rows_and_null_ids(odd_docs):
     texts = [t for _, t in ODD]
     want = sorted(((i, *x) for (i, _), x in zip(ODD, plain_alignment(texts), strict=True)), key=str)
