@@ -496,6 +496,17 @@ def test_order_counts(make_docs):
     assert all(got[i] < 0.3 * got[shuffled] for i in copies)
 
 
+def test_blocks_decide_alike(make_docs, monkeypatch):
+    """The decisions' model is that of all training texts: as many decisions are learned from in many blocks as in one, and every block scores by the same model."""
+    rows = [(i, " ".join(prose(40))) for i in range(120)]
+    whole, learned = [], cm.learned
+    monkeypatch.setattr(cm, "learned", lambda *how: whole.append(learned(*how)) or whole[-1])
+    few, many = ({r["doc_id"]: r["score"] for r in cm.score(make_docs(rows), block_bytes=b).collect()} for b in (1 << 20, 2048))
+    one, other = (x.tables for x in whole)
+    assert one.sum() > 0 and np.array_equal(one, other)
+    assert all(abs(few[i] - many[i]) < 0.1 * abs(few[i]) for i in few)
+
+
 def test_scores(make_docs):
     rows = [(i, " ".join(prose(40))) for i in range(120)] + list(ODD)
     got = cm.score(make_docs(rows), block_bytes=4096).collect()
