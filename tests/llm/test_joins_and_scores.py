@@ -159,6 +159,14 @@ def test_trees_are_bounded_by_grams(make_docs):
     assert got == {i: 1 if i < 100 else i for i, _ in rows}
 
 
+def test_a_filter_is_as_small_as_its_table(spark):
+    sigs = [(int(x),) for x in np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 3000)]
+    shared = tj.live_filter(spark.createDataFrame(sigs, "sig long"))
+    assert shared.value.nbytes <= 16_384
+    assert tj.is_live(shared.value, np.array(sigs).ravel()).all()
+    assert tj.is_live(shared.value, np.arange(0, 20_000, 2) << 40).mean() < 0.2
+
+
 def test_join_of_nothing(make_docs):
     assert tj.jaccard_components(make_docs([])).count() == 0
     assert tj.jaccard_components(make_docs([(1, None)])).first()["component_id"] == 1
