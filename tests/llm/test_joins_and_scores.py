@@ -486,6 +486,27 @@ def test_score_equals_a_plain_loop():
     assert cm.token_bits(tokens, code, cm.Lookup(tables), cm.Mixer()).tolist() == pytest.approx(alone)
 
 
+def test_a_block_is_scored_from_what_it_stored():
+    """Scoring takes a block's decisions as they were stored, 9 bytes each, and gives the same bits."""
+    texts = [" ".join(prose(60)).encode() for _ in range(20)] + [b"", b"a a b a a"]
+    train = np.arange(len(texts)) % 3 > 0
+    asked = pa.RecordBatch.from_pylist([dict(zip([c.split()[0] for c in cm.ASKED.split(", ")], row, strict=True)) for row in cm.ask(0, texts, train, 1)])
+    total, told = list(cm.answer((pa.scalar(0),), iter([asked])))
+    left = pa.table({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.binary()), "held_out": (~train).tolist()})
+    r = cm.Reader(left, pa.Table.from_batches([told]), 1)
+    n, v = (total.column(c)[0].as_py() for c in "nv")
+    d, decider = r.decisions(n), cm.Decider()
+    decider.learn(d, r.train)
+    row = dict(zip([c.split()[0] for c in cm.READ.split(", ")][1:], cm.read_block(r, n, v), strict=True))
+    kept = cm.Steps.unpack(row["counts"], row["marks"], row["slots"])
+    assert len(row["marks"]) + len(row["slots"]) == 9 * len(d.bit)
+    assert np.array_equal(decider.bits(kept, len(texts)), decider.bits(d, len(texts)))
+    choice, size, length, known, base = np.frombuffer(row["sums"]).reshape(5, -1)
+    assert length.tolist() == [len(t.split()) + 1 for t in r.texts] and size.tolist() == [sum(len(w) + 1 for w in t.split()) + 1 for t in r.texts]
+    assert known.tolist() == [sum(x > 0 for x in r.token_n[r.block.ids[r.block.text == i]]) for i in range(len(texts))]
+    assert np.allclose(choice, np.bincount(r.block.text, d.choice, len(texts))) and (base < 0).all()
+
+
 def test_held_out_texts_beat_the_base_and_copies_show(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = cm.score(docs).where("held_out").selectExpr("sum(score)", "sum(base_score)").first()
