@@ -20,6 +20,7 @@ import functools
 import hashlib
 import itertools
 import json
+import operator
 import os
 import re
 import unicodedata
@@ -95,6 +96,8 @@ class ByteLevel:
         #: Every byte is a token and texts aren't changed, so tokens' bytes are the text's.
         self.lossless = plain and {bytes([i]) for i in range(256)} <= set(self.bytes_of)
         self.quick = self._by_rank(spec["model"]) if self.lossless else None
+        #: Which tokens begin a word; None where words can't be told apart.
+        self.begins = np.array([x.startswith(b" ") for x in self.bytes_of]) if self.quick else None
 
     def _by_rank(self, model: dict):
         import tiktoken
@@ -108,11 +111,21 @@ class ByteLevel:
             return None
         return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={self.bytes_of[i]: i for i in ids.values()}, special_tokens={})
 
+    def fits(self, t: str) -> bool:
+        return self.quick and max(map(len, t.split()), default=0) < LONG_RUN and not _WIDE.search(t) and (t.isascii() or not unsettled().search(t))
+
+    def stands_alone(self, word: str) -> bool:
+        """The pattern cuts before the space of a word that no white space begins or ends: its tokens don't depend on other words."""
+        return word == word.strip() and self.fits(word)
+
+    def joined(self, words: list[str]) -> list[int]:
+        return self.quick.encode_ordinary(" " + " ".join(words))
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         found, rest = [], []
         for i, t in enumerate(texts):
-            fits = self.quick and max(map(len, t.split()), default=0) < LONG_RUN and not _WIDE.search(t) and (t.isascii() or not unsettled().search(t))
+            fits = self.fits(t)
             found.append(self.quick.encode_ordinary(" " + t) if fits else None)
             if not fits:
                 rest.append(i)
@@ -133,6 +146,27 @@ class Pieces:
         ids = range(self.model.get_piece_size())
         texts = [self.model.id_to_piece(i) for i in ids]
         self.bytes_of = [bytes([int(t[3:-1], 16)]) if self.model.is_byte(i) else t.replace("\u2581", " ").encode() for i, t in zip(ids, texts, strict=True)]
+        self.begins = np.array([t.startswith("\u2581") for t in texts]) if self._by_words(raw, texts) else None
+
+    @staticmethod
+    def _by_words(raw: bytes, texts: list[str]) -> bool:
+        """No piece goes on after a space into the next word, and texts aren't normalized: a text's pieces are those of its words."""
+        try:
+            from sentencepiece import sentencepiece_model_pb2
+        except ImportError:
+            return False
+        spec = sentencepiece_model_pb2.ModelProto()
+        spec.ParseFromString(raw)
+        rules, trained = spec.normalizer_spec, spec.trainer_spec
+        plain = rules.add_dummy_prefix and rules.escape_whitespaces and not (rules.remove_extra_whitespaces or rules.precompiled_charsmap or trained.treat_whitespace_as_suffix)
+        odd = any(x.type in (x.USER_DEFINED, x.UNUSED) for x in spec.pieces)
+        return plain and not odd and trained.model_type == trained.BPE and all("\u2581" not in t[1:] or not t.strip("\u2581") for t in texts)
+
+    def stands_alone(self, word: str) -> bool:
+        return "\u2581" not in word
+
+    def joined(self, words: list[str]) -> list[int]:
+        return self.model.encode(" ".join(words), num_threads=1)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
@@ -147,6 +181,14 @@ def tokenizer_of(raw: bytes):
     return ByteLevel(raw)
 
 
+def _decoded(raw: bytes | None) -> str:
+    """A text; null and invalid UTF-8 are none."""
+    try:
+        return (raw or b"").decode()
+    except UnicodeDecodeError:
+        return ""
+
+
 class Encoder:
     """Ids of whole texts; a text that its tokens' bytes don't give back has none."""
 
@@ -156,12 +198,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        letters, sure, plain = self.tokenizer.bytes_of, self.tokenizer.lossless, []
-        for raw in texts:
-            try:
-                plain.append((raw or b"").decode())
-            except UnicodeDecodeError:
-                plain.append("")
+        letters, sure, plain = self.tokenizer.bytes_of, self.tokenizer.lossless, [_decoded(raw) for raw in texts]
         found = [x if t and (sure or b"".join(map(letters.__getitem__, x)) == b" " + t.encode()) else [] for t, x in zip(plain, self.tokenizer.encode(plain), strict=True)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
@@ -173,6 +210,76 @@ def encoder_of(raw: bytes) -> Encoder:
     return Encoder(raw)
 
 
+#: Words whose tokens a worker keeps, and those of the last texts.
+KNOWN_WORDS = 400_000
+#: What is kept of a word that has no tokens of its own.
+_NO_WORD = (b"", b"")
+
+
+class Pair:
+    """Two encoders. The tokens of words, parted by single spaces, are kept for both, where both know words; other texts are encoded whole."""
+
+    def __init__(self, first: bytes, second: bytes):
+        self.encoders = [encoder_of(raw) for raw in (first, second)]
+        self.sides = [e.tokenizer for e in self.encoders]
+        self.by_words = all(side.begins is not None for side in self.sides)
+        self.known = {"": _NO_WORD}
+
+    def _learn(self, words: list[str]) -> None:
+        """Tokens of words, from one text: each begins with the only token that begins a word."""
+        if not words:
+            return
+        text, cut = b" " + " ".join(words).encode(), []
+        for side in self.sides:
+            ids = np.array(side.joined(words), np.int32)
+            edge = np.append(np.flatnonzero(side.begins[ids]), len(ids))
+            # No word has a space: if all bytes are those of the text, each word's tokens are its own.
+            if len(edge) == len(words) + 1 and b"".join(map(side.bytes_of.__getitem__, ids.tolist())) == text:
+                data, at = ids.tobytes(), (4 * edge).tolist()
+                cut.append(map(data.__getitem__, map(slice, at[:-1], at[1:])))
+        if len(cut) == 2:
+            self.known.update(zip(words, zip(*cut, strict=True), strict=True))
+        elif len(words) == 1:
+            self.known[words[0]] = _NO_WORD
+        else:
+            self._learn(words[: len(words) // 2])
+            self._learn(words[len(words) // 2 :])
+
+    def _from_words(self, texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
+        """Of each text the tokens of its words; an empty list where one has none of its own."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known = {"": _NO_WORD}
+        get, split = self.known.get, [t.split(" ") for t in texts]
+        found = [list(map(get, words)) for words in split]
+        late = [i for i, x in enumerate(found) if None in x]
+        new = dict.fromkeys(w for i in late for w, x in zip(split[i], found[i], strict=True) if x is None)
+        alone = [w for w in new if all(side.stands_alone(w) for side in self.sides)]
+        self.known.update(dict.fromkeys(new.keys() - set(alone), _NO_WORD))
+        self._learn(alone)
+        for i in late:
+            found[i] = list(map(get, split[i]))
+        return [[] if _NO_WORD in x else x for x in found]
+
+    def encode(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As each encoder's `encode`."""
+        if not self.by_words:
+            return [e.encode(texts) for e in self.encoders]
+        words = self._from_words([_decoded(raw) for raw in texts])
+        rest, out = [i for i, x in enumerate(words) if not x], []
+        for k, encoder in enumerate(self.encoders):
+            part = [np.frombuffer(b"".join(map(operator.itemgetter(k), x)), np.int32) for x in words]
+            ids, counts = encoder.encode([texts[i] for i in rest])
+            for i, x in zip(rest, np.split(ids, np.cumsum(counts)[:-1]) if rest else [], strict=True):
+                part[i] = x
+            out.append((np.concatenate(part) if part else ids, np.fromiter(map(len, part), np.int64, len(part))))
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def pair_of(first: bytes, second: bytes) -> Pair:
+    return Pair(first, second)
+
+
 #: A token's id is below this; its size in bytes comes above.
 _ID_BITS = 20
 
@@ -208,8 +315,8 @@ def encoded(docs: DataFrame, first: str, second: str, block_bytes: int) -> DataF
             for lo in range(0, batch.num_rows, 250):
                 piece = batch.slice(lo, 250)
                 texts = piece.column(2).to_pylist()
-                encoders = [encoder_of(raw) for raw in shared.value]
-                found = [e.encode(texts) for e in encoders]
+                pair = pair_of(*shared.value)
+                encoders, found = pair.encoders, pair.encode(texts)
                 both = (found[0][1] > 0) & (found[1][1] > 0)
                 tokens, ends = [], []
                 for encoder, (ids, counts) in zip(encoders, found, strict=True):

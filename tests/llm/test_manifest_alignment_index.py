@@ -145,6 +145,20 @@ def test_ids_by_rank_are_the_library_s():
     assert tokenizer.encode(texts) == want
 
 
+def test_words_are_encoded_once_and_as_whole_texts_are():
+    rng = np.random.default_rng(5)
+    letters = list(" \n\tab'sé1中 \u3000\u2581<>😀\x00\x1c")
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 30, 400)] + ["a  b", " a", "a ", "x\n \ny", "x\n y", "it's 'tis <s>", "<unk> \u2581", "b" * 700 + " c", "plain words, plain words"]
+    raw = [x.encode() for x in texts] + [None, b"\xff a"]
+    pair = token_alignment.Pair(*(open(p, "rb").read() for p in (A, B)))
+    assert pair.by_words and any(pair._from_words(texts[-1:])[0])
+    for _ in range(2):
+        for got, encoder in zip(pair.encode(raw), pair.encoders, strict=True):
+            assert all(np.array_equal(x, y) for x, y in zip(got, encoder.encode(raw), strict=True))
+    assert [len(x) for x in pair.encode([])[0]] == [0, 0]
+    assert len({"plain", "words,", "words"} & pair.known.keys()) == 3
+
+
 def test_alignment_of_repeated_rows_and_null_ids(odd_docs):
     texts = [t for _, t in ODD]
     want = sorted(((i, *x) for (i, _), x in zip(ODD, plain_alignment(texts), strict=True)), key=str)
