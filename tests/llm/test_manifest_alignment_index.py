@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
