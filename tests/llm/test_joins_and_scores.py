@@ -5,6 +5,7 @@ import math
 import bisect
 import itertools
 import random
+import re
 import time
 import zlib
 
@@ -16,6 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
+from entloom.llm import common
 from entloom.llm import compact_windows as cw
 from entloom.llm import context_mixing as cm
 from entloom.llm import trie_join as tj
@@ -167,6 +169,21 @@ def test_a_filter_is_as_small_as_its_table(spark):
     assert tj.is_live(shared.value, np.arange(0, 20_000, 2) << 40).mean() < 0.2
 
 
+def test_signatures_are_counted_without_their_sets(spark, monkeypatch):
+    """Signatures of one set, copies of it included, are not shared; what is counted brings no set along, and only the result stays stored."""
+    sets = {1: [10, 20, 30], 2: [20, 41], 3: [30, 41, 20], 4: [50, 60], 5: [70]}
+    rows = [(c, s) for c, s in sets.items()] + [(4, sets[4])] * 3 + [(None, [])]
+    scanned = spark.createDataFrame(rows, "cls long, sigs array<long>")
+    held, made, plain = {}, len(common._made), tj.stored
+    monkeypatch.setattr(tj, "stored", lambda df, name: held.setdefault(name, df) and plain(df, name))
+    got = tj._shared(scanned)
+    owners = {x: sorted(c for c, s in sets.items() if x in s) for s in sets.values() for x in s}
+    assert sorted(map(tuple, got.collect())) == sorted((x, c, cs[0]) for x, cs in owners.items() if len(cs) > 1 for c in cs)
+    assert len(common._made) == made + 1
+    assert all("cls" not in o for o in re.findall(r"HashAggregate\(.*", held["often"]._jdf.queryExecution().optimizedPlan().toString() + held["often"]._jdf.queryExecution().executedPlan().toString()))
+    tj.released(got)
+
+
 def test_join_of_nothing(make_docs):
     assert tj.jaccard_components(make_docs([])).count() == 0
     assert tj.jaccard_components(make_docs([(1, None)])).first()["component_id"] == 1
